@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from qforge.llm import simhash, tokens
+from qforge.llm import decontaminate, simhash, tokens
 
 
 def op1_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -17,9 +17,14 @@ def op3_token_binary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.token_digest(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
+def op9_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contamination(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash_near_dedup": op1_simhash_near_dedup,
     "op3_token_binary": op3_token_binary,
+    "op9_benchmark_decontamination": op9_benchmark_decontamination,
 }
 
 #: DuckDB SQL for the queries that SQL can express.
