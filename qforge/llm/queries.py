@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from qforge.llm import decontaminate, secrets, simhash, tokens
+from qforge.llm import decontaminate, mixing, secrets, simhash, tokens
 
 
 def op1_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -25,11 +25,16 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.findings(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
+def op6_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mixture(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash_near_dedup": op1_simhash_near_dedup,
     "op3_token_binary": op3_token_binary,
     "op9_benchmark_decontamination": op9_benchmark_decontamination,
     "op10_secret_scan": op10_secret_scan,
+    "op6_source_mixing": op6_source_mixing,
 }
 
 #: DuckDB SQL for the queries that SQL can express.
