@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from qforge.llm import decontaminate, mixing, secrets, simhash, tokens
+from qforge.llm import decontaminate, mixing, secrets, simhash, substrings, tokens
 
 
 def op1_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -29,12 +29,17 @@ def op6_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixture(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
+def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.remove_repeats(spark.read.parquet(f"{sf_dir}/documents.parquet"), with_text=False)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash_near_dedup": op1_simhash_near_dedup,
     "op3_token_binary": op3_token_binary,
     "op9_benchmark_decontamination": op9_benchmark_decontamination,
     "op10_secret_scan": op10_secret_scan,
     "op6_source_mixing": op6_source_mixing,
+    "op4_substring_dedup": op4_substring_dedup,
 }
 
 #: DuckDB SQL for the queries that SQL can express.
