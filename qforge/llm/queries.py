@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from qforge.llm import decontaminate, mixing, secrets, simhash, substrings, tokens
+from qforge.llm import decontaminate, licenses, mixing, secrets, simhash, substrings, tokens
 
 
 def op1_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -33,6 +33,10 @@ def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.remove_repeats(spark.read.parquet(f"{sf_dir}/documents.parquet"), with_text=False)
 
 
+def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.license_scan(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash_near_dedup": op1_simhash_near_dedup,
     "op3_token_binary": op3_token_binary,
@@ -40,6 +44,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_secret_scan": op10_secret_scan,
     "op6_source_mixing": op6_source_mixing,
     "op4_substring_dedup": op4_substring_dedup,
+    "op7_license_scan": op7_license_scan,
 }
 
 #: DuckDB SQL for the queries that SQL can express.
