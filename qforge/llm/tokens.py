@@ -17,6 +17,7 @@ from __future__ import annotations
 import os
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -55,10 +56,10 @@ class Encoder:
     Byte-level BPE merges only inside the pre-tokens of its fixed pattern. Before a space or line feed that follows other
     text, after a single line feed, and between a letter or digit and a comma or full stop, one pre-token always ends and another
     starts; so a text can be cut there, and only pieces not seen before go to the tokenizers library. Texts where such
-    a place does not end a pre-token (UNSAFE) are encoded by the library in one piece.
+    a place may not end a pre-token (UNSAFE) are encoded by the library in one piece.
     """
 
-    UNSAFE = re.compile(r"\s[\s.,]|^[\s.,]|[^\w\s][.,]|_[.,]|\x00")
+    UNSAFE = (re.compile(r"[^\w\s][.,]"), re.compile(r"\s[\s.,]"), re.compile(r"[_\x00]"), re.compile(r"\A[\s.,]"))
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -68,32 +69,38 @@ class Encoder:
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         self.vocab = self.tokenizer.get_vocab_size()
         self.dtype = np.dtype("<u2") if self.vocab <= 1 << 16 else np.dtype("<u4")
+        self.code = "H" if self.dtype.itemsize == 2 else "I"
         self.end = np.array([END_ID], dtype=self.dtype).tobytes()
         self.kept: dict[str, bytes] = {"": b""}
 
     def library(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, dtype=self.dtype).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        return [array(self.code, e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def unsafe(self, text: str) -> bool:
+        return any(p.search(text) for p in self.UNSAFE)
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Little-endian ids of each text, with the end id."""
-        out, split, whole = [self.end] * len(texts), {}, []
+        out, got, lost, whole = [self.end] * len(texts), {}, {}, []
+        new: dict[str, bytes] = {}
         for i, t in enumerate(texts):
             if not t:
                 continue
-            if self.UNSAFE.search(t):
+            if self.unsafe(t):
                 whole.append(i)
-            else:
-                split[i] = t.replace(" ", "\0 ").replace("\n", "\0\n\0").replace(",", "\0,").replace(".", "\0.").split("\0")
-        ids_of = self.kept
-        if new := list(set().union(*split.values()) - self.kept.keys()):
-            found = dict(zip(new, self.library(new), strict=True))
-            if len(self.kept) + len(found) <= CACHE_PIECES:  # frequent pieces come early; once full, it stays as it is
-                self.kept.update(found)
-            else:
-                found.update((p, self.kept[p]) for p in set().union(*split.values()) - found.keys())
-                ids_of = found
-        for i, pieces in split.items():
-            out[i] = b"".join(map(ids_of.__getitem__, pieces)) + self.end
+                continue
+            pieces = t.replace(" ", "\0 ").replace("\n", "\0\n\0").replace(",", "\0,").replace(".", "\0.").split("\0")
+            got[i] = ids = list(map(self.kept.get, pieces))
+            lost[i] = [(k, pieces[k]) for k, x in enumerate(ids) if x is None]
+            new.update(dict.fromkeys(p for _, p in lost[i]))
+        new = dict(zip(new, self.library(list(new)), strict=True))
+        if len(self.kept) + len(new) <= CACHE_PIECES:  # frequent pieces come early; once full, it stays as it is
+            self.kept.update(new)
+        for i, ids in got.items():
+            for k, p in lost[i]:
+                ids[k] = new[p]
+            ids.append(self.end)
+            out[i] = b"".join(ids)
         for i, ids in zip(whole, self.library([texts[i] for i in whole]), strict=True):
             out[i] = ids + self.end
         return out
