@@ -27,7 +27,7 @@ BROADCAST_BYTES = 32 << 20
 def words(text: Column) -> Column:
     """Lower-cased (A-Z) words of a text: runs of ASCII letters, digits and non-ASCII characters. Null or none: an empty array."""
     clean = F.translate(F.coalesce(text, F.lit("")), UPPER, LOWER)
-    return F.filter(F.split(clean, SEPARATORS), lambda w: w != "")
+    return F.array_remove(F.split(clean, SEPARATORS), "")
 
 
 def small(df: DataFrame, measure: Column) -> bool:
@@ -60,27 +60,31 @@ def _run(same: Column) -> Column:
 
 
 def hits(docs: DataFrame, benchmark: DataFrame, window: int = 13) -> DataFrame:
-    """(doc_id, text_hash, item_id, start, stop): runs of document words that windows of an item cover."""
+    """(doc_id, text_hash, runs, items) of documents that windows occur in: the runs of words they cover (start, stop), and the items."""
     probe, _ = written(prefixes(docs, benchmark, window), "prefixes")
     fits = small(probe, F.aggregate("words", F.lit(64).cast("long"), lambda a, w: a + F.octet_length(w) + 8))
     own = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), words(F.col("text")).alias("doc_words"))
-    found = own.select("doc_id", "text_hash", "doc_words", F.posexplode("doc_words").alias("pos", "word")) if fits else own.select("doc_id", "text_hash", F.posexplode("doc_words").alias("pos", "word"), "doc_words")
+    found = own.select("doc_id", "text_hash", "doc_words", F.posexplode_outer("doc_words").alias("pos", "word"))
+    # only the region around a word is kept of its document: after a broadcast join for the words that met a prefix, before a shuffle for all
+    reach = F.lit(window - 1)
+    shift = F.greatest(F.col("pos") - reach, F.lit(0))
+    region = F.slice("doc_words", shift + 1, F.lit(2 * window - 1)).alias("doc_words")
     if fits:
-        met = found.join(F.broadcast(probe), "word")
+        met = found.join(F.broadcast(probe), "word").select("doc_id", "text_hash", "item_id", "at", "words", F.col("pos"), shift.alias("shift"), region)
     else:
-        # only the region around each word travels, not the document
-        region = F.slice("doc_words", F.greatest(F.col("pos") - (window - 2), F.lit(1)), 2 * window - 1)
-        met = found.withColumn("doc_words", region).withColumn("shift", F.greatest(F.col("pos") - (window - 1), F.lit(0))).join(probe, "word")
-    shift = F.lit(0) if fits else F.col("shift")
-    pos, at = F.col("pos") - shift, F.col("at")
-    reach = F.lit(window - 1)
+        met = found.select("doc_id", "text_hash", "word", "pos", shift.alias("shift"), region).join(probe, "word")
+    pos, at = F.col("pos") - F.col("shift"), F.col("at")
     left = F.least(pos, at, reach)
     right = F.least(F.size("doc_words") - 1 - pos, F.size("words") - 1 - at, reach)
     same = lambda a, b: a == b
     before = F.zip_with(F.reverse(F.slice("doc_words", pos - left + 1, left)), F.reverse(F.slice("words", at - left + 1, left)), same)
     after = F.zip_with(F.slice("doc_words", pos + 2, right), F.slice("words", at + 2, right), same)
     runs = met.select("doc_id", "text_hash", "item_id", "pos", _run(before).alias("l"), _run(after).alias("r"), F.least(F.size("words"), F.lit(window)).alias("need"))
-    return runs.filter("l + r + 1 >= need").select("doc_id", "text_hash", "item_id", (F.col("pos") - F.col("l")).alias("start"), (F.col("pos") + F.col("r") + 1).alias("stop"))
+    # the test stands in the aggregate: as a filter it would be pushed into the join, which would then carry whole documents for each word
+    enough = F.col("l") + F.col("r") + 1 >= F.col("need")
+    run = F.when(enough, F.struct((F.col("pos") - F.col("l")).cast("long").alias("start"), (F.col("pos") + F.col("r") + 1).cast("long").alias("stop")))
+    out = runs.groupBy("doc_id", "text_hash").agg(F.collect_set(run).alias("runs"), F.collect_set(F.when(enough, F.col("item_id").cast("string"))).alias("items"))
+    return out.filter("size(runs) > 0")
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 13, share: int = 20) -> DataFrame:
@@ -99,8 +103,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 13, share
         lambda a, x: F.struct((a["n"] + F.greatest(x["stop"] - F.greatest(x["start"], a["end"]), F.lit(0))).alias("n"), F.greatest(a["end"], x["stop"]).alias("end")),
         lambda a: a["n"],
     )
-    by_doc = found.groupBy("doc_id", "text_hash").agg(F.collect_set(F.struct(F.col("start").cast("long").alias("start"), F.col("stop").cast("long").alias("stop"))).alias("runs"), F.collect_set(F.col("item_id").cast("string")).alias("items"))
-    by_doc = by_doc.select(F.col("doc_id").alias("d"), F.col("text_hash").alias("h"), covered.alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.array_join(F.array_sort("items"), ",").alias("ids"))
+    by_doc = found.select(F.col("doc_id").alias("d"), F.col("text_hash").alias("h"), covered.alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.array_join(F.array_sort("items"), ",").alias("ids"))
     own = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), F.size(words(F.col("text"))).cast("long").alias("n_words"))
     joined = own.join(by_doc, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("text_hash") == F.col("h")), "left")
     n_hit = F.coalesce("n_hit", F.lit(0).cast("long"))
