@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from qforge.llm import decontaminate, licenses, mixing, secrets, simhash, substrings, tokens
+from qforge.llm import decontaminate, langid, licenses, mixing, secrets, simhash, substrings, tokens
 
 
 def op1_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -37,6 +37,10 @@ def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.license_scan(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.predicted(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash_near_dedup": op1_simhash_near_dedup,
     "op3_token_binary": op3_token_binary,
@@ -45,6 +49,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_source_mixing": op6_source_mixing,
     "op4_substring_dedup": op4_substring_dedup,
     "op7_license_scan": op7_license_scan,
+    "op8_language_id": op8_language_id,
 }
 
 #: DuckDB SQL for the queries that SQL can express.
