@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from qforge.llm import decontaminate, langid, licenses, mixing, secrets, simhash, substrings, tokens
+from qforge.llm import decontaminate, langid, licenses, mixing, neighbours, secrets, simhash, substrings, tokens
 
 
 def op1_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -41,6 +41,10 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predicted(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
+def op5_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.search(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash_near_dedup": op1_simhash_near_dedup,
     "op3_token_binary": op3_token_binary,
@@ -50,6 +54,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_substring_dedup": op4_substring_dedup,
     "op7_license_scan": op7_license_scan,
     "op8_language_id": op8_language_id,
+    "op5_nearest_neighbours": op5_nearest_neighbours,
 }
 
 #: DuckDB SQL for the queries that SQL can express.
