@@ -94,6 +94,10 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 13, share
     words have no window; equal items count each; rows that repeat get equal results; an empty benchmark contaminates nothing.
     Other columns, whatever their names, are ignored.
     """
+    return _judged(docs, benchmark, window, share).drop("text_hash")
+
+
+def _judged(docs: DataFrame, benchmark: DataFrame, window: int, share: int) -> DataFrame:
     docs = docs.select("doc_id", "text")
     found = hits(docs, benchmark.select("item_id", "text"), window)
     # words covered by the union of the runs: in order of start, each adds what lies beyond the furthest stop so far
@@ -109,9 +113,18 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 13, share
     n_hit = F.coalesce("n_hit", F.lit(0).cast("long"))
     return joined.select(
         "doc_id",
+        "text_hash",
         "n_words",
         n_hit.alias("n_hit"),
         F.coalesce("n_items", F.lit(0).cast("long")).alias("n_items"),
         F.sha2(F.coalesce("ids", F.lit("")), 256).alias("items_sha256"),
         ((n_hit > 0) & (F.lit(share) * n_hit >= F.col("n_words"))).alias("contaminated"),
     )
+
+
+def clean(docs: DataFrame, benchmark: DataFrame, window: int = 13, share: int = 20) -> DataFrame:
+    """The documents, with all their columns, that are not contaminated."""
+    bad, _ = written(_judged(docs, benchmark, window, share).filter("contaminated").select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).distinct(), "contaminated")
+    own = docs.withColumn("_text_hash", F.xxhash64("text"))
+    bad = hinted(bad, small(bad, F.lit(64)))
+    return own.join(bad, own["doc_id"].eqNullSafe(bad["_id"]) & (own["_text_hash"] == bad["_hash"]), "left_anti").drop("_text_hash")

@@ -46,14 +46,15 @@ def fingerprint(text: str | None, shingle: int = 3) -> int:
 
 
 def fingerprints(docs: DataFrame, shingle: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, fp): one row per input row; a null or blank text has fingerprint 0."""
+    """(doc_id, text_hash, fp): one row per input row; a null or blank text has fingerprint 0."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            fp = np.array([fingerprint(t, shingle) for t in b.iloc[:, 1]], dtype=np.uint64)
-            yield pd.DataFrame({"doc_id": b.iloc[:, 0], "fp": fp.view(np.int64)})
+            fp = np.array([fingerprint(t, shingle) for t in b["text"]], dtype=np.uint64)
+            yield b[["doc_id", "text_hash"]].assign(fp=fp.view(np.int64))
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInPandas(run, "doc_id long, fp long")
+    own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("text_hash"), F.col(text_col).alias("text"))
+    return own.mapInPandas(run, "doc_id long, text_hash long, fp long")
 
 
 # -- partitions and thresholds --------------------------------------------------------------------------------------
@@ -280,6 +281,17 @@ def components(edges: DataFrame, name: str = "components") -> tuple[DataFrame, s
             return now.select(F.col("src").alias("node"), F.col("dst").alias("component")), path
 
 
+def groups(docs: DataFrame, shingle: int = 3, radius: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, text_hash, fp, component_id), one row per input row."""
+    own, _ = written(fingerprints(docs, shingle, id_col, text_col), "fingerprints")
+    classes, _ = written(own.filter("doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("node")), "classes")
+    n, gram = bit_statistics(classes)
+    masks = probe_masks(plan_partitions(n, gram, radius))
+    found, _ = components(links(classes, masks, radius))
+    label = classes.join(found, "node", "left").select("fp", F.coalesce("component", "node").alias("component_id"))
+    return own.join(label, "fp", "left").select("doc_id", "text_hash", "fp", "component_id")
+
+
 def near_duplicates(docs: DataFrame, shingle: int = 3, radius: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: doc_id, fingerprint (16 hex digits), component_id (smallest doc_id reachable over links).
 
@@ -287,11 +299,21 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, radius: int = 3, id_col:
     and are linked like any other. Rows that repeat give equal rows; rows whose id is null keep a null id and take the
     component of their fingerprint (null if no row with an id shares it). Other columns are ignored. An empty table gives no rows.
     """
-    own, _ = written(fingerprints(docs, shingle, id_col, text_col), "fingerprints")
-    classes = own.filter("doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("node"))
-    classes, classes_path = written(classes, "classes")
-    n, gram = bit_statistics(classes)
-    masks = probe_masks(plan_partitions(n, gram, radius))
-    found, _ = components(links(classes, masks, radius))
-    label = classes.join(found, "node", "left").select("fp", F.coalesce("component", "node").alias("component_id"))
-    return own.join(label, "fp", "left").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    found = groups(docs, shingle, radius, id_col, text_col)
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def deduplicated(docs: DataFrame, shingle: int = 3, radius: int = 3) -> DataFrame:
+    """The documents, with all their columns, of which the smallest doc_id of each group stays.
+
+    Of rows that repeat an id or text one stays. Rows without an id go if a row with one shares their fingerprint; else one row of each such
+    fingerprint stays.
+    """
+    columns, found = docs.columns, groups(docs, shingle, radius)
+    stays = found.groupBy("component_id", F.when(F.col("component_id").isNull(), F.col("fp")).alias("alone")).agg(
+        F.coalesce(F.min(F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", "text_hash"))), F.min(F.struct("doc_id", "text_hash"))).alias("s")
+    )
+    stays = stays.select(F.col("s.doc_id").alias("_id"), F.col("s.text_hash").alias("_hash"))
+    own = docs.withColumn("_text_hash", F.xxhash64("text"))
+    kept = own.join(stays, own["doc_id"].eqNullSafe(stays["_id"]) & (own["_text_hash"] == stays["_hash"]), "left_semi")
+    return kept.dropDuplicates(["doc_id", "_text_hash"]).select(*columns)
