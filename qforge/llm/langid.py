@@ -25,6 +25,8 @@ HOLD_OUT, HELD = 4, 2
 UNKNOWN = "und"
 #: A text is rejected below this share of the cosine that only one training text of its language in a hundred falls short of.
 REJECT_SHARE = 0.5
+#: Letters and word edges from which a text is held to the whole of that threshold.
+SURE_LETTERS = 256
 PIECE = 1 << 18
 SEED = 7
 
@@ -86,7 +88,9 @@ class Model:
         near = self.centroids @ vector(count, self.idf)
         at = int(near.argmax())
         score = float(min(1.0, max(0.0, near[at])))
-        return self.languages[self.owner[at]], score, score < self.least[self.owner[at]]
+        # a short text shares few n-grams with any centroid: less is asked of it, in proportion
+        sure = min(1.0, float(count.sum()) / (3 * SURE_LETTERS))
+        return self.languages[self.owner[at]], score, score < sure * self.least[self.owner[at]]
 
 
 def _clusters(x: np.ndarray, k: int, rng: np.random.Generator) -> np.ndarray:
