@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from qforge.llm import decontaminate, langid, licenses, mixing, neighbours, secrets, simhash, substrings, tokens
+from qforge.llm import decontaminate, langid, licenses, mixing, neighbours, secrets, simhash, substrings, tokens, warc
+from qforge.llm.common import scratch
 
 
 def op1_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -45,6 +46,10 @@ def op5_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbours.search(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
 
 
+def op2_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.derivatives(spark.read.parquet(f"{sf_dir}/pages.parquet"), scratch(spark, "warc"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash_near_dedup": op1_simhash_near_dedup,
     "op3_token_binary": op3_token_binary,
@@ -55,6 +60,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_license_scan": op7_license_scan,
     "op8_language_id": op8_language_id,
     "op5_nearest_neighbours": op5_nearest_neighbours,
+    "op2_warc_derivatives": op2_warc_derivatives,
 }
 
 #: DuckDB SQL for the queries that SQL can express.
