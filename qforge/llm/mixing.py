@@ -14,6 +14,8 @@ Everything is derived from a seed and hashes of the rows, so reruns agree.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -57,20 +59,28 @@ def _hypergeometric(good: Column, bad: Column, draws: Column, u: Column) -> Colu
 
     ks = F.when(high > low, F.sequence(low + 1, high)).otherwise(F.array().cast("array<bigint>"))
     zero = F.lit(0.0)
-    # the sum of all weights, relative to the greatest so far
-    total = F.aggregate(
-        ks,
-        F.struct(zero.alias("w"), zero.alias("top"), F.lit(1.0).alias("sum")),
-        lambda a, k: F.struct((a["w"] + ratio(k)).alias("w"), F.greatest(a["top"], a["w"] + ratio(k)).alias("top"), (a["sum"] * F.exp(a["top"] - F.greatest(a["top"], a["w"] + ratio(k))) + F.exp(a["w"] + ratio(k) - F.greatest(a["top"], a["w"] + ratio(k)))).alias("sum")),
-    )
-    start = F.struct(zero.alias("w"), F.exp(-total["top"]).alias("sum"), F.when(F.exp(-total["top"]) < u * total["sum"], low + 1).otherwise(low).alias("k"))
-    walk = F.aggregate(
-        ks,
-        start,
-        lambda a, k: F.struct((a["w"] + ratio(k)).alias("w"), (a["sum"] + F.exp(a["w"] + ratio(k) - total["top"])).alias("sum"), F.when(a["sum"] + F.exp(a["w"] + ratio(k) - total["top"]) < u * total["sum"], k + 1).otherwise(a["k"]).alias("k")),
-        lambda a: a["k"],
-    )
-    return F.least(walk, high)
+
+    def summed(a: Column, k: Column) -> Column:
+        return _let(a["w"] + ratio(k), lambda w: F.struct(w.alias("w"), F.greatest(a["top"], w).alias("top"), (a["sum"] * F.exp(a["top"] - F.greatest(a["top"], w)) + F.exp(w - F.greatest(a["top"], w))).alias("sum")))
+
+    # the sum of all weights, relative to the greatest
+    total = F.aggregate(ks, F.struct(zero.alias("w"), zero.alias("top"), F.lit(1.0).alias("sum")), summed)
+
+    def found(t: Column) -> Column:
+        goal = u * t["sum"]
+
+        def walk(a: Column, k: Column) -> Column:
+            return _let(a["w"] + ratio(k), lambda w: F.struct(w.alias("w"), (a["sum"] + F.exp(w - t["top"])).alias("sum"), F.when(a["sum"] + F.exp(w - t["top"]) < goal, k + 1).otherwise(a["k"]).alias("k")))
+
+        start = F.struct(zero.alias("w"), F.exp(-t["top"]).alias("sum"), F.when(F.exp(-t["top"]) < goal, low + 1).otherwise(low).alias("k"))
+        return F.aggregate(ks, start, walk, lambda a: a["k"])
+
+    return F.least(_let(total, found), high)
+
+
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """The body on a value that is computed once, however often the body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
 def split_quotas(quotas: DataFrame, levels: int = LEVELS, seed: int = SEED) -> DataFrame:
@@ -85,8 +95,7 @@ def split_quotas(quotas: DataFrame, levels: int = LEVELS, seed: int = SEED) -> D
         def draw(a: Column, x: Column) -> Column:
             u = (F.xxhash64(F.lit(seed), salt, F.col("node"), F.size(a["out"])).bitwiseAND((1 << 53) - 1) / F.lit(float(1 << 53))).cast("double")
             bad = a["left"] - x
-            got = _hypergeometric(x, bad, a["draws"], u)
-            return F.struct(bad.alias("left"), (a["draws"] - got).alias("draws"), F.concat(a["out"], F.array(got)).alias("out"))
+            return _let(_hypergeometric(x, bad, a["draws"], u), lambda got: F.struct(bad.alias("left"), (a["draws"] - got).alias("draws"), F.concat(a["out"], F.array(got)).alias("out")))
 
         start = F.struct(count.alias("left"), (count / 2).cast("long").alias("draws"), F.array().cast("array<bigint>").alias("out"))
         nodes = nodes.withColumn("half", F.aggregate("q", start, draw, lambda a: a["out"]))
