@@ -17,7 +17,7 @@ from qforge.storage import settled
 def features(rows: DataFrame, key: str, prompt: Column, options: Column) -> DataFrame:
     """(key, words, prefixes): distinct prompt words, sorted; option prefixes with their number of occurrence, so that a multiset is a set."""
     words = F.array_sort(X.word_set(prompt))
-    cut = F.filter(F.transform(options, X.prefix), lambda p: p != "")
+    cut = F.filter(F.transform(options, lambda o: X.prefix(o)), lambda p: p != "")
     each = rows.select(F.col(key).alias("id"), words.alias("words"), F.array_sort(cut).alias("cut"))
     nth = F.transform(F.col("cut"), lambda p, i: F.concat_ws("#", p, (i - F.array_position(F.col("cut"), p) + 1).cast("string")))
     return each.select("id", "words", nth.alias("prefixes"))
