@@ -105,6 +105,7 @@ def scan(docs: DataFrame, ledger_path: str, rules: tuple[Rule, ...] = RULES, id_
     key = lambda d: F.coalesce(F.col(d), F.lit(-1).cast("long"))  # noqa: E731  equal keys of null and -1 are told apart by the blob
     new = texts.withColumn("k", key("id")).join(due.withColumn("k", key("id")).drop("id").withColumnRenamed("blob", "b"), "k").filter("blob = b")
     found = new.select("blob", *[F.when(F.array_contains("due", F.struct(F.lit(r.kind).alias("rule"), F.lit(r.version).alias("version"))), spans_of(F.col("text"), r)).alias(f"r{i}") for i, r in enumerate(rules)])
+    found = found.dropDuplicates(["blob"])  # rows that repeat an id and text
     rows = found.select("blob", F.explode(F.array(*[F.struct(F.lit(r.kind).alias("rule"), F.lit(r.version).alias("version"), F.col(f"r{i}").alias("spans")) for i, r in enumerate(rules)])).alias("e")).select("blob", "e.*").filter("spans is not null")
     rows.write.mode("append").option("compression", "zstd").parquet(ledger_path)
     return spark.read.schema(LEDGER).parquet(ledger_path)
