@@ -6,9 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 
-def ingest(spark: SparkSession, source: str, schema: str, checkpoint: str, sink: str, transform: Callable[[DataFrame], DataFrame], glob: str = "*.parquet") -> DataFrame:
+def ingest(spark: SparkSession, source: str, schema: StructType, checkpoint: str, sink: str, transform: Callable[[DataFrame], DataFrame], glob: str = "*.parquet") -> DataFrame:
     """Take up all files that are new since the last call, transformed, and return all rows of the sink. The file sink and the checkpoint make it exactly-once."""
     stream = spark.readStream.schema(schema).option("pathGlobFilter", glob).option("maxFilesPerTrigger", 64).parquet(source)
     query = transform(stream).writeStream.format("parquet").option("checkpointLocation", checkpoint).option("path", sink).trigger(availableNow=True).start()
