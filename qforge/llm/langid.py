@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 DIMENSIONS = 1 << 14
 CENTROIDS = 4
-FIT_DOCS = 2400
+FIT_DOCS = 1200
 HOLD_OUT, HELD = 4, 2
 UNKNOWN = "und"
 #: A text is rejected below this share of the cosine that only one training text of its language in a hundred falls short of.
@@ -129,8 +129,9 @@ def fit(training: DataFrame, fit_docs: int = FIT_DOCS, id_col: str = "doc_id", t
     x = np.zeros((len(got), DIMENSIONS), dtype=np.float32)
     for i, (at, n) in enumerate(zip(got["at"], got["n"], strict=True)):
         x[i, np.frombuffer(at, "<u2")] = np.frombuffer(n, "<u4")
-    idf = (np.log((1 + len(x)) / (1 + (x > 0).sum(axis=0))) + 1).astype(np.float32)
-    x = np.stack([vector(c, idf) for c in x]) if len(x) else x
+    idf = (np.log((1 + len(x)) / (1 + np.count_nonzero(x, axis=0))) + 1).astype(np.float32)
+    for row in x:  # in place: the driver holds the sample once
+        row[:] = vector(row, idf)
     langs, rng = got["lang"].to_numpy(), np.random.default_rng(SEED)
     languages = sorted(set(langs))
     centres = [_clusters(x[langs == lang], CENTROIDS, rng) for lang in languages]
