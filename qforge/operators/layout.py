@@ -119,47 +119,43 @@ def column_split(boxes: DataFrame, key: str, least_lines: int = 6, share: float
 def banded(boxes: DataFrame, key: str, least_rows: int = 4, least_two_sided: int = 3) -> DataFrame:
     """(key, text): rows of words by their centres; runs of rows with a clear gutter, four at least and three of them two-sided, are read left column then right; all else from top to bottom."""
 
-    def rows_of(p: pd.DataFrame, tolerance: float) -> list[pd.DataFrame]:
-        p = p.assign(c=(p["top"] + p["bottom"]) / 2).sort_values(["c", "left"], kind="stable")
-        mark, row, centre, n = [], -1, -np.inf, 0
-        for c in p["c"]:
+    def rows_of(words: list[tuple], tolerance: float) -> list[list[tuple]]:
+        """Words (left, top, right, bottom, text) to rows: a word within the tolerance of the running mean of a row's centres joins it."""
+        rows: list[list[tuple]] = []
+        centre = -np.inf
+        for w in sorted(words, key=lambda w: (w[1] + w[3], w[0])):
+            c = (w[1] + w[3]) / 2
             if c - centre > tolerance:
-                row, centre, n = row + 1, c, 0
-            n += 1
-            centre += (c - centre) / n  # running mean
-            mark.append(row)
-        return [g.sort_values("left", kind="stable") for _, g in p.groupby(mark)]
-
-    def run(p: pd.DataFrame) -> pd.DataFrame:
-        heights = (p["bottom"] - p["top"]).sort_values()
-        h = float(heights.iloc[len(heights) // 2]) or 1.0
-        low, high = p["left"].min(), p["right"].max()
+                rows.append([])
+                centre = c
+            rows[-1].append(w)
+            centre += (c - centre) / len(rows[-1])
+        return [sorted(r, key=lambda w: w[0]) for r in rows]
+
+    def order(words: list[tuple]) -> str:
+        heights = sorted(w[3] - w[1] for w in words)
+        h = heights[len(heights) // 2] or 1.0
+        low, high = min(w[0] for w in words), max(w[2] for w in words)
         mid, zone = (low + high) / 2, max(0.5 * h, 0.01 * (high - low))
-        side = lambda g: (g["left"] + g["right"]) / 2 >= mid
-        rows = rows_of(p, 0.6 * h)
-        clear = [not ((g["left"] < mid + zone) & (g["right"] > mid - zone)).any() for g in rows]
+        right = lambda w: (w[0] + w[2]) / 2 >= mid
+        rows = rows_of(words, 0.6 * h)
+        clear = [not any(w[0] < mid + zone and w[2] > mid - zone for w in r) for r in rows]
         out, i = [], 0
         while i < len(rows):
             j = i + 1
             while clear[i] and j < len(rows) and clear[j]:
                 j += 1
             block = rows[i:j]
-            if clear[i] and len(block) >= least_rows and sum(side(g).nunique() == 2 for g in block) >= least_two_sided:
-                words = pd.concat(block)
-                block = [r for s in (False, True) for r in rows_of(words[side(words) == s], 0.6 * h)]
-            out += [" ".join(g["text"]) for g in block]
+            if clear[i] and len(block) >= least_rows and sum(len(set(map(right, r))) == 2 for r in block) >= least_two_sided:
+                block = [r for side in (False, True) for r in rows_of([w for b in block for w in b if right(w) == side], 0.6 * h)]
+            out += [" ".join(w[4] for w in r) for r in block]
             i = j
-        return pd.DataFrame({key: [p[key].iloc[0]], "text": ["\n".join(out)]})
-
-    kind = boxes.schema[key].dataType.simpleString()
-    return boxes.groupBy(key).applyInPandas(run, f"{key} {kind}, text string")
-
-
-def joined_pages(pages: DataFrame, document: str, page: str, text: str = "text") -> DataFrame:
-    """One text a document, its pages in order under [PDF_PAGE n] marks."""
-    marked = F.struct(page, F.concat(F.lit("[PDF_PAGE "), F.col(page).cast("string"), F.lit("]\n"), F.col(text)).alias("t"))
-    return pages.groupBy(document).agg(F.array_join(F.transform(F.array_sort(F.collect_list(marked)), lambda x: x["t"]), "\n\n").alias("text"))
+        return "\n".join(out)
 
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            yield pd.DataFrame({key: b[key], "text": [order([tuple(w.values()) for w in words]) for words in b["words"]]})
 
-def usable_layer(text: Column, least: int = 50) -> Column:
-    return F.length(F.regexp_replace(text, r"\s", "")) >= least
+    kind = boxes.schema[key].dataType.simpleString()
+    pages = boxes.groupBy(key).agg(F.collect_list(F.struct("left", "top", "right", "bottom", "text")).alias("words"))  # a page's words, which are few
+    return pages.mapInPandas(run, f"{key} {kind}, text string")
