@@ -162,10 +162,10 @@ SQL["keep_first"] = f"SELECT id, bank_no, h FROM {_BANKS} QUALIFY row_number() O
 
 def duplicate_of(spark: SparkSession, d: str) -> DataFrame:
     docs = table(spark, d, "documents").select("doc_id", X.content_hash(F.col("text")).alias("h"))
-    return B.duplicate_of(docs, "h", "doc_id", "doc_id").select("doc_id", "duplicate_of")
+    return B.duplicate_of(docs, "h", "doc_id", "doc_id").select("doc_id", F.col("duplicate_of").cast("string").alias("duplicate_of"))
 
 
-SQL["duplicate_of"] = f"SELECT doc_id, nullif(min(doc_id) OVER (PARTITION BY {_HASH}), doc_id) AS duplicate_of FROM documents"
+SQL["duplicate_of"] = f"SELECT doc_id, nullif(min(doc_id) OVER (PARTITION BY {_HASH}), doc_id)::varchar AS duplicate_of FROM documents"
 
 
 def _split_bank(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:

@@ -135,10 +135,10 @@ def merge_bank(spark: SparkSession, d: str) -> DataFrame:
 
 def context_fill(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "conversations")
-    return L.filled(rows, "conv_id", "turn", F.when(F.col("role") == "user", F.length("text")), "last_user_length").select("conv_id", "turn", "last_user_length")
+    return L.filled(rows, "conv_id", "turn", F.when(F.col("role") == "user", F.length("text")), "last_user_length").select("conv_id", "turn", F.col("last_user_length").cast("string").alias("last_user_length"))
 
 
-SQL["context_fill"] = "SELECT conv_id, turn, last_value(CASE WHEN role = 'user' THEN length(text) END IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS last_user_length FROM conversations"
+SQL["context_fill"] = "SELECT conv_id, turn, (last_value(CASE WHEN role = 'user' THEN length(text) END IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))::varchar AS last_user_length FROM conversations"
 
 
 def lookahead(spark: SparkSession, d: str) -> DataFrame:

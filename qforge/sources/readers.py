@@ -54,6 +54,6 @@ def under_markers(files: DataFrame, key: str, path: str = "path", text: str = "t
 
 def practice_tests(spark: SparkSession, path: str) -> DataFrame:
     """(test, portion, kind, text) of files test<N>-<questions|answers>.txt; what follows a line "State" is the State portion."""
-    files = text_files(spark, path, "*.txt").select(F.regexp_extract("path", r"test(\d+)-(\w+)\.txt$", 1).cast("int").alias("test"), F.regexp_extract("path", r"test(\d+)-(\w+)\.txt$", 2).alias("kind"), "text")
+    files = text_files(spark, path, "*.txt").select(F.regexp_extract("path", r"test(\d+)-(\w+)\.txt$", 1).try_cast("int").alias("test"), F.regexp_extract("path", r"test(\d+)-(\w+)\.txt$", 2).alias("kind"), "text")
     halves = F.split("text", r"(?m)^\s*State(?: Portion)?\s*$", 2)
     return files.select("test", "kind", F.posexplode(halves).alias("p", "text")).select("test", F.when(F.col("p") == 0, "National").otherwise("State").alias("portion"), "kind", "text")
