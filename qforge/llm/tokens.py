@@ -35,7 +35,7 @@ LANES = 1024
 BLOCK_TOKENS = 1 << 18
 CHECKPOINT_STEPS = 128
 #: Pieces of text whose ids a Python worker keeps; no more are kept beyond that.
-CACHE_PIECES = 500_000
+CACHE_PIECES = 800_000
 
 BLOCKS = "shard int, block int, before long, n_docs long, n_tokens long, lanes int, doc_ids binary, null_ids binary, lengths binary, states binary, words binary, checkpoints binary, crc long, ids_crc long"
 
@@ -56,10 +56,14 @@ class Encoder:
     Byte-level BPE merges only inside the pre-tokens of its fixed pattern. Before a space or line feed that follows other
     text, after a single line feed, and between a letter or digit and a comma or full stop, one pre-token always ends and another
     starts; so a text can be cut there, and only pieces not seen before go to the tokenizers library. Texts where such
-    a place may not end a pre-token (UNSAFE) are encoded by the library in one piece.
+    a place may not end a pre-token (unsafe) are encoded by the library in one piece.
     """
 
-    UNSAFE = (re.compile(r"[^\w\s][.,]"), re.compile(r"\s[\s.,]"), re.compile(r"[_\x00]"), re.compile(r"\A[\s.,]"))
+    #: Two characters that may belong to one pre-token although a text would be cut between them.
+    PAIRS = tuple(a + b for a in " \n" for b in " \n.,")
+    #: White space of other kinds, and a comma or full stop after neither a letter, digit or white space.
+    RARE = re.compile("[\t\r\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
+    LOOSE = re.compile(r"[.,](?<=[^\w\s].)")
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -77,7 +81,7 @@ class Encoder:
         return [array(self.code, e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def unsafe(self, text: str) -> bool:
-        return any(p.search(text) for p in self.UNSAFE)
+        return text[0] in " \n.," or "_" in text or "\0" in text or any(p in text for p in self.PAIRS) or bool(self.LOOSE.search(text) or self.RARE.search(text))
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Little-endian ids of each text, with the end id."""
@@ -91,7 +95,10 @@ class Encoder:
                 continue
             pieces = t.replace(" ", "\0 ").replace("\n", "\0\n\0").replace(",", "\0,").replace(".", "\0.").split("\0")
             got[i] = ids = list(map(self.kept.get, pieces))
-            lost[i] = [(k, pieces[k]) for k, x in enumerate(ids) if x is None]
+            lost[i], k = [], -1
+            for _ in range(ids.count(None)):
+                k = ids.index(None, k + 1)
+                lost[i].append((k, pieces[k]))
             new.update(dict.fromkeys(p for _, p in lost[i]))
         new = dict(zip(new, self.library(list(new)), strict=True))
         if len(self.kept) + len(new) <= CACHE_PIECES:  # frequent pieces come early; once full, it stays as it is
