@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from qforge.llm import decontaminate, langid, licenses, mixing, neighbours, secrets, simhash, substrings, tokens, warc
+from qforge.llm import decontaminate, langid, licenses, mixing, neighbours, oracles, secrets, simhash, substrings, tokens, warc
 from qforge.llm.common import scratch
 
 
@@ -64,4 +64,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 #: DuckDB SQL for the queries that SQL can express.
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op4_substring_dedup": oracles.SUBSTRINGS,
+    "op9_benchmark_decontamination": oracles.DECONTAMINATION,
+    "op10_secret_scan": oracles.SECRETS,
+}
