@@ -121,6 +121,14 @@ def cluster_conflict(spark: SparkSession, d: str) -> DataFrame:
     return N.conflicts(rows, "cluster", best, "answer_key", "answer", "passes")
 
 
+_WORDS = "list_distinct(regexp_extract_all(lower({t}), '[a-z0-9]{{2,}}'))"
+_KEYED = f"""{_REACH}, r AS (SELECT *, string_split(text, chr(10))[1] AS t, regexp_replace(lower(string_split(text, chr(10))[1]), '[^a-z0-9]', '', 'g') AS k FROM ranked),
+ best AS (SELECT cluster, t AS rt, k AS rk, bool_or(passes) OVER (PARTITION BY cluster) AS one_passes FROM r QUALIFY row_number() OVER (PARTITION BY cluster ORDER BY CASE WHEN passes THEN 0 ELSE 1 END, -n_chars, doc_id) = 1),
+ c AS (SELECT cluster, k, rk, CASE WHEN length(k) <= length(rk) THEN k ELSE rk END AS lo, CASE WHEN length(k) <= length(rk) THEN rk ELSE k END AS hi, {_WORDS.format(t="t")} AS a, {_WORDS.format(t="rt")} AS b FROM r JOIN best USING (cluster) WHERE passes OR NOT one_passes)"""
+SQL["cluster_conflict"] = f"""{_KEYED} SELECT DISTINCT cluster FROM c WHERE NOT (k = '' OR rk = '' OR CASE WHEN length(lo) >= 8 THEN starts_with(hi, lo) ELSE lo = hi END
+ OR CASE WHEN len(a) = 0 AND len(b) = 0 THEN 1 ELSE len(list_intersect(a, b))::double / (len(a) + len(b) - len(list_intersect(a, b))) END >= 0.6)"""
+
+
 def merge_bank(spark: SparkSession, d: str) -> DataFrame:
     """Exact duplicates go first, by precedence of bank; then near-duplicates; one row per surviving record."""
     docs = table(spark, d, "documents").select(F.concat(F.lit("d"), "doc_id").alias("id"), F.col("doc_id").alias("seq"), "text")
@@ -133,6 +141,13 @@ def merge_bank(spark: SparkSession, d: str) -> DataFrame:
     return best.select("cluster", "id", "removed")
 
 
+_HASH = rf"sha256(regexp_replace(regexp_replace(lower(text), '^[{X.SPACE}]+|[{X.SPACE}]+$', '', 'g'), '[^\w{X.SPACE}]', '', 'g'))"
+_KEPT = f"kept AS (SELECT CASE bank_no WHEN 0 THEN 'b' ELSE 'd' END || id AS doc_id, id AS seq, bank_no, text FROM (SELECT item_id AS id, text, 0 AS bank_no, {_HASH} AS h FROM benchmark UNION ALL SELECT doc_id, text, 1, {_HASH} FROM documents) QUALIFY row_number() OVER (PARTITION BY h ORDER BY bank_no, id) = 1)"
+SQL["merge_bank"] = f"""WITH RECURSIVE {_KEPT}, {_FEATS.replace("FROM documents", "FROM kept")}, both_ways AS (SELECT a, b FROM edges UNION SELECT b, a FROM edges),
+ reach AS (SELECT doc_id AS x, doc_id AS y FROM kept UNION SELECT x, b FROM reach JOIN both_ways ON y = a), cl AS (SELECT x AS doc_id, min(y) AS cluster FROM reach GROUP BY x)
+SELECT cluster, doc_id AS id, count(*) OVER (PARTITION BY cluster) - 1 AS removed FROM kept JOIN cl USING (doc_id) QUALIFY row_number() OVER (PARTITION BY cluster ORDER BY -length(text), bank_no, seq) = 1"""
+
+
 def context_fill(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "conversations")
     return L.filled(rows, "conv_id", "turn", F.when(F.col("role") == "user", F.length("text")), "last_user_length").select("conv_id", "turn", F.col("last_user_length").cast("string").alias("last_user_length"))
