@@ -16,7 +16,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from qforge.llm.common import scratch
+from qforge.llm.common import scratch, written
 
 
 @dataclass(frozen=True)
@@ -135,5 +135,7 @@ def findings(docs: DataFrame, ledger_path: str | None = None, rules: tuple[Rule,
     count = lambda kind: F.size(F.filter("all", lambda s: s["o"] == at[kind])).cast("long").alias(f"n_{kind}")
     base = [at[r.kind] for r in rules if r.base]
     by_blob = by_blob.select("blob", *[count(r.kind) for r in rules if r.base], F.sha2(listed(F.filter("all", lambda s: s["o"].isin(base))), 256).alias("base_sha256"), listed(F.col("all")).alias("spans"))
+    # settled first, so that the join is of two plain exchanges and the rows of a frequent blob can be split over tasks
+    by_blob, _ = written(by_blob, "findings")
     zero = F.lit(0).cast("long")
     return own.join(by_blob, "blob", "left").select("doc_id", *[F.coalesce(f"n_{r.kind}", zero).alias(f"n_{r.kind}") for r in rules if r.base], F.coalesce("base_sha256", F.sha2(F.lit(""), 256)).alias("base_sha256"), F.coalesce("spans", F.lit("")).alias("spans"))
