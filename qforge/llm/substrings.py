@@ -225,6 +225,7 @@ def remove_repeats(docs: DataFrame, with_text: bool = True, id_col: str = "doc_i
     # round 0: the rows whose text has a smaller id, packed for each chunk; two hashes stand for a text
     keys = texts.filter("doc_id is not null").select("doc_id", "chunk", "text_hash", F.xxhash64(F.lit(1), "text").alias("other_hash"))
     least = keys.groupBy("text_hash", "other_hash").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).filter("least < most").drop("most")
+    least, p3 = written(least, "classes")  # settled, so that the rows of a frequent text can be split over the join's tasks
     copies = keys.join(least, ["text_hash", "other_hash"]).filter("doc_id > least").select("chunk", "doc_id", "text_hash")
 
     def pack(rows: pd.DataFrame) -> pd.DataFrame:
@@ -240,6 +241,6 @@ def remove_repeats(docs: DataFrame, with_text: bool = True, id_col: str = "doc_i
     out = beside(copies.union(held), _cut, columns)
     out, _ = written(out if with_text else out.drop("kept_text"), "kept")
     spark.sql(f"drop table {table}")
-    drop_path(spark, path, p0, p1, p2)
+    drop_path(spark, path, p0, p1, p2, p3)
     release_shuffles(spark)
     return out
