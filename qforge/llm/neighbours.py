@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from qforge.llm.common import written
+from qforge.llm.common import drop_path, written
 
 FIT_ROWS = 20_000
 LIST_BLOCK = 4096
@@ -78,19 +78,21 @@ def fit(rows: DataFrame, total: int, width: int, fit_rows: int = FIT_ROWS) -> In
 
 
 def probes_for(index: Index, x: np.ndarray, rng: np.random.Generator, queries: int = 256, k: int = 10) -> int:
-    """Lists to probe so that TARGET of the k nearest within the sample would be in them; in all rows, neighbours are nearer and easier to find."""
+    """The fewest lists with which TARGET is the mean recall of a query's k nearest among the sample's distinct vectors; in all rows, neighbours are nearer and easier to find."""
     lists = len(index.centroids)
+    x = np.unique(x, axis=0)  # copies are found in the first list and would hide what other queries miss
     if len(x) < 2:
         return lists
-    own, ranks = index.lists(x, 1)[:, 0], []
-    for i in rng.choice(len(x), size=min(queries, len(x)), replace=False):
+    own, found = index.lists(x, 1)[:, 0], np.zeros(lists)
+    asked = rng.choice(len(x), size=min(queries, len(x)), replace=False)
+    for i in asked:
         d = ((x - x[i]) ** 2).sum(axis=1)
         d[i] = np.inf
         near = np.argsort(d, kind="stable")[: min(k, len(x) - 1)]
         order = np.empty(lists, dtype=np.int64)
         order[index.lists(x[i : i + 1], lists)[0]] = np.arange(lists)
-        ranks.append(order[own[near]])
-    return int(np.quantile(np.concatenate(ranks), TARGET, method="higher")) + 1
+        found += np.bincount(order[own[near]], minlength=lists) / len(near)
+    return int(min(np.searchsorted(np.cumsum(found) / len(asked), TARGET - 1e-9) + 1, lists))
 
 
 def scan_block(ids: np.ndarray, v: np.ndarray, x: np.ndarray, qid: int, q: np.ndarray, qx: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -132,11 +134,11 @@ def search(vectors: DataFrame, k: int = 10, every: int = 100, id_col: str = "vec
     rows = rows.filter(F.size("v") == width)
     index = fit(rows, total, width)
 
-    def assign(n: int):
+    def assign(n: int, skip: int = 0):
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for b in batches:
                 x = np.array(b["v"].tolist(), dtype=np.float32).reshape(-1, width) @ index.rotation
-                near = index.lists(x, n)
+                near = index.lists(x, n)[:, skip:]
                 yield pd.DataFrame({"vec_id": np.repeat(b["vec_id"].to_numpy(), near.shape[1]), "list": near.ravel()})
 
         return run
@@ -147,9 +149,6 @@ def search(vectors: DataFrame, k: int = 10, every: int = 100, id_col: str = "vec
     block = F.pmod(F.xxhash64(F.lit(SEED + 1), "vec_id"), F.col("blocks")).cast("int").alias("block")
     base = lists.join(sizes, "list").select("vec_id", "list", block).join(rows, "vec_id").select("list", "block", "vec_id", "v")
     queries = rows.filter(F.col("vec_id") % every == 0)
-    probes = queries.mapInPandas(assign(index.probes), "vec_id long, list int").join(sizes, "list").select("vec_id", "list", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
-    asked = probes.join(queries, "vec_id").select("list", "block", "vec_id", "v")
-
     def scan(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         out = []
         if len(left) and len(right):
@@ -161,6 +160,30 @@ def search(vectors: DataFrame, k: int = 10, every: int = 100, id_col: str = "vec
                 out.append(pd.DataFrame({"query_id": qid, "vec_id": near, "score": np.sqrt(d2)}))
         return pd.concat(out, ignore_index=True) if out else pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
 
-    found = base.groupBy("list", "block").cogroup(asked.groupBy("list", "block")).applyInPandas(scan, "query_id long, vec_id long, score double")
-    ranked = found.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id"))).filter(F.col("rank") <= k)
-    return ranked.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+    def nearest(queries: DataFrame, n: int, skip: int) -> DataFrame:
+        """The k nearest of each query in its lists from the ``skip``-th to the n-th."""
+        probes = queries.mapInPandas(assign(n, skip), "vec_id long, list int").join(sizes, "list").select("vec_id", "list", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
+        asked = probes.join(queries, "vec_id").select("list", "block", "vec_id", "v")
+        found = base.groupBy("list", "block").cogroup(asked.groupBy("list", "block")).applyInPandas(scan, "query_id long, vec_id long, score double")
+        return best(found)
+
+    def best(found: DataFrame) -> DataFrame:
+        return found.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id")).cast("int")).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+
+    most, probed = len(index.centroids), index.probes
+    ranked, path = written(nearest(queries, probed, 0), "nearest")
+    while probed < most:
+        # queries with fewer rows than there are candidates look into further lists, four times as many each round, up to all
+        have = ranked.groupBy(F.col("query_id").alias("vec_id")).agg(F.count("*").alias("have"))
+        others = F.lit(total) - F.coalesce("same", F.lit(1))  # rows of the query's own id are no candidates
+        same = rows.join(queries.select("vec_id").distinct(), "vec_id", "left_semi").groupBy("vec_id").agg(F.count("*").alias("same"))
+        short = queries.join(have, "vec_id", "left").join(same, "vec_id", "left").filter(F.coalesce("have", F.lit(0)) < F.least(F.lit(k), others)).select("vec_id", "v")
+        short, short_path = written(short, "short")
+        if not short.limit(1).count():
+            drop_path(spark, short_path)
+            break
+        n = min(4 * probed, most)
+        more, more_path = written(best(nearest(short, n, probed).select("query_id", "vec_id", "score").union(ranked.select("query_id", "vec_id", "score"))), "nearest")
+        drop_path(spark, path, short_path)
+        ranked, path, probed = more, more_path, n
+    return ranked
