@@ -1,7 +1,7 @@
 """Approximate nearest neighbours: an inverted file whose probed lists are scanned dimension block by dimension block.
 
-Fitting, on a bounded sample of FIT_ROWS vectors: a random rotation (it spreads a vector's length evenly over the dimensions) and k-means centroids.
-Indexing: every vector goes to its nearest centroid's list. A list over LIST_BLOCK vectors is dealt by hash into blocks, so no task holds a hot list.
+Fitting, on a bounded sample of FIT_ROWS distinct vectors: a random rotation (it spreads a vector's length evenly over the dimensions) and k-means centroids.
+Indexing: every vector goes to its nearest centroid's list. Lists, and the queries of a list, are dealt by hash into blocks of LIST_BLOCK, so no task holds a hot list.
 
 Searching: a query goes to all blocks of the PROBES nearest lists. In a block, partial squared distances grow by COLUMNS rotated dimensions at a time. After d of D
 dimensions, the hypothesis "nearer than the current k-th" is rejected for a candidate whose partial distance, scaled by D / d, is over the k-th distance
@@ -16,6 +16,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -55,9 +56,10 @@ def usable(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedd
 
 def fit(rows: DataFrame, total: int, width: int, fit_rows: int = FIT_ROWS) -> Index:
     """Rotation and centroids from at most ``fit_rows`` vectors drawn by hash of the id. About sqrt(total) lists."""
-    share = min(1.0, 1.1 * fit_rows / max(total, 1))
-    sample = rows.filter(F.pmod(F.xxhash64(F.lit(SEED), "vec_id"), F.lit(1 << 20)) <= int(share * (1 << 20))).limit(fit_rows).toPandas()
-    x = np.array(sample.sort_values("vec_id")["v"].tolist(), dtype=np.float32).reshape(-1, width)
+    draw = F.pmod(F.xxhash64(F.lit(SEED), "vec_id"), F.lit(1 << 30))
+    share = min(1.0, 1.1 * fit_rows / max(total, 1))  # so the sample is bounded; the same rows at every run
+    sample = rows.withColumn("draw", draw).filter(F.col("draw") <= int(share * (1 << 30))).toPandas().sort_values(["draw", "vec_id"]).head(fit_rows)
+    x = np.array(sample["v"].tolist(), dtype=np.float32).reshape(-1, width)
     rng = np.random.default_rng(SEED)
     rotation = np.linalg.qr(rng.standard_normal((width, width)))[0].astype(np.float32)
     x = x @ rotation
@@ -95,9 +97,9 @@ def probes_for(index: Index, x: np.ndarray, rng: np.random.Generator, queries: i
     return int(min(np.searchsorted(np.cumsum(found) / len(asked), TARGET - 1e-9) + 1, lists))
 
 
-def scan_block(ids: np.ndarray, v: np.ndarray, x: np.ndarray, qid: int, q: np.ndarray, qx: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """The k nearest of a block to one query (ids, squared distances), by adaptive scanning of the rotated columns."""
-    left = np.flatnonzero(ids != qid)
+def scan_block(ids: np.ndarray, v: np.ndarray, x: np.ndarray, q: np.ndarray, qx: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """The k nearest of a block to one query (places, squared distances), by adaptive scanning of the rotated columns."""
+    left = np.arange(len(ids))
     width = x.shape[1]
     if len(left) > 4 * k:
         # a first k-th distance, from the candidates nearest over the first columns
@@ -114,7 +116,7 @@ def scan_block(ids: np.ndarray, v: np.ndarray, x: np.ndarray, qid: int, q: np.nd
         left = np.union1d(left, first)
     d2 = ((v[left] - q) ** 2).sum(axis=1)
     best = np.lexsort((ids[left], d2))[:k]
-    return ids[left][best], d2[best]
+    return left[best], d2[best]
 
 
 def search(vectors: DataFrame, k: int = 10, every: int = 100, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
@@ -122,68 +124,92 @@ def search(vectors: DataFrame, k: int = 10, every: int = 100, id_col: str = "vec
 
     score is the Euclidean distance in double precision; ties go to the smaller id. Vectors that are null, empty or zero, or hold null or non-finite components, and rows
     without an id take no part; nor do vectors of another width than the most common one (of the widest, if tied). With no candidate a query has no rows. Rows that
-    repeat an id and vector count once. Other columns are ignored.
+    repeat an id and vector count once; an id with several vectors stands for the smallest of them (compared component by component). Other columns are ignored.
+
+    Equal vectors are one class, searched for and measured once: of its ids only the k + 1 smallest can be among the nearest of any query, as ties go to the smaller id.
     """
     spark = vectors.sparkSession
     schema = "query_id long, rank int, vec_id long, score double"
-    rows, _ = written(usable(vectors, id_col, vector_col).distinct(), "vectors")
-    widths = rows.groupBy(F.size("v").alias("width")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), F.desc("width")).first()
+    fine = usable(vectors, id_col, vector_col)
+    widths = fine.groupBy(F.size("v").alias("width")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), F.desc("width")).first()
     if widths is None:
         return spark.createDataFrame([], schema)
-    width, total = widths["width"], widths["n"]
-    rows = rows.filter(F.size("v") == width)
-    index = fit(rows, total, width)
+    width = widths["width"]
+    rows, rows_path = written(fine.filter(F.size("v") == width).groupBy("vec_id").agg(F.min("v").alias("v")), "vectors")
+    total = rows.count()
+    # a class for each vector: its smallest ids; the limit by rank works before the shuffle too, so copies stay behind
+    ranked = rows.withColumn("r", F.row_number().over(Window.partitionBy("v").orderBy("vec_id"))).filter(F.col("r") <= k + 1)
+    classes, classes_path = written(ranked.groupBy("v").agg(F.min("vec_id").alias("cid"), F.array_sort(F.collect_list("vec_id")).alias("ids")), "classes")
+    index = fit(classes.select(F.col("cid").alias("vec_id"), "v"), classes.count(), width)
 
     def assign(n: int, skip: int = 0):
-        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """Rows repeated for each of their lists from the ``skip``-th to the n-th, with a column ``list``."""
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
-                x = np.array(b["v"].tolist(), dtype=np.float32).reshape(-1, width) @ index.rotation
+                x = b.column("v").flatten().to_numpy(zero_copy_only=False).reshape(-1, width).astype(np.float32) @ index.rotation
                 near = index.lists(x, n)[:, skip:]
-                yield pd.DataFrame({"vec_id": np.repeat(b["vec_id"].to_numpy(), near.shape[1]), "list": near.ravel()})
+                at = pa.array(np.repeat(np.arange(len(near)), near.shape[1]))
+                yield pa.RecordBatch.from_arrays([*[c.take(at) for c in b.columns], pa.array(near.ravel().astype(np.int32))], names=[*b.schema.names, "list"])
 
         return run
 
-    lists, _ = written(rows.mapInPandas(assign(1), "vec_id long, list int"), "lists")
+    member = "cid long, v array<double>, ids array<long>, list int"
+    lists, lists_path = written(classes.select("cid", "v", "ids").mapInArrow(assign(1), member), "lists")
     sizes = lists.groupBy("list").agg(F.ceil(F.count("*") / F.lit(LIST_BLOCK)).cast("int").alias("blocks"))  # a row a list, fit_rows / 16 at most
-    sizes = F.broadcast(sizes)
-    block = F.pmod(F.xxhash64(F.lit(SEED + 1), "vec_id"), F.col("blocks")).cast("int").alias("block")
-    base = lists.join(sizes, "list").select("vec_id", "list", block).join(rows, "vec_id").select("list", "block", "vec_id", "v")
-    queries = rows.filter(F.col("vec_id") % every == 0)
+    # the queries: the classes that hold one; a frequent vector asks once
+    asking = rows.filter(F.col("vec_id") % every == 0)
+    asking, asking_path = written(asking.join(classes.select("cid", "v"), "v").select("vec_id", "cid"), "asking")
+    queries = classes.select("cid", "v").join(asking.select("cid").distinct(), "cid", "left_semi")
+
     def scan(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         out = []
         if len(left) and len(right):
             v, q = (np.array(t["v"].tolist(), dtype=np.float64).reshape(-1, width) for t in (left, right))
             x, qx = (t.astype(np.float32) @ index.rotation for t in (v, q))
-            ids = left["vec_id"].to_numpy()
-            for i, qid in enumerate(right["vec_id"].to_numpy()):
-                near, d2 = scan_block(ids, v, x, qid, q[i], qx[i], k)
-                out.append(pd.DataFrame({"query_id": qid, "vec_id": near, "score": np.sqrt(d2)}))
-        return pd.concat(out, ignore_index=True) if out else pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
-
-    def nearest(queries: DataFrame, n: int, skip: int) -> DataFrame:
-        """The k nearest of each query in its lists from the ``skip``-th to the n-th."""
-        probes = queries.mapInPandas(assign(n, skip), "vec_id long, list int").join(sizes, "list").select("vec_id", "list", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
-        asked = probes.join(queries, "vec_id").select("list", "block", "vec_id", "v")
-        found = base.groupBy("list", "block").cogroup(asked.groupBy("list", "block")).applyInPandas(scan, "query_id long, vec_id long, score double")
-        return best(found)
+            cids, ids = left["cid"].to_numpy(), left["ids"].tolist()
+            for i, qid in enumerate(right["cid"].to_numpy()):
+                near, d2 = scan_block(cids, v, x, q[i], qx[i], k + 1)
+                many = [ids[j] for j in near]
+                out.append(pd.DataFrame({"cid": qid, "vec_id": np.concatenate(many), "score": np.repeat(np.sqrt(d2), [len(m) for m in many])}))
+        return pd.concat(out, ignore_index=True) if out else pd.DataFrame({"cid": [], "vec_id": [], "score": []})
 
     def best(found: DataFrame) -> DataFrame:
-        return found.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id")).cast("int")).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+        """The k + 1 nearest ids of each class, its own among them."""
+        return found.withColumn("r", F.row_number().over(Window.partitionBy("cid").orderBy("score", "vec_id"))).filter(F.col("r") <= k + 1).select("cid", "vec_id", "score")
+
+    def nearest(queries: DataFrame, n: int, skip: int) -> DataFrame:
+        """The nearest of each class in its lists from the ``skip``-th to the n-th; a list's candidates and its queries are both dealt in blocks."""
+        probes, path = written(queries.mapInArrow(assign(n, skip), "cid long, v array<double>, list int"), "probes")
+        dealt = sizes.join(probes.groupBy("list").agg(F.ceil(F.count("*") / F.lit(LIST_BLOCK)).cast("int").alias("query_blocks")), "list")
+        dealt = F.broadcast(dealt)  # a row a list
+        block = lambda name, n: F.pmod(F.xxhash64(F.lit(SEED + 1), "cid"), F.col(n)).cast("int").alias(name)
+        every_block = lambda name, n: F.explode(F.sequence(F.lit(0), F.col(n) - 1)).alias(name)
+        held = lists.join(dealt, "list").select("list", block("block", "blocks"), every_block("query_block", "query_blocks"), "cid", "v", "ids")
+        asked = probes.join(dealt, "list").select("list", block("query_block", "query_blocks"), every_block("block", "blocks"), "cid", "v")
+        group = ("list", "block", "query_block")
+        out, out_path = written(best(held.groupBy(*group).cogroup(asked.groupBy(*group)).applyInPandas(scan, "cid long, vec_id long, score double")), "nearest")
+        drop_path(spark, path)
+        return out, out_path
 
     most, probed = len(index.centroids), index.probes
-    ranked, path = written(nearest(queries, probed, 0), "nearest")
+    found, path = nearest(queries, probed, 0)
     while probed < most:
-        # queries with fewer rows than there are candidates look into further lists, four times as many each round, up to all
-        have = ranked.groupBy(F.col("query_id").alias("vec_id")).agg(F.count("*").alias("have"))
-        others = F.lit(total) - F.coalesce("same", F.lit(1))  # rows of the query's own id are no candidates
-        same = rows.join(queries.select("vec_id").distinct(), "vec_id", "left_semi").groupBy("vec_id").agg(F.count("*").alias("same"))
-        short = queries.join(have, "vec_id", "left").join(same, "vec_id", "left").filter(F.coalesce("have", F.lit(0)) < F.least(F.lit(k), others)).select("vec_id", "v")
+        # classes with fewer ids than there are look into further lists, four times as many each round, up to all
+        have = found.groupBy("cid").agg(F.count("*").alias("have"))
+        short = queries.join(have, "cid", "left").filter(F.coalesce("have", F.lit(0)) < min(k + 1, total)).drop("have")
         short, short_path = written(short, "short")
         if not short.limit(1).count():
             drop_path(spark, short_path)
             break
         n = min(4 * probed, most)
-        more, more_path = written(best(nearest(short, n, probed).select("query_id", "vec_id", "score").union(ranked.select("query_id", "vec_id", "score"))), "nearest")
-        drop_path(spark, path, short_path)
-        ranked, path, probed = more, more_path, n
-    return ranked
+        more, more_path = nearest(short, n, probed)
+        both, both_path = written(best(more.union(found)), "nearest")
+        drop_path(spark, path, short_path, more_path)
+        found, path, probed = both, both_path, n
+    # every query takes its class's nearest without itself
+    own = found.join(asking.select("cid", F.col("vec_id").alias("query_id")), "cid").filter("vec_id <> query_id")
+    own = own.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id")).cast("int")).filter(F.col("rank") <= k)
+    out, _ = written(own.select("query_id", "rank", "vec_id", "score"), "neighbours")
+    drop_path(spark, rows_path, classes_path, lists_path, asking_path, path)
+    return out
