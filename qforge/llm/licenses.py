@@ -8,9 +8,11 @@ bounded-error matching verifies the edits and gives the span.
 from __future__ import annotations
 
 import re
+from bisect import bisect_left, insort
 from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -30,6 +32,7 @@ class Notice:
 
 NOTICES = (
     Notice("permission is hereby granted free of charge to any person obtaining a copy", "mit", 6),
+    Notice("under the mit license", "mit", 1),
     Notice("licensed under the mit license", "mit", 2),
     Notice("released under the mit license", "mit", 2),
     Notice("licensed under the apache license version 2", "apache-2", 3),
@@ -51,6 +54,12 @@ def normalise(text: str | None) -> bytes:
     return b" ".join((text or "").encode("utf-8", "replace").translate(_FOLD).split())
 
 
+def word_starts(norm: bytes | str) -> np.ndarray:
+    """Where each word of a normalised text starts."""
+    codes = np.frombuffer(norm, np.uint8) if isinstance(norm, bytes) else np.frombuffer(norm.encode("utf-32-le"), "<u4")
+    return np.concatenate([[0], np.flatnonzero(codes == 32) + 1])
+
+
 def seeds_of(notice: Notice) -> list[tuple[int, str]]:
     """(offset, seed): errors + 1 pieces of near-equal length."""
     n, k = len(notice.text), notice.errors + 1
@@ -79,12 +88,12 @@ class Scanner:
 
     def places(self, norm: bytes) -> tuple[list[tuple[int, int, str]], list[str]]:
         """((first word, last word, label) of each phrase place, labels)."""
-        out = []
+        out, starts = [], None
         for plain, pattern, label in self.phrases:
             if plain in norm:
-                for m in pattern.finditer(norm):
-                    at = norm.count(b" ", 0, m.start())
-                    out.append((at, at + plain.count(b" "), label))
+                starts = word_starts(norm) if starts is None else starts
+                at = np.searchsorted(starts, [m.start() for m in pattern.finditer(norm)])
+                out += [(i, i + plain.count(b" "), label) for i in at.tolist()]
         return out, sorted({x[2] for x in out})
 
     def fuzzy(self, text: str) -> list[tuple[int, int, str, int, float]]:
@@ -104,8 +113,12 @@ class Scanner:
             if m := self.patterns[i].search(text, lo, hi):
                 found.append((m.start(), m.end(), notice.label, sum(m.fuzzy_counts), 1 - sum(m.fuzzy_counts) / len(notice.text)))
         kept: list[tuple[int, int, str, int, float]] = []
+        taken: dict[str, list[tuple[int, int]]] = {}  # of each label the spans kept so far, in order; none overlaps another
         for x in sorted(set(found), key=lambda x: (x[3], x[0] - x[1], x)):
-            if not any(x[0] < k[1] and k[0] < x[1] and x[2] == k[2] for k in kept):
+            mine = taken.setdefault(x[2], [])
+            at = bisect_left(mine, (x[1],))  # spans before ``at`` start before this one's end
+            if not (at and mine[at - 1][1] > x[0]):
+                insort(mine, (x[0], x[1]))
                 kept.append(x)
         return sorted(kept)
 
@@ -118,7 +131,10 @@ def license_scan(docs: DataFrame, phrases: tuple[tuple[str, str], ...] = PHRASES
 
     ``spans`` lists every place, exact ones with 0 edits, in words from 0 (last word included). score: 1 with an exact phrase, else the
     greatest 1 - edits / length of a notice, else 0. Null and empty texts have no words and no places. Rows that repeat give equal
-    rows. Other columns are ignored. Texts are scanned whole.
+    rows. An empty table gives no rows. Other columns are ignored. Texts are scanned whole; the time grows with the text and its seeds, not with their product.
+
+    The fuzzy search covers ``notices``. Of the contract's phrases, "under the mit license" is one of them (one edit); "apache license version 2" is searched only behind "licensed
+    under the", and "cc by nc" not at all: one edit makes other versions and licenses of them ("version 1", "cc by nd").
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -130,7 +146,11 @@ def license_scan(docs: DataFrame, phrases: tuple[tuple[str, str], ...] = PHRASES
                 places, base = scanner.places(norm)
                 fuzzy = scanner.fuzzy(text := norm.decode("utf-8")) if norm else []
                 spans = [(s, e, label, 0) for s, e, label in places]
-                spans += [(text.count(" ", 0, s + (text[s : s + 1] == " ")), text.count(" ", 0, e - (text[e - 1 : e] == " ")), label, edits) for s, e, label, edits, _ in fuzzy]
+                if fuzzy:
+                    begin = word_starts(text)
+                    first = np.searchsorted(begin, [s + (text[s : s + 1] == " ") for s, *_ in fuzzy], side="right") - 1
+                    last = np.searchsorted(begin, [e - (text[e - 1 : e] == " ") for _, e, *_ in fuzzy]) - 1
+                    spans += [(i, j, label, edits) for i, j, (_, _, label, edits, _) in zip(first.tolist(), last.tolist(), fuzzy, strict=True)]
                 starts = [s for s, _, _ in places]
                 rows.append((norm.count(b" ") + 1 if norm else 0, len(places), min(starts, default=None), max(starts, default=None), ",".join(base), ",".join(sorted({*base, *(x[2] for x in fuzzy)})), 1.0 if places else max((x[4] for x in fuzzy), default=0.0), sorted(set(spans))))
             out = pd.DataFrame(rows, columns=["n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score", "spans"]).astype({"first_word": "Int64", "last_word": "Int64"})
