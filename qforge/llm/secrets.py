@@ -102,8 +102,9 @@ def scan(docs: DataFrame, ledger_path: str, rules: tuple[Rule, ...] = RULES, id_
     seen = ledger.groupBy("blob").agg(F.collect_set(F.struct("rule", "version")).alias("seen"))
     due = holders.join(seen, "blob", "left").select("blob", "holder.id", F.array_except(wanted, F.coalesce("seen", F.array().cast("array<struct<rule:string,version:int>>"))).alias("due")).filter("size(due) > 0")
     # joined by document, not by blob: the rows of a hot blob are spread over all tasks
-    key = lambda d: F.coalesce(F.col(d), F.lit(-1).cast("long"))  # noqa: E731  equal keys of null and -1 are told apart by the blob
-    new = texts.withColumn("k", key("id")).join(due.withColumn("k", key("id")).drop("id").withColumnRenamed("blob", "b"), "k").filter("blob = b")
+    # and the blob, so that rows without an id, or with one id, meet their own text only
+    due = due.select(F.col("id").alias("holder"), F.col("blob").alias("held"), "due")
+    new = texts.join(due, texts["id"].eqNullSafe(due["holder"]) & (texts["blob"] == due["held"])).select("blob", "text", "due")
     found = new.select("blob", *[F.when(F.array_contains("due", F.struct(F.lit(r.kind).alias("rule"), F.lit(r.version).alias("version"))), spans_of(F.col("text"), r)).alias(f"r{i}") for i, r in enumerate(rules)])
     found = found.dropDuplicates(["blob"])  # rows that repeat an id and text
     rows = found.select("blob", F.explode(F.array(*[F.struct(F.lit(r.kind).alias("rule"), F.lit(r.version).alias("version"), F.col(f"r{i}").alias("spans")) for i, r in enumerate(rules)])).alias("e")).select("blob", "e.*").filter("spans is not null")
@@ -115,7 +116,8 @@ def findings(docs: DataFrame, ledger_path: str | None = None, rules: tuple[Rule,
     """One row per document row: doc_id, n_assign, n_access, n_hex, base_sha256, spans, from an up-to-date ledger.
 
     ``spans`` lists kind:start:end of all rules, ordered by start, then by the order of the rules, then by end; base_sha256 is of the base
-    kinds only. Null texts are empty. Rows that repeat get equal results. Without a path the ledger starts empty in the shared folder.
+    kinds only. Null texts are empty. Rows that repeat get equal results; rows without an id are documents like any other. An empty table gives no rows. Other columns,
+    whatever their names, are ignored. Without a path the ledger starts empty in the shared folder.
     """
     spark = docs.sparkSession
     ledger = scan(docs, ledger_path or scratch(spark, "ledger"), rules, id_col, text_col)
