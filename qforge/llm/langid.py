@@ -37,7 +37,7 @@ def letters_table() -> np.ndarray:
     """Code point to its lower-case letter, or to a space if it is no letter; built once for each Python worker."""
     if not _TABLE:
         table = np.full(0x110000, 32, dtype=np.uint32)
-        for c in range(0x30000):
+        for c in range(len(table)):
             if (ch := chr(c)).isalpha():
                 low = ch.lower()
                 table[c] = ord(low) if len(low) == 1 else c
@@ -167,7 +167,10 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
 
 
 def identified(docs: DataFrame, model: Model) -> DataFrame:
-    """The documents, with all their columns, that are not rejected."""
+    """The documents, with all their columns, that are not rejected.
+
+    Null texts, blank ones and ones without a letter are rejected; so is everything if nothing was learned. Rows that repeat stay as often as they occur.
+    """
 
     @F.pandas_udf("boolean")
     def accepted(texts: pd.Series) -> pd.Series:
@@ -177,5 +180,8 @@ def identified(docs: DataFrame, model: Model) -> DataFrame:
 
 
 def predicted(docs: DataFrame) -> DataFrame:
-    """Learn from the documents that are not held out, then predict all."""
+    """Learn from the documents that are not held out, then predict all: one row per document row, as ``identify`` gives them.
+
+    Without a labelled document nothing is learned and all are ``und``, score 0. An empty table gives no rows. Other columns are ignored.
+    """
     return identify(docs, trained(docs))
