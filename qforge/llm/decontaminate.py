@@ -20,7 +20,8 @@ from qforge.llm.common import written
 
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-#: Bytes of the prefix table up to which it is broadcast; beyond that both sides are shuffled by word.
+#: Bytes of the prefix table up to which it is broadcast; beyond that the places of words that any prefix has are found first, and only the
+#: regions around those are shuffled.
 BROADCAST_BYTES = 32 << 20
 
 
@@ -64,8 +65,16 @@ def hits(docs: DataFrame, benchmark: DataFrame, window: int = 13) -> DataFrame:
     probe, _ = written(prefixes(docs, benchmark, window), "prefixes")
     fits = small(probe, F.aggregate("words", F.lit(64).cast("long"), lambda a, w: a + F.octet_length(w) + 8))
     own = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), words(F.col("text")).alias("doc_words"))
-    found = own.select("doc_id", "text_hash", "doc_words", F.posexplode_outer("doc_words").alias("pos", "word"))
-    # only the region around a word is kept of its document: after a broadcast join for the words that met a prefix, before a shuffle for all
+    if fits:
+        found = own.select("doc_id", "text_hash", "doc_words", F.posexplode_outer("doc_words").alias("pos", "word"))
+    else:
+        # where a document has a word that any prefix has: narrow rows, and a frequent word's rows can be split over the join's tasks
+        at = own.select("doc_id", "text_hash", F.posexplode(F.transform("doc_words", lambda w: F.xxhash64(w))).alias("pos", "h"))
+        at = at.join(probe.select(F.xxhash64("word").alias("h")).distinct(), "h", "left_semi").groupBy("doc_id", "text_hash").agg(F.collect_set("pos").alias("places"))
+        at = written(at, "places")[0].select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), "places")
+        own = own.join(at, own["doc_id"].eqNullSafe(at["_id"]) & (own["text_hash"] == at["_hash"]))
+        found = own.select("doc_id", "text_hash", "doc_words", F.explode("places").alias("pos")).withColumn("word", F.get("doc_words", F.col("pos")))
+    # only the region around a word that met a prefix is kept of its document
     reach = F.lit(window - 1)
     shift = F.greatest(F.col("pos") - reach, F.lit(0))
     region = F.slice("doc_words", shift + 1, F.lit(2 * window - 1)).alias("doc_words")
@@ -123,7 +132,10 @@ def _judged(docs: DataFrame, benchmark: DataFrame, window: int, share: int) -> D
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, window: int = 13, share: int = 20) -> DataFrame:
-    """The documents, with all their columns, that are not contaminated."""
+    """The documents, with all their columns, that are not contaminated.
+
+    Null and empty texts have no words and stay. Rows that repeat are judged alike. An empty benchmark leaves all documents.
+    """
     bad, _ = written(_judged(docs, benchmark, window, share).filter("contaminated").select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).distinct(), "contaminated")
     own = docs.withColumn("_text_hash", F.xxhash64("text"))
     bad = hinted(bad, small(bad, F.lit(64)))
