@@ -11,19 +11,21 @@ windows share an equal run of WINDOW - PERIOD + 1 words (an anchor) that starts
    holds goes back;
 3. each document drops its covered words.
 
-Documents are staged in chunks of CHUNK_ROWS rows, bucketed by chunk, so every round reads its texts in place and only packed hashes travel. What a
-chunk sends is unique within it, so a passage of a third of all documents arrives once a chunk, and never as pairs.
+Documents are staged in chunks of CHUNK_ROWS rows, bucketed by chunk, so every round reads its texts in place and only packed hashes travel. A chunk is worked on
+in slices of about SLICE_BYTES of text, whatever its documents' lengths. What a slice sends is unique within it, so a passage of a third of all
+documents arrives once a slice, and never as pairs. Hashes meet in buckets whose number grows with the bytes of all texts.
 """
 
 from __future__ import annotations
 
 import hashlib
 import uuid
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from qforge.llm.common import drop_path, release_shuffles, scratch, written
@@ -31,6 +33,11 @@ from qforge.llm.common import drop_path, release_shuffles, scratch, written
 WINDOW = 13
 PERIOD, COVER = 7, (0, 1, 3)
 CHUNK_ROWS = 2048
+#: Documents over LONG bytes are in chunks of their own, of fewer rows.
+LONG, LONG_ROWS = 1 << 17, 64
+SLICE_BYTES = 8 << 20
+#: Bytes of text for each bucket in which hashes meet: about 4 million anchors.
+BUCKET_BYTES = 56 << 20
 MIX = np.uint64(0x9E3779B97F4A7C15)
 
 PACKED = "bucket int, chunk long, a binary, b binary, c binary, d binary"
@@ -87,6 +94,17 @@ class Chunk:
         return rolling(self.h, WINDOW, 0x5851F42D4C957F2D)[at], (rolling(self.h, WINDOW, 0xD6E8FEB86659FD93)[at] >> np.uint64(32)).astype(np.uint32)
 
 
+def slices(rows: pd.DataFrame, copies: pd.DataFrame) -> Iterator[Chunk]:
+    """A chunk's documents in runs of about SLICE_BYTES: memory follows the slice."""
+    size = np.cumsum([len(t) if t else 0 for t in rows["text"]])
+    for _, at in pd.Series(np.arange(len(rows))).groupby((size - 1) // SLICE_BYTES):
+        yield Chunk(rows.iloc[at.to_numpy()], copies)
+
+
+def _sent(left: pd.DataFrame, right: pd.DataFrame, send: Callable[[Chunk, pd.DataFrame], pd.DataFrame]) -> pd.DataFrame:
+    return pd.concat([send(chunk, right) for chunk in slices(left, right)] or [pd.DataFrame(columns=["bucket", "chunk", "a", "b", "c", "d"])], ignore_index=True)
+
+
 def _packed(chunk: int, buckets: int, key: np.ndarray, *columns: np.ndarray) -> pd.DataFrame:
     """One row for each bucket of the keys' high bits."""
     b = ((key >> np.uint64(40)) % np.uint64(buckets)).astype(np.int64)
@@ -101,16 +119,15 @@ def _back(rows: list[tuple]) -> pd.DataFrame:
 
 
 def _send_anchors(buckets: int):
-    def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        chunk = Chunk(left, right)
+    def send(chunk: Chunk, right: pd.DataFrame) -> pd.DataFrame:
         at, h = chunk.anchors()
         order = np.lexsort((chunk.doc[at], h))
         h, doc = h[order], chunk.doc[at][order]
         first = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]])) if len(h) else np.empty(0, np.int64)
         last = np.concatenate([first[1:], [len(h)]]) - 1 if len(h) else first
-        return _packed(int(left["chunk"].iloc[0]), buckets, h[first], (doc[first] != doc[last]).astype(np.uint8))
+        return _packed(int(chunk.rows["chunk"].iloc[0]), buckets, h[first], (doc[first] != doc[last]).astype(np.uint8))
 
-    return run
+    return lambda left, right: _sent(left, right, send)
 
 
 def _meet_anchors(rows: pd.DataFrame) -> pd.DataFrame:
@@ -129,8 +146,7 @@ def _meet_anchors(rows: pd.DataFrame) -> pd.DataFrame:
 
 
 def _send_windows(buckets: int):
-    def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        chunk = Chunk(left, right)
+    def send(chunk: Chunk, right: pd.DataFrame) -> pd.DataFrame:
         at, h = chunk.anchors()
         blobs = [np.frombuffer(a, "<u8") for a in right.loc[right["kind"] == ANCHOR, "a"]]
         shared = np.sort(np.concatenate(blobs)) if blobs else np.empty(0, np.uint64)
@@ -146,9 +162,9 @@ def _send_windows(buckets: int):
         w, v, ids = w[order], v[order], ids[order]
         first = np.flatnonzero(np.concatenate([[True], (w[1:] != w[:-1]) | (v[1:] != v[:-1])])) if len(w) else np.empty(0, np.int64)
         last = np.concatenate([first[1:], [len(w)]]) - 1 if len(w) else first
-        return _packed(int(left["chunk"].iloc[0]), buckets, w[first], v[first], ids[first], ids[last])
+        return _packed(int(chunk.rows["chunk"].iloc[0]), buckets, w[first], v[first], ids[first], ids[last])
 
-    return run
+    return lambda left, right: _sent(left, right, send)
 
 
 def _meet_windows(rows: pd.DataFrame) -> pd.DataFrame:
@@ -171,7 +187,10 @@ def _meet_windows(rows: pd.DataFrame) -> pd.DataFrame:
 
 
 def _cut(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-    chunk = Chunk(left, right)
+    return pd.concat([_cut_slice(chunk, right) for chunk in slices(left, right)] or [pd.DataFrame(columns=["doc_id", "n_words", "n_removed", "kept_sha256", "kept_text"])], ignore_index=True)
+
+
+def _cut_slice(chunk: Chunk, right: pd.DataFrame) -> pd.DataFrame:
     held = right[right["kind"] == HELD]
     gone = np.zeros(len(chunk.h), dtype=bool)
     if len(held):
@@ -201,7 +220,7 @@ def _cut(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
                 kept = [x for x, drop in zip(words, g.tolist(), strict=True) if not drop]
         out.append((len(words), len(words) - len(kept), hashlib.sha256(text := b" ".join(kept)).hexdigest(), text.decode("utf-8")))
     got = pd.DataFrame(out, columns=["n_words", "n_removed", "kept_sha256", "kept_text"])
-    got.insert(0, "doc_id", left["doc_id"].to_numpy())
+    got.insert(0, "doc_id", chunk.rows["doc_id"].to_numpy())
     return got
 
 
@@ -212,15 +231,29 @@ def remove_repeats(docs: DataFrame, with_text: bool = True, id_col: str = "doc_i
     repeat an id take nothing from each other. An empty table gives no rows. Other columns are ignored.
     """
     spark = docs.sparkSession
-    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    shuffles = int(spark.conf.get("spark.sql.shuffle.partitions"))
     at = F.monotonically_increasing_id()
     staged = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).withColumn("at", at)
-    # rows of a partition in runs of CHUNK_ROWS: the partition is in the high 31 bits
-    chunk = F.shiftright("at", 33) * F.lit(1 << 20) + F.floor(F.col("at").bitwiseAND((1 << 33) - 1) / CHUNK_ROWS).cast("long")
+    # rows of a partition in runs: the partition is in the high 31 bits
+    row, long = F.col("at").bitwiseAND((1 << 33) - 1), F.octet_length("text") > LONG
+    chunk = F.shiftright("at", 33) * F.lit(1 << 30) + F.when(long, F.lit(1 << 29) + F.floor(row / LONG_ROWS)).otherwise(F.floor(row / CHUNK_ROWS)).cast("long")
     staged = staged.select("doc_id", "text", F.xxhash64("text").alias("text_hash"), chunk.alias("chunk"))
     table, path = f"substrings_{uuid.uuid4().hex}", scratch(spark, "substrings")
-    staged.write.format("parquet").option("compression", "zstd").option("path", path).bucketBy(buckets, "chunk").saveAsTable(table)
-    texts = spark.table(table)
+    seen = Observation()
+    staged.observe(seen, F.sum(F.octet_length("text")).alias("bytes")).write.format("parquet").option("compression", "zstd").option("path", path).bucketBy(shuffles, "chunk").saveAsTable(table)
+    buckets = max(shuffles, -(-(seen.get["bytes"] or 0) // BUCKET_BYTES))
+    try:
+        out, paths = _rounds(spark, spark.table(table), buckets)
+        out, _ = written(out if with_text else out.drop("kept_text"), "kept")
+    finally:
+        spark.sql(f"drop table {table}")  # its files are in the shared folder
+    drop_path(spark, path, *paths)
+    release_shuffles(spark)
+    return out
+
+
+def _rounds(spark: SparkSession, texts: DataFrame, buckets: int) -> tuple[DataFrame, list[str]]:
+    """What is kept of the staged documents, and the scratch tables it is made from."""
 
     # round 0: the rows whose text has a smaller id, packed for each chunk; two hashes stand for a text
     keys = texts.filter("doc_id is not null").select("doc_id", "chunk", "text_hash", F.xxhash64(F.lit(1), "text").alias("other_hash"))
@@ -237,10 +270,4 @@ def remove_repeats(docs: DataFrame, with_text: bool = True, id_col: str = "doc_i
     release_shuffles(spark)
     held, p2 = written(beside(copies.union(anchors), _send_windows(buckets), PACKED).groupBy("bucket").applyInPandas(_meet_windows, BACK), "windows")
     release_shuffles(spark)
-    columns = "doc_id long, n_words long, n_removed long, kept_sha256 string, kept_text string"
-    out = beside(copies.union(held), _cut, columns)
-    out, _ = written(out if with_text else out.drop("kept_text"), "kept")
-    spark.sql(f"drop table {table}")
-    drop_path(spark, path, p0, p1, p2, p3)
-    release_shuffles(spark)
-    return out
+    return beside(copies.union(held), _cut, "doc_id long, n_words long, n_removed long, kept_sha256 string, kept_text string"), [p0, p1, p2, p3]
