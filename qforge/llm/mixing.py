@@ -2,12 +2,15 @@
 
 1. A table of sources: words, weight, target. Targets stop at ``cap`` times a source's words; what is over is shared again by weight
    (water filling, in closed form over the sources in order of cap / weight).
-2. Each source's documents are dealt by hash into at most BLOCKS blocks. A mix takes whole epochs of a source and, for the rest,
-   blocks in permuted order; of the block that crosses the target, documents in permuted order, the last one in part.
+2. Each source's documents are dealt by hash into blocks, LEAST_BLOCKS of them or more, so that a block of a source has about BLOCK_ROWS rows
+   at most. A mix takes whole epochs of a source and, for the rest, blocks in permuted order; of the block that crosses the target, documents in permuted order, the last one in part.
    So a source's taken words are its target, rounded to words.
 3. The drawn blocks of a source are its quota. A binary tree over the output shards splits the quotas: at a node, the left half's
    counts are drawn from the multivariate hypergeometric distribution, one source after the other. The leaves' exact quotas
-   give each shard disjoint runs of the source's permuted blocks; ``shuffle_key`` orders the rows of a shard.
+   give each shard disjoint runs of the source's permuted blocks.
+4. ``write_mixture`` writes every shard to its own folder, its rows in the order of ``shuffle_key`` and epoch: shuffled locally.
+
+A source is a row of step 1 and a number at a node of the tree, which are small tables whatever the documents are.
 
 Everything is derived from a seed and hashes of the rows, so reruns agree.
 """
@@ -19,9 +22,12 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from qforge.llm.common import WORD, written
+from qforge.llm.common import WORD, drop_path, scratch, written
 
-BLOCKS = 1024
+LEAST_BLOCKS, BLOCK_ROWS = 1024, 4096
+SHARD = "_shard"
+#: Rows of a shard that one task sorts and writes.
+FILE_ROWS = 200_000
 WEIGHTS = (5, 2, 1)
 CAP = 3
 LEVELS = 4  # 16 shards
@@ -31,8 +37,9 @@ BROADCAST_ROWS = 100_000
 
 def keyed(docs: DataFrame, seed: int = SEED) -> DataFrame:
     """Adds _s (source; '' for null, '=' before any other), _size, _key (hash of the row) and _block."""
+    blocks = max(LEAST_BLOCKS, 1 << max(0, (docs.count() - 1) // BLOCK_ROWS).bit_length())
     size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
-    return docs.withColumns({"_s": F.coalesce(F.concat(F.lit("="), F.col("source")), F.lit("")), "_size": size, "_key": F.xxhash64(F.lit(seed), "doc_id", "text")}).withColumn("_block", F.pmod(F.col("_key"), F.lit(BLOCKS)).cast("int"))
+    return docs.withColumns({"_s": F.coalesce(F.concat(F.lit("="), F.col("source")), F.lit("")), "_size": size, "_key": F.xxhash64(F.lit(seed), "doc_id", "text")}).withColumn("_block", F.pmod(F.col("_key"), F.lit(blocks)).cast("int"))
 
 
 def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP) -> DataFrame:
@@ -155,12 +162,35 @@ def mixture(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP,
     return decide(rows, plan(rows, weights, cap, levels, seed), seed).select("doc_id", F.col("_size").alias("size"), "source_size", "target", "taken", "shards", F.xxhash64(F.lit(seed + 4), "_key").alias("shuffle_key"))
 
 
+def write_mixture(docs: DataFrame, path: str, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP, levels: int = LEVELS, seed: int = SEED) -> str:
+    """Write the mix: every document whole, once for each time it is drawn, with the columns of ``docs``; the folders are its shards.
+
+    A shard's rows are shuffled: they are in the order of a hash of the row and the epoch within each of its files, and dealt to the files by another. The one
+    document of a source that the target cuts is written whole if at least half of it is taken. Documents without a word are not drawn. Rows that repeat are rows of their own. An
+    empty table, or one without a word, makes an empty file.
+    """
+    own = F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("_own")  # so that no name clashes with those of a plan
+    rows = keyed(docs.select("doc_id", "source", "text", own), seed).drop("source", "text")
+    sizes, sizes_path = written(rows.select("_s", "_size", "_block"), "mix-rows")
+    drawn = decide(rows, plan(sizes, weights, cap, levels, seed), seed)
+    last = F.when(2 * F.col("_last") >= F.col("_size"), 1).otherwise(0)
+    drawn = drawn.filter("_size > 0").withColumn("_n", F.col("epochs") + last).filter("_n > 0")
+    drawn = drawn.select("_own", "_key", F.explode(F.filter("units", lambda u: u["epoch"] < F.col("_n"))).alias("_u"))
+    drawn = drawn.select("_own", F.col("_u.shard").alias("_shard"), F.xxhash64(F.lit(seed + 4), "_key", "_u.epoch").alias("_order"))
+    total = sizes.count() * cap
+    files = max(1, -(-total // (FILE_ROWS << levels)))
+    dealt = drawn.repartition((2 << levels) * files, "_shard", F.pmod(F.xxhash64(F.lit(seed + 5), "_order"), F.lit(files)))
+    shard = SHARD
+    while shard in map(str.lower, docs.columns):
+        shard += "_"
+    sorted_rows = dealt.sortWithinPartitions("_shard", "_order").select("_own.*", F.col("_shard").alias(shard))
+    sorted_rows.write.partitionBy(shard).option("compression", "zstd").parquet(path)
+    drop_path(docs.sparkSession, sizes_path)
+    return path
+
+
 def mixed_documents(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP, levels: int = LEVELS, seed: int = SEED) -> DataFrame:
-    """The documents of the mix, whole and as often as it takes them, with the columns of ``docs``. The one document of a source that the
-    target cuts is kept whole if at least half of it is taken."""
-    columns = docs.columns
-    rows = keyed(docs, seed)
-    sizes, _ = written(rows.select("_s", "_size", "_block"), "mix-rows")
-    out = decide(rows, plan(sizes, weights, cap, levels, seed), seed)
-    copies = F.round(F.col("taken") / F.col("_size")).cast("int")
-    return out.filter("_size > 0 and 2 * taken >= _size").withColumn("_copy", F.explode(F.sequence(F.lit(1), copies))).select(*columns)
+    """The documents of the mix, whole and as often as it takes them, with the columns of ``docs``: the rows of ``write_mixture``, read from its shards."""
+    spark = docs.sparkSession
+    path = write_mixture(docs, scratch(spark, "mixture"), weights, cap, levels, seed)
+    return spark.read.schema(docs.schema).parquet(path).select(*[f"`{c}`" for c in docs.columns])
