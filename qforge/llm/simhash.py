@@ -3,7 +3,7 @@
 1. A 64-bit fingerprint for each text, from the XXH64 (seed 42) of its word shingles.
 2. Equal fingerprints collapse first (partial aggregation), so copies never meet as pairs.
 3. The 64 bits are cut into partitions that keep correlated bits together. A dynamic program gives each partition a
-   threshold T_i >= -1 with sum(T_i + 1) = radius + 1, the cheapest by estimated candidates. Two fingerprints at
+   threshold T_i >= -1 with sum(T_i + 1) = radius + 1, the cheapest by the candidates that the observed patterns of its bits make. Two fingerprints at
    distance <= radius differ in at most T_i bits of some partition i, so probing each partition with its own
    threshold misses no pair.
 4. Probing with threshold t masks t bits of the partition in every way; fingerprints that agree on the rest meet in
@@ -15,7 +15,7 @@
 from __future__ import annotations
 
 import itertools
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from math import comb
 
 import numpy as np
@@ -27,6 +27,8 @@ from pyspark.sql import functions as F
 from qforge.llm.common import drop_path, written
 
 BITS = 64
+#: Bits whose patterns are counted together.
+PROJECTED = 16
 #: Members of a bucket that one task verifies against each other.
 BLOCK = 2048
 
@@ -85,7 +87,7 @@ def bit_statistics(fps: DataFrame) -> tuple[int, np.ndarray]:
 
 
 def group_bits(n: int, gram: np.ndarray, parts: int) -> list[list[int]]:
-    """Cut the bits into ``parts`` groups of near-equal width, greedily adding the bit most correlated with the group."""
+    """Cut the bits into ``parts`` groups of near-equal width, greedily adding the bit most correlated with the group; bits in the order in which they were added."""
     p = np.diag(gram) / max(n, 1)
     cov = gram / max(n, 1) - np.outer(p, p)
     dev = np.sqrt(np.maximum(np.outer(p * (1 - p), p * (1 - p)), 1e-12))
@@ -100,31 +102,80 @@ def group_bits(n: int, gram: np.ndarray, parts: int) -> list[list[int]]:
             best = max(left, key=lambda b: (corr[b, group].sum(), -b))
             group.append(best)
             left.remove(best)
-        groups.append(sorted(group))
+        groups.append(group)
     return groups
 
 
-def candidates_within(n: int, p: np.ndarray, group: list[int], most: int) -> list[float]:
-    """Estimated pairs that differ in at most t bits of the group, t = 0..most, from each bit's share of ones."""
-    dist = np.zeros(len(group) + 1)
-    dist[0] = 1.0
-    for b in group:
-        d = 2 * p[b] * (1 - p[b])
-        dist[1:] = dist[1:] * (1 - d) + dist[:-1] * d
-        dist[0] *= 1 - d
+def blocks_of(group: list[int]) -> list[list[int]]:
+    """A group's bits in runs of at most PROJECTED bits: the patterns of a run are counted."""
+    n = -(-len(group) // PROJECTED)
+    return [group[len(group) * i // n : len(group) * (i + 1) // n] for i in range(n)]
+
+
+def projections(fps: DataFrame, blocks: list[list[int]]) -> list[np.ndarray]:
+    """For each block of bits how many of all fingerprints have each of its patterns: 2 ** width counts."""
+    offsets = np.cumsum([0, *(1 << len(b) for b in blocks)])
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total = np.zeros(offsets[-1], dtype=np.int64)
+        for b in batches:
+            for part in np.array_split(b["fp"].to_numpy(dtype=np.int64).view(np.uint64), max(1, len(b) // 65536)):
+                for at, bits in zip(offsets, blocks, strict=False):
+                    pattern = np.zeros(len(part), dtype=np.int64)
+                    for k, bit in enumerate(bits):
+                        pattern |= ((part >> np.uint64(BITS - 1 - bit)) & np.uint64(1)).astype(np.int64) << k
+                    total[at : at + (1 << len(bits))] += np.bincount(pattern, minlength=1 << len(bits))
+        seen = np.flatnonzero(total)
+        if len(seen):
+            yield pd.DataFrame({"at": seen, "n": total[seen]})
+
+    rows = fps.select("fp").mapInPandas(run, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).toPandas()  # as many rows as there are patterns at most
+    total = np.zeros(offsets[-1], dtype=np.int64)
+    total[rows["at"].to_numpy(dtype=np.int64)] = rows["n"].to_numpy(dtype=np.int64)
+    return np.split(total, offsets[1:-1])
+
+
+def distances(counts: np.ndarray) -> np.ndarray:
+    """The chance that two different fingerprints differ in d bits of a block, d = 0..width, from how often each of its patterns occurs.
+
+    The pairs whose patterns differ by x are the counts' correlation with themselves under XOR, which a Walsh-Hadamard transform gives for all x at once.
+    """
+    n, width = int(counts.sum()), len(counts).bit_length() - 1
+    if n < 2:
+        return np.eye(1, width + 1)[0]
+
+    def transform(v: np.ndarray) -> np.ndarray:
+        for k in range(width):
+            v = v.reshape(-1, 2, 1 << k)
+            v = np.stack([v[:, 0] + v[:, 1], v[:, 0] - v[:, 1]], axis=1).reshape(-1)
+        return v
+
+    pairs = transform(transform(counts.astype(np.float64)) ** 2) / len(counts)
+    pairs[0] -= n  # a fingerprint with itself
+    by_bits = np.bincount(np.bitwise_count(np.arange(len(counts), dtype=np.uint64)).astype(np.int64), weights=np.maximum(pairs, 0), minlength=width + 1)
+    return by_bits / (n * (n - 1.0))
+
+
+def candidates_within(n: int, counts: list[np.ndarray], most: int) -> list[float]:
+    """Estimated pairs that differ in at most t bits of a group, t = 0..most, from the observed patterns of its blocks.
+
+    Exact for a group of one block; the blocks of a wider group are taken as independent of each other.
+    """
+    dist = np.ones(1)
+    for c in counts:
+        dist = np.convolve(dist, distances(c))
     return [n * max(n - 1, 0) / 2 * float(dist[: t + 1].sum()) for t in range(most + 1)]
 
 
-def allocate(n: int, p: np.ndarray, groups: list[list[int]], radius: int) -> tuple[float, list[int]]:
+def allocate(n: int, pairs: list[list[float]], widths: list[int], radius: int) -> tuple[float, list[int]]:
     """Thresholds by dynamic programming: the least cost with sum(T_i + 1) = radius + 1; T_i = -1 leaves a partition out.
 
     The cost of a partition is the rows that probing it makes plus the candidate pairs to verify.
     """
     best: dict[int, tuple[float, list[int]]] = {0: (0.0, [])}
-    for g in groups:
-        pairs = candidates_within(n, p, g, radius)
+    for found, width in zip(pairs, widths, strict=True):
         # a probe is written, sorted and read; verifying a pair is two machine words and a popcount
-        cost = [0.0] + [n * comb(len(g), min(t, len(g))) + 0.01 * pairs[t] * comb(len(g), min(t, len(g))) for t in range(radius + 1)]
+        cost = [0.0] + [n * comb(width, min(t, width)) + 0.01 * found[t] * comb(width, min(t, width)) for t in range(radius + 1)]
         step: dict[int, tuple[float, list[int]]] = {}
         for used, (c, chosen) in best.items():
             for k in range(radius + 2 - used):
@@ -135,14 +186,15 @@ def allocate(n: int, p: np.ndarray, groups: list[list[int]], radius: int) -> tup
     return best[radius + 1]
 
 
-def plan_partitions(n: int, gram: np.ndarray, radius: int = 3) -> list[tuple[list[int], int]]:
-    """The (bits, threshold) of each partition to probe, the cheapest over several numbers of partitions."""
-    p = np.diag(gram) / max(n, 1)
+def plan_partitions(n: int, gram: np.ndarray, counted: Callable[[list[list[int]]], list[np.ndarray]], radius: int = 3) -> list[tuple[list[int], int]]:
+    """The (bits, threshold) of each partition to probe, the cheapest over several numbers of partitions; ``counted`` gives the patterns' counts of blocks of bits."""
+    cuts = [group_bits(n, gram, parts) for parts in range(2, radius + 4)]
+    counts = iter(counted([b for groups in cuts for g in groups for b in blocks_of(g)]))
     plans = []
-    for parts in range(2, radius + 4):
-        groups = group_bits(n, gram, parts)
-        cost, t = allocate(n, p, groups, radius)
-        plans.append((cost, parts, [(g, e) for g, e in zip(groups, t, strict=True) if e >= 0]))
+    for groups in cuts:
+        pairs = [candidates_within(n, [next(counts) for _ in blocks_of(g)], radius) for g in groups]
+        cost, t = allocate(n, pairs, [len(g) for g in groups], radius)
+        plans.append((cost, len(groups), [(g, e) for g, e in zip(groups, t, strict=True) if e >= 0]))
     return min(plans)[2]
 
 
@@ -286,7 +338,7 @@ def groups(docs: DataFrame, shingle: int = 3, radius: int = 3, id_col: str = "do
     own, _ = written(fingerprints(docs, shingle, id_col, text_col), "fingerprints")
     classes, _ = written(own.filter("doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("node")), "classes")
     n, gram = bit_statistics(classes)
-    masks = probe_masks(plan_partitions(n, gram, radius))
+    masks = probe_masks(plan_partitions(n, gram, lambda blocks: projections(classes, blocks), radius))  # both statistics are over all fingerprints
     found, _ = components(links(classes, masks, radius))
     label = classes.join(found, "node", "left").select("fp", F.coalesce("component", "node").alias("component_id"))
     return own.join(label, "fp", "left").select("doc_id", "text_hash", "fp", "component_id")
