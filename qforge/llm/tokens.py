@@ -3,13 +3,15 @@
 Layout of a token file (a folder, so that tasks write their parts at the same time):
 
 * ``model``  one row: bits, vocab and the quantised frequency of each id (they sum to 2 ** bits), from the counts of all ids;
-* ``blocks`` one row a block of whole documents in ascending doc_id order: shard, block, tokens before it in its shard,
-  doc_ids (int64 LE, with a bitmap of nulls), lengths (int64 LE), the rANS states and words (LE), checkpoints and CRCs;
-* ``shards`` one row a shard: the tokens before it.
+* ``blocks`` one row a block, in ascending doc_id order: shard, block, lanes, the words of its rANS stream and its segments;
+* ``shards`` one row a shard: the tokens before it, and how many of its segments hold part of a document.
 
-A block interleaves ``lanes`` rANS coders: token i belongs to lane i mod lanes, so a step codes one token of every lane with
-NumPy. States are 63-bit, renormalised by 32-bit words. A checkpoint holds the states and the word position after a number
-of steps: decoding can start there. ``crc`` is that of the coded bytes, ``ids_crc`` that of the ids.
+A block interleaves ``lanes`` rANS coders: a step codes one token of every lane with NumPy. States are 63-bit, renormalised by 32-bit words.
+A block is a run of segments of whole documents, and a segment starts at a checkpoint: the states of all lanes and the place in the words. So every
+segment is decoded by itself, in any task. A document longer than two segments is cut into segments of its own, which are put together again after decoding.
+
+Checksums: ``crc`` of a segment is over everything stored of it (numbers, ids and lengths of its documents, states, words), ``ids_crc`` over
+its decoded ids; the rows of ``model`` and ``shards`` have a crc of their own.
 """
 
 from __future__ import annotations
@@ -19,6 +21,7 @@ import re
 import zlib
 from array import array
 from collections.abc import Iterator
+from functools import cached_property
 
 import numpy as np
 import pandas as pd
@@ -29,15 +32,17 @@ from pyspark.sql import functions as F
 from qforge.llm.common import drop_path, release_shuffles, scratch, written
 
 END_ID = 0
-MODEL_BITS = 20
+MODEL_BITS = 18
 LOW = np.uint64(1 << 31)
-LANES = 1024
-BLOCK_TOKENS = 1 << 18
-CHECKPOINT_STEPS = 128
+LANES = 2048
+SEGMENT_TOKENS = 1 << 17
+BLOCK_SEGMENTS = 4
 #: Pieces of text whose ids a Python worker keeps; no more are kept beyond that.
 CACHE_PIECES = 800_000
 
-BLOCKS = "shard int, block int, before long, n_docs long, n_tokens long, lanes int, doc_ids binary, null_ids binary, lengths binary, states binary, words binary, checkpoints binary, crc long, ids_crc long"
+SEGMENT = "first long, n_tokens long, n_docs int, part int, parts int, doc_ids binary, null_ids binary, lengths binary, states binary, word_from int, word_to int, crc long, ids_crc long"
+BLOCKS = f"shard int, block int, lanes int, words binary, segments array<struct<{SEGMENT.replace(' ', ':').replace(',:', ', ')}>>"
+SHARDS = "shard int, start long, cut long, crc long"
 
 # -- tokenising -----------------------------------------------------------------------------------------------------
 
@@ -55,7 +60,7 @@ class Encoder:
 
     Byte-level BPE merges only inside the pre-tokens of its fixed pattern. Before a space or line feed that follows other
     text, after a single line feed, and between a letter or digit and a comma or full stop, one pre-token always ends and another
-    starts; so a text can be cut there, and only pieces not seen before go to the tokenizers library. Texts where such
+    starts; so a text can be cut there, and only pieces not seen before go to the tokenizers library, as lines of one text. Texts where such
     a place may not end a pre-token (unsafe) are encoded by the library in one piece.
     """
 
@@ -75,11 +80,27 @@ class Encoder:
         self.dtype = np.dtype("<u2") if self.vocab <= 1 << 16 else np.dtype("<u4")
         self.code = "H" if self.dtype.itemsize == 2 else "I"
         self.end = np.array([END_ID], dtype=self.dtype).tobytes()
-        self.kept: dict[str, bytes] = {"": b""}
+        self.kept: dict[str, bytes] = dict(zip(("", "\n", " "), self.library(["", "\n", " "]), strict=True))
+        self.feed = np.frombuffer(self.kept["\n"], self.dtype)
 
     def library(self, texts: list[str]) -> list[bytes]:
         return [array(self.code, e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def pieces(self, new: list[str]) -> list[bytes]:
+        """Ids of pieces without line feeds. The library takes them in lines of one text, where each is a pre-token run of its own, as in the texts they come from."""
+        out: list[bytes] = []
+        for s in range(0, len(new), 4096):
+            run = new[s : s + 4096]
+            ids = np.frombuffer(self.library(["\n".join(run)])[0], self.dtype)
+            cuts = np.flatnonzero(ids == self.feed[0]) if len(self.feed) == 1 else []
+            if len(cuts) != len(run) - 1:
+                out += self.library(run)
+                continue
+            data, size = ids.tobytes(), self.dtype.itemsize
+            ends = [*(cuts * size).tolist(), len(data)]
+            out += [data[a:b] for a, b in zip([0, *(e + size for e in ends[:-1])], ends, strict=True)]
+        return out
+
     def unsafe(self, text: str) -> bool:
         return text[0] in " \n.," or "_" in text or "\0" in text or any(p in text for p in self.PAIRS) or bool(self.LOOSE.search(text) or self.RARE.search(text))
 
@@ -100,7 +121,7 @@ class Encoder:
                 k = ids.index(None, k + 1)
                 lost[i].append((k, pieces[k]))
             new.update(dict.fromkeys(p for _, p in lost[i]))
-        new = dict(zip(new, self.library(list(new)), strict=True))
+        new = dict(zip(new, self.pieces(list(new)), strict=True))
         if len(self.kept) + len(new) <= CACHE_PIECES:  # frequent pieces come early; once full, it stays as it is
             self.kept.update(new)
         for i, ids in got.items():
@@ -160,56 +181,53 @@ def quantise(counts: np.ndarray, bits: int = MODEL_BITS) -> np.ndarray:
     return freq.astype(np.uint64)
 
 
-def encode_block(ids: np.ndarray, freq: np.ndarray, cum: np.ndarray, bits: int = MODEL_BITS) -> tuple[int, bytes, bytes, bytes]:
-    """(lanes, states, words, checkpoints) of one block."""
-    n = len(ids)
-    lanes = int(min(LANES, max(1, n // 64)))
-    steps = -(-n // lanes)
-    k, w = np.uint64(bits), np.uint64(32)
-    f, c = freq[ids], cum[ids]
-    limit = f << np.uint64(63 - bits)
+def encode_block(parts: list[np.ndarray], freq: np.ndarray, cum: np.ndarray, bits: int = MODEL_BITS) -> tuple[int, bytes, list[tuple[bytes, int, int]]]:
+    """(lanes, words, (states, first word, end of words) of each part) of one block. A part starts on lane 0; its states are its checkpoint."""
+    lanes = int(min(LANES, max(1, sum(map(len, parts)) // 64)))
+    k, w, low = np.uint64(bits), np.uint64(32), np.uint64(0xFFFFFFFF)
     x = np.full(lanes, LOW, dtype=np.uint64)
-    out: list[np.ndarray] = [np.empty(0, np.uint32)] * steps
+    out: list[np.ndarray] = []
     marks = []
-    for s in range(steps - 1, -1, -1):
-        a, b = s * lanes, min(n, (s + 1) * lanes)
-        if s < steps - 1 and (s + 1) % CHECKPOINT_STEPS == 0:
-            marks.append((s + 1, x.copy()))
-        y = x[: b - a]
-        big = y >= limit[a:b]
-        out[s] = (y[big] & np.uint64(0xFFFFFFFF)).astype("<u4")
-        y = np.where(big, y >> w, y)
-        q, r = np.divmod(y, f[a:b])
-        x[: b - a] = (q << k) + r + c[a:b]
-    at = np.cumsum([0, *map(len, out)])
-    points = b"".join(np.array([s, at[s]], dtype="<u8").tobytes() + y.astype("<u8").tobytes() for s, y in reversed(marks))
-    return lanes, x.astype("<u8").tobytes(), np.concatenate(out).astype("<u4").tobytes(), points
-
-
-def decode_block(n: int, lanes: int, states: bytes, words: bytes, freq: np.ndarray, cum: np.ndarray, slots: np.ndarray, bits: int = MODEL_BITS, checkpoints: bytes = b"", first: int = 0) -> np.ndarray:
-    """The ids of a block from id ``first`` on; it starts at the last checkpoint before it."""
-    k, w, mask = np.uint64(bits), np.uint64(32), np.uint64((1 << bits) - 1)
-    x, word = np.frombuffer(states, "<u8").astype(np.uint64), np.frombuffer(words, "<u4")
-    step, at = 0, 0
-    size = 16 + 8 * lanes
-    for p in range(0, len(checkpoints), size):
-        s, pos = np.frombuffer(checkpoints[p : p + 16], "<u8").tolist()
-        if s * lanes <= first:
-            step, at, x = s, pos, np.frombuffer(checkpoints[p + 16 : p + size], "<u8").astype(np.uint64)
-    start, out = step * lanes, np.empty(max(0, n - step * lanes), dtype=slots.dtype)
-    for s in range(step, -(-n // lanes)):
-        a, b = s * lanes, min(n, (s + 1) * lanes)
+    for ids in reversed(parts):  # the decoder goes forward
+        n, before = len(ids), sum(map(len, out))
+        f, c = freq[ids], cum[ids]
+        limit = f << np.uint64(63 - bits)
+        for a in range((n - 1) // lanes * lanes, -1, -lanes):
+            b = min(n, a + lanes)
+            y = x[: b - a]
+            big = y >= limit[a:b]
+            if big.any():
+                out.append((y[big] & low).astype("<u4"))
+                y = np.where(big, y >> w, y)
+            q = y // f[a:b]
+            x[: b - a] = (q << k) + (y - q * f[a:b]) + c[a:b]
+        marks.append((x.astype("<u8").tobytes(), sum(map(len, out)) - before))
+    checkpoints, at = [], 0
+    for states, n in reversed(marks):
+        checkpoints.append((states, at, at + n))
+        at += n
+    return lanes, b"".join(o.tobytes() for o in reversed(out)), checkpoints
+
+
+def decode_segment(n: int, lanes: int, states: bytes, words: bytes, model: Model) -> np.ndarray:
+    """The n ids of a segment, from its checkpoint and its words."""
+    k, w, mask, low = np.uint64(model.bits), np.uint64(32), np.uint64((1 << model.bits) - 1), np.uint64(0xFFFFFFFF)
+    x, word, slots, table = np.frombuffer(states, "<u8").astype(np.uint64), np.frombuffer(words, "<u4"), model.slots, model.table
+    out, at = np.empty(n, dtype=slots.dtype), 0
+    for a in range(0, n, lanes):
+        b = min(n, a + lanes)
         y = x[: b - a]
         slot = y & mask
-        ids = slots[slot]
-        out[a - start : b - start] = ids
-        y = freq[ids] * (y >> k) + slot - cum[ids]
-        low = y < LOW
-        m = int(low.sum())
-        y[low] = (y[low] << w) | word[at : at + m]
-        at += m
+        ids = slots.take(slot.view(np.int64))
+        out[a:b] = ids
+        both = table.take(ids)
+        y = (both >> w) * (y >> k) + slot - (both & low)
+        under = np.flatnonzero(y < LOW)
+        if len(under):
+            y[under] = (y[under] << w) | word[at : at + len(under)]
+            at += len(under)
         x[: b - a] = y
-    return out[first - start :]
+    return out
 
 
 class Model:
@@ -217,8 +235,15 @@ class Model:
         self.bits, self.freq = bits, np.frombuffer(freq, "<u4").astype(np.uint64)
         self.cum = np.concatenate([[0], np.cumsum(self.freq)[:-1]]).astype(np.uint64)
 
+    @cached_property
     def slots(self) -> np.ndarray:
-        return np.repeat(np.arange(len(self.freq), dtype=np.uint32), self.freq.astype(np.int64))
+        """The id of each of the 2 ** bits slots."""
+        return np.repeat(np.arange(len(self.freq), dtype=np.uint16 if len(self.freq) <= 1 << 16 else np.uint32), self.freq.astype(np.int64))
+
+    @cached_property
+    def table(self) -> np.ndarray:
+        """Frequency and start of each id in one number."""
+        return (self.freq << np.uint64(32)) | self.cum
 
 
 # -- writing and reading --------------------------------------------------------------------------------------------
@@ -246,6 +271,67 @@ def count_ids(tokens: DataFrame, vocab: int) -> np.ndarray:
     return counts
 
 
+def _crc(numbers: tuple, *binaries: bytes) -> int:
+    crc = zlib.crc32(np.array(numbers, dtype="<i8").tobytes())
+    for x in binaries:
+        crc = zlib.crc32(x, zlib.crc32(len(x).to_bytes(8, "little"), crc))
+    return crc
+
+
+def _segment_crc(shard: int, block: int, lanes: int, s: dict, words: bytes) -> int:
+    numbers = (shard, block, lanes, *(s[k] for k in ("first", "n_tokens", "n_docs", "part", "parts", "word_from", "word_to", "ids_crc")))
+    return _crc(numbers, *(s[k] for k in ("doc_ids", "null_ids", "lengths", "states")), words)
+
+
+class BlockWriter:
+    """Collects the documents of one shard into segments and blocks."""
+
+    def __init__(self, shard: int, model: Model):
+        self.shard, self.model, self.block, self.at = shard, model, 0, 0
+        self.segments: list[tuple[dict, np.ndarray]] = []
+        self.docs: list[tuple[object, np.ndarray]] = []
+        self.held = 0
+
+    def close(self, docs: list[tuple[object, np.ndarray]], ids: np.ndarray, first: int, part: int = 0, parts: int = 1) -> None:
+        null = [d is None or d != d for d, _ in docs]
+        self.segments.append(({
+            "first": first, "n_tokens": len(ids), "n_docs": len(docs), "part": part, "parts": parts,
+            "doc_ids": np.array([0 if n else int(d) for n, (d, _) in zip(null, docs, strict=True)], dtype="<i8").tobytes(), "null_ids": np.packbits(null).tobytes(),
+            "lengths": np.array([len(x) for _, x in docs], dtype="<i8").tobytes(), "ids_crc": zlib.crc32(ids.astype("<u4").tobytes()),
+        }, ids))
+
+    def close_docs(self) -> None:
+        if self.docs:
+            self.close(self.docs, np.concatenate([x for _, x in self.docs]), self.at - self.held)
+        self.docs, self.held = [], 0
+
+    def add(self, doc_id: object, ids: np.ndarray) -> Iterator[pd.DataFrame]:
+        if len(ids) > 2 * SEGMENT_TOKENS:
+            self.close_docs()
+            cuts = range(0, len(ids), SEGMENT_TOKENS)
+            for i, c in enumerate(cuts):
+                self.close([(doc_id, ids)], ids[c : c + SEGMENT_TOKENS], self.at, i, len(cuts))
+                yield from self.flush(BLOCK_SEGMENTS)
+            self.at += len(ids)
+            return
+        self.docs.append((doc_id, ids))
+        self.held, self.at = self.held + len(ids), self.at + len(ids)
+        if self.held >= SEGMENT_TOKENS:
+            self.close_docs()
+            yield from self.flush(BLOCK_SEGMENTS)
+
+    def flush(self, least: int = 1) -> Iterator[pd.DataFrame]:
+        if len(self.segments) < least:
+            return
+        lanes, words, checkpoints = encode_block([ids for _, ids in self.segments], self.model.freq, self.model.cum, self.model.bits)
+        rows = []
+        for (s, _), (states, a, b) in zip(self.segments, checkpoints, strict=True):
+            s |= {"states": states, "word_from": a, "word_to": b}
+            rows.append(s | {"crc": _segment_crc(self.shard, self.block, lanes, s, words[4 * a : 4 * b])})
+        yield pd.DataFrame({"shard": [self.shard], "block": [self.block], "lanes": [lanes], "words": [words], "segments": [rows]})
+        self.block, self.segments = self.block + 1, []
+
+
 def write_tokens(docs: DataFrame, path: str, tokenizer: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> str:
     """Write the token file of all documents in ascending doc_id order (null ids first) and return its path.
 
@@ -259,76 +345,89 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str | None = None, id_co
     counts = count_ids(staged, vocab)
     counts[END_ID] += 1  # the model of an empty table
     freq = quantise(counts).astype("<u4").tobytes()
-    spark.createDataFrame([(MODEL_BITS, vocab, bytearray(freq))], "bits int, vocab int, freq binary").coalesce(1).write.parquet(f"{path}/model")
+    spark.createDataFrame([(MODEL_BITS, vocab, bytearray(freq), _crc((MODEL_BITS, vocab), freq))], "bits int, vocab int, freq binary, crc long").coalesce(1).write.parquet(f"{path}/model")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        model, shard = Model(freq, MODEL_BITS), TaskContext.get().partitionId()
-        block = before = held = 0
-        doc_ids: list = []
-        parts: list[np.ndarray] = []
-
-        def flush() -> pd.DataFrame:
-            ids = np.concatenate(parts)
-            lanes, states, words, points = encode_block(ids, model.freq, model.cum, MODEL_BITS)
-            known = [int(d) if d == d and d is not None else 0 for d in doc_ids]
-            row = {
-                "shard": shard, "block": block, "before": before, "n_docs": len(parts), "n_tokens": len(ids), "lanes": lanes,
-                "doc_ids": np.array(known, dtype="<i8").tobytes(), "null_ids": np.packbits([not (d == d and d is not None) for d in doc_ids]).tobytes(), "lengths": np.array([len(p) for p in parts], dtype="<i8").tobytes(),
-                "states": states, "words": words, "checkpoints": points, "crc": zlib.crc32(words, zlib.crc32(states)), "ids_crc": zlib.crc32(ids.astype("<u4").tobytes()),
-            }
-            return pd.DataFrame([row])
-
+        writer = BlockWriter(TaskContext.get().partitionId(), Model(freq, MODEL_BITS))
         for b in batches:
             for doc_id, ids in zip(b["doc_id"].astype(object), b["ids"], strict=True):
-                doc_ids.append(doc_id)
-                parts.append(np.frombuffer(ids, wide))
-                held += len(parts[-1])
-                if held >= BLOCK_TOKENS:
-                    yield flush()
-                    block, before, held, doc_ids, parts = block + 1, before + held, 0, [], []
-        if parts:
-            yield flush()
+                yield from writer.add(doc_id, np.frombuffer(ids, wide))
+        writer.close_docs()
+        yield from writer.flush()
 
     staged.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "ids").mapInPandas(run, BLOCKS).write.option("compression", "none").parquet(f"{path}/blocks")
-    blocks = spark.read.schema(BLOCKS).parquet(f"{path}/blocks")
-    totals = blocks.groupBy("shard").agg(F.sum("n_tokens").alias("n"))
-    offsets = totals.select("shard", (F.sum("n").over(Window.orderBy("shard")) - F.col("n")).alias("start"))  # a row a shard
-    offsets.coalesce(1).write.parquet(f"{path}/shards")
+    segments = spark.read.schema(BLOCKS).parquet(f"{path}/blocks").select("shard", F.explode("segments").alias("s"))
+    totals = segments.groupBy("shard").agg(F.sum("s.n_tokens").alias("n"), F.count_if(F.col("s.parts") > 1).alias("cut"))
+    offsets = totals.select("shard", (F.sum("n").over(Window.orderBy("shard")) - F.col("n")).alias("start"), "cut")  # a row a shard
+    offsets.withColumn("crc", F.crc32(F.concat_ws(",", "shard", "start", "cut"))).coalesce(1).write.parquet(f"{path}/shards")
     drop_path(spark, staged_path)
     release_shuffles(spark)
     return path
 
 
+def read_model(spark: SparkSession, path: str) -> tuple[bytes, int]:
+    bits, vocab, freq, crc = spark.read.parquet(f"{path}/model").select("bits", "vocab", "freq", "crc").first()
+    if _crc((bits, vocab), freq := bytes(freq)) != crc:
+        raise ValueError("damaged model")
+    return freq, bits
+
+
 def read_tokens(spark: SparkSession, path: str) -> DataFrame:
-    """Decode a token file, blocks in parallel: doc_id, start, n_tokens, ids (little-endian unsigned 32-bit). Bad checksums raise."""
-    bits, freq = spark.read.parquet(f"{path}/model").select("bits", "freq").first()
-    freq = bytes(freq)
+    """Decode a token file, segments in parallel, each from its checkpoint: doc_id, start, n_tokens, ids (little-endian unsigned 32-bit). Bad checksums raise."""
+    freq, bits = read_model(spark, path)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def decoded(batches: Iterator[pd.DataFrame]) -> Iterator[tuple]:
         model = Model(freq, bits)
-        slots = model.slots()
         for b in batches:
-            for r in b.itertuples():
-                if zlib.crc32(r.words, zlib.crc32(r.states)) != r.crc:
-                    raise ValueError(f"damaged block {r.shard}/{r.block}")
-                ids = decode_block(r.n_tokens, r.lanes, r.states, r.words, model.freq, model.cum, slots, bits).astype("<u4")
-                if zlib.crc32(ids.tobytes()) != r.ids_crc:
-                    raise ValueError(f"block {r.shard}/{r.block} decodes to other ids")
-                n = np.frombuffer(r.lengths, "<i8")
-                ends = np.cumsum(n)
-                doc_ids = pd.array(np.frombuffer(r.doc_ids, "<i8"), dtype="Int64")
-                doc_ids[np.unpackbits(np.frombuffer(r.null_ids, np.uint8), count=len(n)).astype(bool)] = pd.NA
-                for s in range(0, len(n), 500):
-                    t = slice(s, s + 500)
-                    yield pd.DataFrame({"doc_id": doc_ids[t], "start": r.base + ends[t] - n[t], "n_tokens": n[t], "ids": [ids[e - m : e].tobytes() for e, m in zip(ends[t], n[t], strict=True)]})
-
-    blocks, shards = spark.read.schema(BLOCKS).parquet(f"{path}/blocks"), spark.read.schema("shard int, start long").parquet(f"{path}/shards")
-    placed = blocks.join(F.broadcast(shards), "shard").withColumn("base", F.col("start") + F.col("before")).drop("start", "checkpoints")  # a row of 12 bytes a shard
-    return placed.mapInPandas(run, "doc_id long, start long, n_tokens long, ids binary")
+            for r in b.to_dict("records"):
+                where = f"segment {r['segment']} of block {r['shard']}/{r['block']}"
+                if _segment_crc(r["shard"], r["block"], r["lanes"], r, r["words"]) != r["crc"]:
+                    raise ValueError(f"damaged {where}")
+                ids = decode_segment(r["n_tokens"], r["lanes"], r["states"], r["words"], model).astype("<u4")
+                if zlib.crc32(ids.tobytes()) != r["ids_crc"]:
+                    raise ValueError(f"{where} decodes to other ids")
+                n = np.frombuffer(r["lengths"], "<i8")
+                doc_ids = pd.array(np.frombuffer(r["doc_ids"], "<i8"), dtype="Int64")
+                doc_ids[np.unpackbits(np.frombuffer(r["null_ids"], np.uint8), count=len(n)).astype(bool)] = pd.NA
+                yield r, doc_ids, n, ids
+
+    def documents(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for r, doc_ids, n, ids in decoded(batches):
+            ends, data = np.cumsum(n), ids.tobytes()
+            pieces = [data[4 * (e - m) : 4 * e] for e, m in zip(ends.tolist(), n.tolist(), strict=True)]
+            yield pd.DataFrame({"doc_id": doc_ids, "start": r["start"] + r["first"] + ends - n, "n_tokens": n, "ids": pieces})
+
+    def cut_documents(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for r, doc_ids, n, ids in decoded(batches):
+            yield pd.DataFrame({"doc_id": doc_ids, "start": r["start"] + r["first"], "n_tokens": n, "ids": [ids.tobytes()], "part": r["part"]})
+
+    def together(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("part")
+        ids = b"".join(rows["ids"])
+        if len(ids) != 4 * rows["n_tokens"].iloc[0]:
+            raise ValueError("a part of a document is missing")
+        return rows.iloc[:1][["doc_id", "start", "n_tokens"]].assign(ids=[ids])
+
+    blocks, shards = spark.read.schema(BLOCKS).parquet(f"{path}/blocks"), spark.read.schema(SHARDS).parquet(f"{path}/shards")
+    sound, cut = shards.agg(F.bool_and(F.col("crc") == F.crc32(F.concat_ws(",", "shard", "start", "cut"))), F.sum("cut")).first()
+    if sound is False:
+        raise ValueError("damaged shards")
+    segments = blocks.join(F.broadcast(shards.select("shard", "start")), "shard").select("shard", "block", "lanes", "start", "words", F.posexplode("segments").alias("segment", "s"))  # a row of 12 bytes a shard
+    words = F.substr("words", F.col("s.word_from") * 4 + 1, (F.col("s.word_to") - F.col("s.word_from")) * 4)
+    segments = segments.select("shard", "block", "lanes", "start", "segment", words.alias("words"), "s.*")
+    document = "doc_id long, start long, n_tokens long, ids binary"
+    out = segments.filter("parts = 1").mapInPandas(documents, document)
+    if cut:
+        out = out.union(segments.filter("parts > 1").mapInPandas(cut_documents, f"{document}, part int").groupBy("start").applyInPandas(together, document))
+    return out
 
 
 def token_digest(docs: DataFrame, tokenizer: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Write the token file of ``docs`` in the shared folder, read it back, and give of each document what the file holds:
-    doc_id, start, n_tokens, ids_crc32."""
+    doc_id, start, n_tokens, ids_crc32.
+
+    One row per document row, null ids first, then in ascending order of id; rows that repeat an id are in the order of their ids' bytes. Null and empty texts are their end id
+    alone. An empty table gives no rows. Other columns are ignored.
+    """
     path = write_tokens(docs, scratch(docs.sparkSession, "tokens"), tokenizer, id_col, text_col)
     return read_tokens(docs.sparkSession, path).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
