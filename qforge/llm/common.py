@@ -15,10 +15,12 @@ WORD = r"[^\x20\x09-\x0D]+"
 def scratch(spark: SparkSession, name: str) -> str:
     """A new path in the folder of ``spark.checkpoint.dir``, which driver and executors share.
 
-    Only where that setting is absent (tests, local mode) a local folder is made and set.
+    Only where that setting is absent and Spark runs in one process (tests, local mode) a local folder is made and set.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         root = tempfile.mkdtemp(prefix="spark-")
         spark.conf.set("spark.checkpoint.dir", root)
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
@@ -44,8 +46,3 @@ def release_shuffles(spark: SparkSession) -> None:
     gc.collect()
     spark.sparkContext._jvm.System.gc()
 
-
-def row_limit(df: DataFrame, rows: int) -> DataFrame:
-    """Bound the rows of an Arrow batch, so that a batch of long texts fits in a worker's memory."""
-    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
-    return df
