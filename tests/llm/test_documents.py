@@ -1,15 +1,21 @@
 """Every document operator against a brute-force version on the fixture, and on an empty table."""
 
 import hashlib
+import os
+import random
 import re
+import time
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from qforge.llm import decontaminate, langid, licenses, mixing, secrets, simhash, substrings, tokens
 from qforge.llm.common import scratch
+from tests.llm import plain
 from tests.llm.fixtures import docs, empty
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -51,6 +57,36 @@ def test_simhash(spark):
     assert simhash.near_duplicates(empty(spark)).count() == 0
 
 
+def patterns(fp, blocks):
+    return [np.bincount(sum(((fp >> np.uint64(63 - b)) & np.uint64(1)).astype(np.int64) << k for k, b in enumerate(bits)), minlength=1 << len(bits)) for bits in blocks]
+
+
+def test_candidate_estimates_of_correlated_bits(spark):
+    """Eight groups of eight correlated bits each: estimates against all pairs."""
+    rng, n = np.random.default_rng(1), 3000
+    fp, place = np.zeros(n, np.uint64), rng.permutation(64)
+    for g in range(8):
+        v = rng.integers(0, 256, size=6)[rng.integers(0, 6, size=n)] ^ np.where(rng.random(n) < 0.1, 1 << rng.integers(0, 8, size=n), 0)
+        for k in range(8):
+            fp |= ((v >> k) & 1).astype(np.uint64) << np.uint64(63 - place[g * 8 + k])
+    df = spark.createDataFrame([(int(x),) for x in fp.view(np.int64)], "fp long")
+    total, gram = simhash.bit_statistics(df)
+    assert total == n
+    for parts in (2, 4, 5, 8):
+        groups = simhash.group_bits(n, gram, parts)
+        blocks = [b for g in groups for b in simhash.blocks_of(g)]
+        counts = simhash.projections(df, blocks)
+        assert all((a == b).all() for a, b in zip(counts, patterns(fp, blocks), strict=True))
+        counts = iter(counts)
+        for g in groups:
+            found = simhash.candidates_within(n, [next(counts) for _ in simhash.blocks_of(g)], 3)
+            q = fp & np.uint64(sum(1 << (63 - b) for b in g))
+            d = np.bitwise_count(q[:, None] ^ q[None, :])
+            for t in range(4):
+                real = ((d <= t).sum() - n) / 2
+                assert real / 2 - 50 <= found[t] <= 2 * real + 50
+
+
 def test_partition_plan_misses_no_pair():
     rng = np.random.default_rng(3)
     fp = rng.integers(0, 1 << 63, 300, dtype=np.uint64) * np.uint64(2)
@@ -58,7 +94,7 @@ def test_partition_plan_misses_no_pair():
         fp[i + 150] = fp[i] ^ np.bitwise_or.reduce(np.uint64(1) << rng.choice(64, size=rng.integers(0, 4), replace=False).astype(np.uint64), initial=np.uint64(0))
     bits = np.unpackbits(fp.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).astype(float)
     for n in (10, 10**5, 10**8):
-        masks = [np.uint64(m & (2**64 - 1)) for m in simhash.probe_masks(simhash.plan_partitions(n, bits.T @ bits * n / 300))]
+        masks = [np.uint64(m & (2**64 - 1)) for m in simhash.probe_masks(simhash.plan_partitions(n, bits.T @ bits * n / 300, lambda blocks: patterns(fp, blocks)))]
         for i in range(150):
             assert any((fp[i] & m) == (fp[i + 150] & m) for m in masks)
 
@@ -110,22 +146,60 @@ def test_rans_round_trip_and_checkpoints(n):
     freq = tokens.quantise(np.bincount(ids, minlength=50_257))
     assert freq.sum() == 1 << tokens.MODEL_BITS
     model = tokens.Model(freq.astype("<u4").tobytes(), tokens.MODEL_BITS)
-    lanes, states, words, points = tokens.encode_block(ids, model.freq, model.cum)
-    for first in (0, n // 2, n - 1):
-        assert (tokens.decode_block(n, lanes, states, words, model.freq, model.cum, model.slots(), checkpoints=points, first=first) == ids[first:]).all()
+    parts = [p for p in np.split(ids, [n // 3, n // 2]) if len(p)]
+    lanes, words, checkpoints = tokens.encode_block(parts, model.freq, model.cum)
+    for part, (states, a, b) in zip(parts, checkpoints, strict=True):  # each from its checkpoint alone
+        assert (tokens.decode_segment(len(part), lanes, states, words[4 * a : 4 * b], model) == part).all()
+
 
+def changed(value):
+    if isinstance(value, bytearray | bytes):
+        return bytes(value[:-1]) + bytes([value[-1] ^ 1])
+    return value + 1
 
-def test_damaged_token_block_is_found(spark):
+
+def test_damage_of_every_field_is_found(spark):
     path = tokens.write_tokens(docs(spark), scratch(spark, "t"))
-    blocks = spark.read.parquet(f"{path}/blocks").toPandas()
-    blocks["words"] = [bytes(b[:-1]) + bytes([b[-1] ^ 1]) if len(b) else b for b in blocks["words"]]
-    spark.createDataFrame(blocks, tokens.BLOCKS).write.mode("overwrite").parquet(f"{path}/blocks")
-    with pytest.raises(Exception, match="damaged block"):
-        tokens.read_tokens(spark, path).count()
+    assert tokens.read_tokens(spark, path).count() == docs(spark).count()
+    whole = {t: [r.asDict(recursive=True) for r in spark.read.parquet(f"{path}/{t}").collect()] for t in ("blocks", "shards", "model")}
+    schema = {"blocks": tokens.BLOCKS, "shards": tokens.SHARDS, "model": "bits int, vocab int, freq binary, crc long"}
+
+    def read(table, rows):
+        spark.createDataFrame(rows, schema[table]).write.mode("overwrite").parquet(f"{path}/{table}")
+        return tokens.read_tokens(spark, path).count()
+
+    for table in ("shards", "model"):
+        for field in whole[table][0]:
+            if (table, field) != ("shards", "shard"):  # what a block's row lacks joins no shard; its own crc covers it
+                with pytest.raises(Exception, match="damaged"):
+                    read(table, [whole[table][0] | {field: changed(whole[table][0][field])}, *whole[table][1:]])
+        read(table, whole[table])
+    first = whole["blocks"][0]
+    for field in ("block", "lanes", "words"):
+        with pytest.raises(Exception, match="damaged"):
+            read("blocks", [first | {field: changed(first[field])}, *whole["blocks"][1:]])
+    for field in first["segments"][0]:
+        if field == "parts":
+            continue  # tells how a segment is read; a wrong one is found by its crc there
+        with pytest.raises(Exception, match="damaged|part of a document"):
+            read("blocks", [first | {"segments": [first["segments"][0] | {field: changed(first["segments"][0][field])}, *first["segments"][1:]]}, *whole["blocks"][1:]])
+
+
+def test_documents_longer_than_segments(spark, monkeypatch):
+    """Small segments: documents are cut, and put together again."""
+    monkeypatch.setattr(tokens, "SEGMENT_TOKENS", 500)
+    d = docs(spark)
+    path = tokens.write_tokens(d, scratch(spark, "t"))
+    got = tokens.read_tokens(spark, path)
+    assert rows(got.selectExpr("doc_id", "start", "n_tokens", "crc32(ids) c"), "doc_id", "start", "n_tokens", "c") == sorted(plain.token_rows([(r.doc_id, r.text) for r in d.collect()], tokens.Encoder(tokens.default_tokenizer())), key=repr)
 
 
-def test_substrings(spark, monkeypatch):
+@pytest.mark.parametrize("slice_bytes", [300, 8 << 20])
+def test_substrings(spark, monkeypatch, slice_bytes):
     monkeypatch.setattr(substrings, "CHUNK_ROWS", 7)
+    monkeypatch.setattr(substrings, "SLICE_BYTES", slice_bytes)
+    monkeypatch.setattr(substrings, "LONG", 1000)
+    monkeypatch.setattr(substrings, "BUCKET_BYTES", 20_000)
     d = docs(spark)
     data = [(r.doc_id, (r.text or "").encode().split()) for r in d.collect()]
     first = {}
@@ -171,8 +245,15 @@ def test_mixture(spark):
         assert abs(part["taken"].sum() - t) <= 1
     assert (got["taken"] <= 3 * got["size"]).all()
     assert mixing.mixture(empty(spark)).count() == 0
+    path = mixing.write_mixture(d, scratch(spark, "mix"))
     mixed = mixing.mixed_documents(d)
-    assert mixed.columns == d.columns and mixed.count() > 0
+    assert mixed.columns == d.columns and mixed.count() > 0 and {r["_key"] for r in mixed.collect()} == {"k", None}
+    assert sorted(map(str, mixed.collect())) == sorted(map(str, spark.read.schema(d.schema).parquet(path).select(d.columns).collect()))
+    # a shard has the rows that the tree places there
+    placed = Counter((r.doc_id, s) for r in mixing.mixture(d).filter("2 * (taken % greatest(size, 1)) >= size or taken % greatest(size, 1) = 0").collect() if r.size for s in r.shards)
+    written = Counter((r.doc_id, r["_shard"]) for r in spark.read.parquet(path).collect())
+    assert {s for _, s in written} == set(range(16)) and sum((written - placed).values()) <= 4
+    assert mixing.mixed_documents(empty(spark)).count() == 0
 
 
 def test_splitting_tree_keeps_quotas(spark):
@@ -197,6 +278,56 @@ def test_licenses(spark):
     assert by_id[1001].labels == "mit" and 0.9 < by_id[1001].score < 1 and by_id[1001].spans[0].edits == 4
     assert by_id[1002].base_labels == "apache-2,cc-by-nc" and by_id[1000].n_base == 2
     assert licenses.license_scan(empty(spark)).count() == 0
+    clashing = docs(spark).withColumns({"spans": F.lit(1), "labels": F.lit("x"), "score": F.lit("y")})
+    assert rows(licenses.license_scan(clashing).drop("spans"), "doc_id", "n_words", "score") == rows(licenses.license_scan(docs(spark)), "doc_id", "n_words", "score")
+
+
+def edits_within(a, b, most):
+    """Levenshtein distance, if it is at most ``most``."""
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        row, old = [i], row
+        for j, y in enumerate(b, 1):
+            row.append(min(row[-1] + 1, old[j] + 1, old[j - 1] + (x != y)))
+        if min(row) > most:
+            return None
+    return row[-1] if row[-1] <= most else None
+
+
+def nearest_span(text, notice):
+    """Fewest edits that turn any part of a text into a notice."""
+    row = [0] * (len(text) + 1)
+    for i, x in enumerate(notice, 1):
+        row, old = [i], row
+        for j, y in enumerate(text, 1):
+            row.append(min(row[-1] + 1, old[j] + 1, old[j - 1] + (x != y)))
+    return min(row)
+
+
+def test_fuzzy_notices_against_all_alignments():
+    r = random.Random(6)
+    scanner = licenses.Scanner()
+    for _ in range(150):
+        n = r.choice(licenses.NOTICES)
+        t = list(n.text)
+        for _ in range(r.randrange(n.errors + 3)):
+            at = r.randrange(len(t))
+            t[at : at + r.randrange(2)] = r.choice(["", "x", "e", " "])
+        text = licenses.normalise(" ".join(r.choice(["alpha", "beta", "the", "license"]) for _ in range(r.randrange(8))) + " " + "".join(t) + " gamma").decode()
+        found = scanner.fuzzy(text)
+        assert {x[2] for x in found} == {m.label for m in licenses.NOTICES if nearest_span(text, m.text) <= m.errors}
+        for s, e, label, edits, similarity in found:
+            assert any(m.label == label and edits_within(text[s:e], m.text, m.errors) == edits and similarity == 1 - edits / len(m.text) for m in licenses.NOTICES)
+
+
+@pytest.mark.parametrize("text", ["cc by nc " * 550_000, "all rights reserved " * 250_000, "under the mit license " * 230_000])
+def test_hostile_texts_take_seconds(text):
+    scanner = licenses.Scanner()
+    began = time.process_time()
+    norm = licenses.normalise(text)
+    places, _ = scanner.places(norm)
+    scanner.fuzzy(norm.decode())
+    assert time.process_time() - began < 60 and (not text.startswith("cc") or len(places) == 550_000)
 
 
 def test_notice_seeds_cover_their_notice():
@@ -215,6 +346,22 @@ def test_languages(spark):
     assert all(got[i].held_out == (zlib.crc32(str(i).encode()) % 4 == 2) for i, _, _ in data)
     assert [got[i].lang_pred for i in (900, 901, 902)] == ["und"] * 3 and got[None].lang_pred == "en" and got[903].rejected
     assert langid.predicted(empty(spark)).count() == 0
+    assert langid.counts("\U00030001 \U000313af") is not None  # letters beyond the second plane
+    odd_columns = docs(spark).withColumns({"rejected": F.lit("x"), "score": F.lit("y"), "held_out": F.lit(1)})
+    assert langid.predicted(odd_columns).count() == docs(spark).count()
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.01"), reason="no test data")
+def test_languages_of_held_out_documents(spark):
+    d = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    model = langid.trained(d)
+    text = {r.doc_id: r for r in d.collect()}
+    got = langid.identify(d, model).collect()
+    for r in got[::7]:  # against one n-gram after the other
+        lang, score, rejected = plain.language(text[r.doc_id].text, model)
+        assert (r.lang_pred, r.rejected) == (lang, rejected) and abs(r.score - score) < 1e-4
+    judged = [(r.lang_pred, text[r.doc_id].lang) for r in got if r.held_out and text[r.doc_id].lang and r.lang_pred != "und"]
+    assert sum(a == b for a, b in judged) / len(judged) >= 0.95
     assert {r.lang_pred for r in langid.predicted(spark.createDataFrame([(1, "abc", None)], "doc_id long, text string, lang string")).collect()} == {"und"}
 
 
@@ -280,3 +427,6 @@ def test_secrets(spark):
     assert secrets.findings(d, path, newer).filter("n_hex > 0").count() < got.filter("n_hex > 0").count()
     assert spark.read.parquet(path).count() == n + n // len(secrets.RULES)  # the one new version, once for each blob
     assert secrets.findings(empty(spark)).count() == 0
+    # texts of many rows without an id, and of one id, are each read by themselves; columns may have any name
+    many = spark.createDataFrame([(None if i % 2 else 1, f"token={'a' * 12}{i}", "x", "y") for i in range(600)], "doc_id long, text string, blob string, spans string")
+    assert secrets.findings(many).filter("n_assign = 1").count() == 600

@@ -1,14 +1,20 @@
-"""Nearest neighbours, WARC files and the pipeline."""
+"""Nearest neighbours and WARC files."""
 
+import glob
 import gzip
+import html
 import math
+import os
+import re
+import time
 
 import numpy as np
+import pytest
 
-import corpus_pipeline
 from qforge.llm import neighbours, warc
 from qforge.llm.common import scratch
-from tests.llm.fixtures import docs
+
+DATA, LARGER = "/root/testdata/sf0.001", "/root/testdata/sf0.1"
 
 
 def test_neighbours(spark):
@@ -41,12 +47,18 @@ def test_warc(spark):
     pages = spark.createDataFrame([(1, "http://a/", "<html lang=de><title>T &amp; U</title><script>x<p></script><p>one\r\n\r\ntwo</p>three<a href='/l?a&amp;b'>four"), (2, None, None), (None, "u\r\nv", ""), (1, "http://a/", "é")], "page_id long, url string, html string")
     records = warc.responses(pages)
     derived = warc.derive(records)
-    for compression in ("gzip", "none"):
-        path = scratch(spark, "warc")
-        warc.write_warc(derived, path, records_per_file=3, compression=compression)
-        back = warc.read_warc(spark, path)
-        columns = ["warc_type", "record_id", "refers_to", "date", "content_type", "headers", "block_digest", "content_length", "block"]
-        assert sorted(map(str, back.select(columns).collect())) == sorted(map(str, derived.select(columns).collect()))
+    columns = ["warc_type", "record_id", "refers_to", "date", "content_type", "headers", "block_digest", "content_length", "block"]
+    for file_bytes in (1, 1 << 20):
+        path, other = scratch(spark, "warc"), scratch(spark, "warc")
+        warc.write_warc(derived, path, file_bytes)
+        warc.write_derivatives(pages, other, file_bytes=file_bytes)
+        for p in (path, other):
+            assert sorted(map(str, warc.read_warc(spark, p).select(columns).collect())) == sorted(map(str, derived.select(columns).collect()))
+        files = sorted(glob.glob(f"{path}/part-*"))
+        assert len(files) == derived.count() if file_bytes == 1 else len(files) <= derived.rdd.getNumPartitions()
+        for f in files:
+            with gzip.open(f) as g:  # other readers see one stream; it starts with warcinfo
+                assert g.read().startswith(b"WARC/1.1\r\nWARC-Type: warcinfo\r\n")
     got = {(r.refers_to, r.warc_type): r for r in derived.collect()}
     source = {r.record_id: r for r in records.collect()}
     assert {k[0] for k in got} == set(source) and len(got) == 8
@@ -70,17 +82,71 @@ def test_warc_damage_is_found():
         raise AssertionError("damage went unseen")
 
 
-def test_pipeline_stages(spark, tmp_path):
-    d = docs(spark)
-    d.write.parquet(f"{tmp_path}/documents.parquet")
-    spark.createDataFrame([(1, " ".join(f"p{i}" for i in range(5, 25)))], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
-    now, seen = spark.read.parquet(f"{tmp_path}/documents.parquet"), []
-    for name, stage in corpus_pipeline.STAGES:
-        out = stage(spark, now, str(tmp_path)).toPandas()
-        if name != "token_file":
-            assert out.columns.tolist() == d.columns
-            now = spark.createDataFrame(out.astype(object).where(out.notna(), None), d.schema)
-        seen.append(len(out))
-    assert d.count() > seen[0] > seen[1] > seen[2] and seen[3] == seen[4]
-    final = corpus_pipeline.run(spark, str(tmp_path)).toPandas()
-    assert len(final) == seen[-1] and final["start"].is_unique
+def plain_page(page):
+    """Text, title and links of a well-formed page, by substitution."""
+    shown = re.sub(r"(?is)<(script|style|noscript|template)\b.*?</\1\s*>|<!--.*?-->", " ", page)
+    text = re.sub(r"(?i)</?(p|div|br|li|ul|ol|tr|table|h[1-6]|section|article|header|footer|nav|title|blockquote|pre|hr)\b[^>]*>", "\n", shown)
+    lines = [" ".join(x.split()) for x in html.unescape(re.sub(r"<[a-zA-Z/!?][^>]*>", "", text)).split("\n")]
+    title = re.search(r"(?is)<title\b[^>]*>(.*?)</title\s*>", shown)
+    links = [html.unescape(next(g for g in m if g)) for m in re.findall(r"(?i)<a\b[^>]*?\bhref\s*=\s*(?:\"([^\"]+)\"|'([^']+)'|([^\s>\"']+))", shown)]
+    return "\n".join(x for x in lines if x), " ".join(html.unescape(title[1]).split()) if title else "", links
+
+
+@pytest.mark.skipif(not os.path.isdir(DATA), reason="no test data")
+def test_warc_of_all_pages(spark):
+    pages = spark.read.parquet(f"{DATA}/pages.parquet")
+    got = {}
+    for r in warc.derive(warc.responses(pages)).collect():
+        got.setdefault(r.refers_to, {})[r.warc_type] = r
+    expected = []
+    for r in pages.collect():
+        text, title, links = plain_page(r.html or "")
+        expected.append((r.url, text, *([f"title: {title}"] if title else []), *(f"outlink: {x}" for x in links)))
+    mine = []
+    for r in got.values():
+        fields = bytes(r["metadata"].block).decode().split("\r\n")
+        mine.append((r["metadata"].target_uri, bytes(r["conversion"].block).decode(), *(x for x in fields if x.startswith(("title: ", "outlink: ")))))
+    assert sorted(mine, key=repr) == sorted(set(expected), key=repr)
+
+
+@pytest.mark.parametrize("page", ["<a " * 2_000_000, "<title>" * 700_000, "<script>" * 700_000, "<" * 5_000_000, "<html " * 800_000 + ">", "<!--" * 1_200_000, "<a" + " href" * 1_000_000 + ">", "<title>" * 600_000 + "</title>", "<script>" + "</script " * 600_000])
+def test_hostile_pages_take_seconds(page):
+    began = time.process_time()
+    warc.read_page(page)
+    assert time.process_time() - began < 15
+
+
+def test_no_page(spark):
+    d = spark.createDataFrame([], "page_id long, url string, html string, block string, record_id string")
+    assert warc.derivatives(d, scratch(spark, "warc")).count() == 0
+    one = spark.createDataFrame([(1, "u", "<p>a" * 1_000_000, "b", "r")], d.schema)
+    assert warc.derivatives(one, scratch(spark, "warc")).count() == 2
+
+
+def test_one_id_with_several_vectors(spark):
+    x = np.random.default_rng(8).standard_normal((300, 6))
+    rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(100, x[5].tolist()), (7, (x[9] + 1).tolist()), (7, x[7].tolist())]
+    got = neighbours.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).toPandas()
+    best = {}
+    for i, v in rows:
+        best[i] = min(best.get(i, v), v)
+    ids = np.array(sorted(best))
+    v = np.array([best[i] for i in ids])
+    for q in (0, 100, 200):
+        mine = got[got["query_id"] == q].sort_values("rank")
+        assert len(mine) == 10 and mine["vec_id"].is_unique and q not in set(mine["vec_id"])
+        assert np.allclose(mine["score"], [np.linalg.norm(v[list(ids).index(i)] - best[q]) for i in mine["vec_id"]], rtol=1e-12)
+
+
+@pytest.mark.skipif(not os.path.isdir(DATA), reason="no test data")
+def test_recall_on_embeddings(spark):
+    table = spark.read.parquet(f"{LARGER}/embeddings.parquet")
+    rows = table.select("vec_id", "embedding").collect()
+    ids, v = np.array([r.vec_id for r in rows]), np.array([r.embedding for r in rows], dtype=np.float64)
+    got = neighbours.search(table).toPandas().groupby("query_id")["vec_id"].apply(set).to_dict()
+    recall = []
+    for at in np.flatnonzero(ids % 100 == 0):
+        d = np.sqrt(((v - v[at]) ** 2).sum(axis=1))
+        order = [ids[i] for i in np.lexsort((ids, d)) if i != at][:10]
+        recall.append(len(got[ids[at]] & set(order)) / len(order))
+    assert len(got) == len(recall) and np.mean(recall) >= 0.9
