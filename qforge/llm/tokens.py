@@ -37,8 +37,8 @@ LOW = np.uint64(1 << 31)
 LANES = 2048
 SEGMENT_TOKENS = 1 << 17
 BLOCK_SEGMENTS = 4
-#: Pieces of text whose ids a Python worker keeps; no more are kept beyond that.
-CACHE_PIECES = 800_000
+#: Pieces of text whose ids a Python worker keeps; beyond about that many it starts anew.
+CACHE_PIECES = 1_200_000
 
 SEGMENT = "first long, n_tokens long, n_docs int, part int, parts int, doc_ids binary, null_ids binary, lengths binary, states binary, word_from int, word_to int, crc long, ids_crc long"
 BLOCKS = f"shard int, block int, lanes int, words binary, segments array<struct<{SEGMENT.replace(' ', ':').replace(',:', ', ')}>>"
@@ -60,14 +60,14 @@ class Encoder:
 
     Byte-level BPE merges only inside the pre-tokens of its fixed pattern. Before a space or line feed that follows other
     text, after a single line feed, and between a letter or digit and a comma or full stop, one pre-token always ends and another
-    starts; so a text can be cut there, and only pieces not seen before go to the tokenizers library, as lines of one text. Texts where such
+    starts; so a text can be cut there, and only pieces not seen before go to the tokenizers library. Texts where such
     a place may not end a pre-token (unsafe) are encoded by the library in one piece.
     """
 
-    #: Two characters that may belong to one pre-token although a text would be cut between them.
-    PAIRS = tuple(a + b for a in " \n" for b in " \n.,")
     #: White space of other kinds, and a comma or full stop after neither a letter, digit or white space.
     RARE = re.compile("[\t\r\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
+    #: Letters and the ASCII marks behind them: the pre-token of the letters ends between the two.
+    WORD_AND_MARKS = re.compile(r"( ?[^\W\d_]+)([!-/:-@\[-^`{-~].*)", re.S)
     LOOSE = re.compile(r"[.,](?<=[^\w\s].)")
 
     def __init__(self, path: str):
@@ -80,55 +80,61 @@ class Encoder:
         self.dtype = np.dtype("<u2") if self.vocab <= 1 << 16 else np.dtype("<u4")
         self.code = "H" if self.dtype.itemsize == 2 else "I"
         self.end = np.array([END_ID], dtype=self.dtype).tobytes()
-        self.kept: dict[str, bytes] = dict(zip(("", "\n", " "), self.library(["", "\n", " "]), strict=True))
-        self.feed = np.frombuffer(self.kept["\n"], self.dtype)
+        self.kept: dict[str, bytes] = {"": b""}
+        self.feed = (self.tokenizer.encode("\n", add_special_tokens=False).ids or [-1])[0]
 
     def library(self, texts: list[str]) -> list[bytes]:
         return [array(self.code, e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def pieces(self, new: list[str]) -> list[bytes]:
-        """Ids of pieces without line feeds. The library takes them in lines of one text, where each is a pre-token run of its own, as in the texts they come from."""
-        out: list[bytes] = []
-        for s in range(0, len(new), 4096):
-            run = new[s : s + 4096]
-            ids = np.frombuffer(self.library(["\n".join(run)])[0], self.dtype)
-            cuts = np.flatnonzero(ids == self.feed[0]) if len(self.feed) == 1 else []
-            if len(cuts) != len(run) - 1:
-                out += self.library(run)
-                continue
-            data, size = ids.tobytes(), self.dtype.itemsize
-            ends = [*(cuts * size).tolist(), len(data)]
-            out += [data[a:b] for a, b in zip([0, *(e + size for e in ends[:-1])], ends, strict=True)]
-        return out
+    def lines(self, pieces: list[str]) -> list[bytes]:
+        """``library`` for pieces: those without white space but in front go as lines of one text. A line feed is a pre-token of its own there, and what is before and behind it
+        is cut as at the ends of a text."""
+        plain = [p for p in pieces if p.strip() and "\n" not in p]
+        ids = np.frombuffer(self.library(["\n".join(plain)])[0], self.dtype)
+        cuts = np.flatnonzero(ids == self.feed)
+        if len(cuts) != len(plain) - 1:
+            return self.library(pieces)
+        data, size = ids.tobytes(), self.dtype.itemsize
+        ends = [*(cuts * size).tolist(), len(data)]
+        found = dict(zip(plain, [data[a:b] for a, b in zip([0, *(e + size for e in ends[:-1])], ends, strict=True)], strict=True))
+        rest = [p for p in pieces if p not in found]
+        found.update(zip(rest, self.library(rest), strict=True))
+        return [found[p] for p in pieces]
 
     def unsafe(self, text: str) -> bool:
-        return text[0] in " \n.," or "_" in text or "\0" in text or any(p in text for p in self.PAIRS) or bool(self.LOOSE.search(text) or self.RARE.search(text))
+        if text[0] in " \n.," or "_" in text or "\0" in text or "  " in text or " \n" in text or " ." in text or " ," in text or "\n " in text or "\n\n" in text or "\n." in text or "\n," in text:
+            return True
+        return bool(self.LOOSE.search(text) or self.RARE.search(text))
+
+    def learn(self, missed: list[str]) -> None:
+        """Keep the ids of pieces not seen before."""
+        kept, parts = self.kept, {}
+        for p in missed:
+            if m := self.WORD_AND_MARKS.fullmatch(p):
+                parts[p] = m.groups()
+        new = [p for p in {*(p for p in missed if p not in parts), *(x for pair in parts.values() for x in pair)} if p not in kept]
+        for s in range(0, len(new), 4096):
+            kept.update(zip(new[s : s + 4096], self.lines(new[s : s + 4096]), strict=True))
+        for p, (word, marks) in parts.items():
+            kept[p] = kept[word] + kept[marks]
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Little-endian ids of each text, with the end id."""
-        out, got, lost, whole = [self.end] * len(texts), {}, {}, []
-        new: dict[str, bytes] = {}
+        if len(self.kept) > CACHE_PIECES:
+            self.kept = {"": b""}  # frequent pieces are soon back
+        out, cut, whole, seen = [self.end] * len(texts), {}, [], set()
         for i, t in enumerate(texts):
             if not t:
                 continue
             if self.unsafe(t):
                 whole.append(i)
                 continue
-            pieces = t.replace(" ", "\0 ").replace("\n", "\0\n\0").replace(",", "\0,").replace(".", "\0.").split("\0")
-            got[i] = ids = list(map(self.kept.get, pieces))
-            lost[i], k = [], -1
-            for _ in range(ids.count(None)):
-                k = ids.index(None, k + 1)
-                lost[i].append((k, pieces[k]))
-            new.update(dict.fromkeys(p for _, p in lost[i]))
-        new = dict(zip(new, self.pieces(list(new)), strict=True))
-        if len(self.kept) + len(new) <= CACHE_PIECES:  # frequent pieces come early; once full, it stays as it is
-            self.kept.update(new)
-        for i, ids in got.items():
-            for k, p in lost[i]:
-                ids[k] = new[p]
-            ids.append(self.end)
-            out[i] = b"".join(ids)
+            cut[i] = t.replace(" ", "\0 ").replace("\n", "\0\n\0").replace(",", "\0,").replace(".", "\0.").split("\0")
+            seen.update(cut[i])
+        kept = self.kept
+        self.learn([p for p in seen if p not in kept])
+        for i, pieces in cut.items():
+            out[i] = b"".join(map(kept.__getitem__, pieces)) + self.end
         for i, ids in zip(whole, self.library([texts[i] for i in whole]), strict=True):
             out[i] = ids + self.end
         return out
@@ -256,12 +262,8 @@ def count_ids(tokens: DataFrame, vocab: int) -> np.ndarray:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         total = np.zeros(vocab, dtype=np.int64)
         for b in batches:
-            for ids in b["ids"]:
-                got = np.frombuffer(ids, dtype)
-                if len(got) > vocab // 16:
-                    total += np.bincount(got, minlength=vocab)
-                else:
-                    np.add.at(total, got, 1)
+            for s in range(0, len(b), 500):
+                total += np.bincount(np.frombuffer(b"".join(b["ids"].iloc[s : s + 500]), dtype), minlength=vocab)
         seen = np.flatnonzero(total)
         yield pd.DataFrame({"id": seen, "n": total[seen]})
 
@@ -372,8 +374,11 @@ def read_model(spark: SparkSession, path: str) -> tuple[bytes, int]:
     return freq, bits
 
 
-def read_tokens(spark: SparkSession, path: str) -> DataFrame:
-    """Decode a token file, segments in parallel, each from its checkpoint: doc_id, start, n_tokens, ids (little-endian unsigned 32-bit). Bad checksums raise."""
+def read_tokens(spark: SparkSession, path: str, digest: bool = False) -> DataFrame:
+    """Decode a token file, segments in parallel, each from its checkpoint: doc_id, start, n_tokens, ids (little-endian unsigned 32-bit), or with ``digest``
+    their CRC instead (ids_crc32 long). Bad checksums raise."""
+    name, kind = ("ids_crc32", "long") if digest else ("ids", "binary")
+    given = zlib.crc32 if digest else bytes
     freq, bits = read_model(spark, path)
 
     def decoded(batches: Iterator[pd.DataFrame]) -> Iterator[tuple]:
@@ -394,8 +399,8 @@ def read_tokens(spark: SparkSession, path: str) -> DataFrame:
     def documents(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for r, doc_ids, n, ids in decoded(batches):
             ends, data = np.cumsum(n), ids.tobytes()
-            pieces = [data[4 * (e - m) : 4 * e] for e, m in zip(ends.tolist(), n.tolist(), strict=True)]
-            yield pd.DataFrame({"doc_id": doc_ids, "start": r["start"] + r["first"] + ends - n, "n_tokens": n, "ids": pieces})
+            pieces = [given(data[4 * (e - m) : 4 * e]) for e, m in zip(ends.tolist(), n.tolist(), strict=True)]
+            yield pd.DataFrame({"doc_id": doc_ids, "start": r["start"] + r["first"] + ends - n, "n_tokens": n, name: pieces})
 
     def cut_documents(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for r, doc_ids, n, ids in decoded(batches):
@@ -406,7 +411,7 @@ def read_tokens(spark: SparkSession, path: str) -> DataFrame:
         ids = b"".join(rows["ids"])
         if len(ids) != 4 * rows["n_tokens"].iloc[0]:
             raise ValueError("a part of a document is missing")
-        return rows.iloc[:1][["doc_id", "start", "n_tokens"]].assign(ids=[ids])
+        return rows.iloc[:1][["doc_id", "start", "n_tokens"]].assign(**{name: [given(ids)]})
 
     blocks, shards = spark.read.schema(BLOCKS).parquet(f"{path}/blocks"), spark.read.schema(SHARDS).parquet(f"{path}/shards")
     sound, cut = shards.agg(F.bool_and(F.col("crc") == F.crc32(F.concat_ws(",", "shard", "start", "cut"))), F.sum("cut")).first()
@@ -415,10 +420,10 @@ def read_tokens(spark: SparkSession, path: str) -> DataFrame:
     segments = blocks.join(F.broadcast(shards.select("shard", "start")), "shard").select("shard", "block", "lanes", "start", "words", F.posexplode("segments").alias("segment", "s"))  # a row of 12 bytes a shard
     words = F.substr("words", F.col("s.word_from") * 4 + 1, (F.col("s.word_to") - F.col("s.word_from")) * 4)
     segments = segments.select("shard", "block", "lanes", "start", "segment", words.alias("words"), "s.*")
-    document = "doc_id long, start long, n_tokens long, ids binary"
+    document = f"doc_id long, start long, n_tokens long, {name} {kind}"
     out = segments.filter("parts = 1").mapInPandas(documents, document)
     if cut:
-        out = out.union(segments.filter("parts > 1").mapInPandas(cut_documents, f"{document}, part int").groupBy("start").applyInPandas(together, document))
+        out = out.union(segments.filter("parts > 1").mapInPandas(cut_documents, "doc_id long, start long, n_tokens long, ids binary, part int").groupBy("start").applyInPandas(together, document))
     return out
 
 
@@ -430,4 +435,4 @@ def token_digest(docs: DataFrame, tokenizer: str | None = None, id_col: str = "d
     alone. An empty table gives no rows. Other columns are ignored.
     """
     path = write_tokens(docs, scratch(docs.sparkSession, "tokens"), tokenizer, id_col, text_col)
-    return read_tokens(docs.sparkSession, path).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+    return read_tokens(docs.sparkSession, path, digest=True)
