@@ -2,15 +2,33 @@
 
 from __future__ import annotations
 
+import unicodedata
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 #: Fixed value: the white space of ECMAScript, as a Java and RE2 character class body.
 SPACE = r"\s\x0B\x{00A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}"
 
 
+#: The same, as a string of characters.
+SPACES = "\t\n\x0b\x0c\r \xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000\ufeff"
+
+
 def trimmed(x: Column) -> Column:
-    return F.regexp_replace(x, f"^[{SPACE}]+|[{SPACE}]+$", "")
+    return F.btrim(x, F.lit(SPACES))
+
+
+@F.pandas_udf(StringType())
+def nfkc(texts: pd.Series) -> pd.Series:
+    """Unicode compatibility form; Spark has no function for it."""
+    return texts.map(lambda t: None if t is None else unicodedata.normalize("NFKC", t))
+
+
+def normal_form(x: Column) -> Column:
+    return F.when(x.rlike(r"[^\x00-\x7F]"), nfkc(x)).otherwise(x)
 
 
 def collapsed(x: Column) -> Column:
@@ -92,6 +110,11 @@ def without_ligature_debris(x: Column) -> Column:
     return F.trim(F.regexp_replace(collapsed(x), r"(?:\s+(?:ffi|ffl|fi|fl|ff))+$", ""))
 
 
+def usable_text_layer(x: Column, least: int = 50) -> Column:
+    """Whether a page's text layer holds enough to be used instead of OCR."""
+    return F.length(F.regexp_replace(x, f"[{SPACE}]", "")) >= least
+
+
 def safe_file_name(x: Column) -> Column:
     return F.regexp_replace(x, "[^a-zA-Z0-9._-]", "_")
 

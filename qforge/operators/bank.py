@@ -52,7 +52,7 @@ def replace_bank(target: DataFrame, incoming: DataFrame, key: str, active: str,
 
 
 def patched(rows: DataFrame, patch: DataFrame, key: str, *fields: str) -> DataFrame:
-    """Fields of the patch that are not null replace those of the row with the key; the patch has a key once."""
+    """Fields of the patch that are not null replace those of the row with the key; the patch has a key once. Fields not named are left alone, whatever the patch holds."""
     p = patch.select(key, *[F.col(f).alias(f"_new_{f}") for f in fields])
     return rows.join(p, key, "left").withColumns({f: F.coalesce(f"_new_{f}", f) for f in fields}).drop(*[f"_new_{f}" for f in fields])
 
@@ -66,6 +66,21 @@ def cascade(child: DataFrame, parent: DataFrame, foreign: str, key: str, on_dele
     return joined.filter(F.col(foreign).isNull() | F.col("_alive").isNotNull()).drop("_alive")
 
 
+def excluded(rows: DataFrame, gone: DataFrame, key: str, active: str = "active") -> DataFrame:
+    """The rows named stay, inactive."""
+    named = gone.select(F.col(key).alias("_gone")).distinct()
+    return rows.join(named, rows[key] == named["_gone"], "left").withColumn(active, F.when(F.col("_gone").isNotNull(), False).otherwise(F.col(active))).drop("_gone")
+
+
+def with_ids(rows: DataFrame, *of: str, name: str = "id") -> DataFrame:
+    """Adds an id made from the columns named, so a rerun gives equal ids."""
+    return rows.withColumn(name, F.substring(F.sha2(F.concat_ws("\x1f", *[F.coalesce(F.col(c).cast("string"), F.lit("\x1e")) for c in of]), 256), 1, 32))
+
+
+#: Fields of a question that a user may change.
+EDITABLE = ("question", "options", "labels", "correct", "explanation", "tags", "status")
+
+
 def soft_deleted(rows: DataFrame, gone: Column, at: Column) -> DataFrame:
     return rows.withColumn("archived_at", F.when(gone, at).otherwise(F.col("archived_at")))
 
@@ -131,3 +146,31 @@ def apply_repairs(bank: DataFrame, repairs: DataFrame, key: str, fingerprint: st
 def numbered(rows: DataFrame, session: str, *order: str) -> DataFrame:
     """position within a session, from 1, as a stable read order."""
     return rows.withColumn("position", F.row_number().over(Window.partitionBy(session).orderBy(*order)))
+
+
+def content_repaired(bank: DataFrame, repairs: DataFrame, fingerprint: Column) -> tuple[DataFrame, DataFrame]:
+    """(bank with content repairs, problems). repairs: id, fingerprint, kind, question, options, labels, explanation, note, evidence.
+
+    A repair that is repeated, misses its target, was made for other content (stale), or has not each of four labels and four different texts is a problem, and none that has one is applied.
+    What is applied replaces question, options, labels, correct and explanation, renews the hash, clears the flags, and says in the log where it came from.
+    """
+    r = repairs.select(*[F.col(c).alias(f"r_{c}") for c in ("id", "fingerprint", "kind", "question", "options", "labels", "explanation", "note", "evidence")])
+    twice = r.groupBy("r_id").agg(F.count("*").alias("r_n"))
+    seen = r.join(twice, "r_id").join(bank.select("id", fingerprint.alias("_now")), F.col("r_id") == F.col("id"), "left")
+    ids = F.array_distinct(F.transform("r_options", lambda o: o["id"]))
+    texts = F.array_distinct(F.transform("r_options", lambda o: X.collapsed(F.lower(o["text"]))))
+    problem = F.when(F.col("r_n") > 1, "repeated").when(F.col("id").isNull(), "missing").when(F.col("r_fingerprint") != F.col("_now"), "stale").when(~(F.size(F.array_intersect(ids, F.array(*map(F.lit, "ABCD")))) == 4) | (F.size("r_options") != 4), "labels").when(F.size(texts) != 4, "same_texts")
+    seen = seen.withColumn("problem", problem)
+    fine = seen.filter("problem is null").drop("id", "_now", "problem", "r_n")
+    joined = bank.join(fine, F.col("id") == F.col("r_id"), "left")
+    hit = F.col("r_id").isNotNull()
+    options = F.array_sort("r_options")
+    at = F.transform("r_labels", lambda x: F.array_position(F.transform(options, lambda o: o["id"]), x).cast("int") - 1)
+    note = F.concat("r_note", F.lit(" Input fingerprint: "), "r_fingerprint", F.lit(". Evidence: "), "r_evidence")
+    action = F.struct(F.when(F.col("r_kind") == "ai_adaptation", "ai_content_repair").otherwise("source_content_repair").alias("type"), F.lit("applied").alias("status"), note.alias("note"))
+    new = {
+        "question": F.col("r_question"), "options": options, "labels": F.col("r_labels"), "correct": at, "explanation": F.col("r_explanation"), "content_hash": X.exact_hash(F.col("r_question"), options),
+        "status": F.lit("auto_repaired"), "flags": F.array().cast("array<string>"), "actions": F.concat("actions", F.array(action)),
+    }
+    out = joined.withColumns({c: F.when(hit, v).otherwise(F.col(c)) for c, v in new.items()})
+    return out.select(*bank.columns), seen.filter("problem is not null").select(F.col("r_id").alias("id"), "problem").distinct()

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from qforge.functions import text as X
 from qforge.operators.bank import patched
 from qforge.operators.lines import lines
+from qforge.operators.scope import context_text
 
 
 def reset(tables: Mapping[str, DataFrame], topics: DataFrame, what: str) -> dict[str, DataFrame]:
@@ -42,6 +43,26 @@ def decided(suggestions: DataFrame, decisions: DataFrame) -> DataFrame:
     return suggestions.join(d, "id", "left").withColumn("status", F.when((F.col("status") == "pending") & F.col("_to").isNotNull(), F.col("_to")).otherwise(F.col("status"))).drop("_to")
 
 
+def definition_suggested(chunks: DataFrame, by: str, order: str, content: str, most: int = 4000) -> DataFrame:
+    """(by, type, instructions): the definition chunks of a topic, joined by blank lines and cut."""
+    return context_text(chunks, by, order, content, most).select(by, F.lit("definition").alias("type"), F.col("context").alias("instructions"))
+
+
+def approved_definitions(topics: DataFrame, suggestions: DataFrame, key: str = "topic_id", most: int = 4000) -> DataFrame:
+    """Topics whose instructions go on with those of their approved definition suggestions, in order of id; cut to ``most`` characters."""
+    new = suggestions.filter("status = 'approved' and type = 'definition'").groupBy(key).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("id", "instructions"))), lambda x: x["instructions"]), "\n\n").alias("_new"))
+    joined = topics.join(new, key, "left")
+    return joined.withColumn("instructions", F.when(F.col("_new").isNull(), F.col("instructions")).otherwise(with_notes(F.col("instructions"), F.col("_new"), most))).drop("_new")
+
+
+def approved_scope(current: DataFrame, suggestions: DataFrame, key: str = "topic_id", title: str = "title") -> DataFrame:
+    """(key, title, origin): a topic's scope items with those of its approved scope suggestions (rows of key, status, type, title), by normalised title; what is there stays."""
+    norm = F.lower(F.trim(F.col(title)))
+    new = suggestions.filter("status = 'approved' and type = 'scope'").groupBy(key, norm.alias("_k")).agg(F.min(title).alias("_new"))
+    old = current.groupBy(key, norm.alias("_k")).agg(F.min(title).alias("_old"))
+    return old.join(new, [key, "_k"], "full_outer").select(key, F.coalesce("_old", "_new").alias(title), F.when(F.col("_old").isNotNull(), "current").otherwise("suggested").alias("origin"))
+
+
 def with_notes(notes: Column, added: Column, most: int = 4000) -> Column:
     return F.substring(F.concat_ws("\n\n", F.when(notes != "", notes), F.when(added != "", added)), 1, most)
 
@@ -60,12 +81,6 @@ def suggested_scope(chunks: DataFrame, key: str, order: str, content: str) -> Da
     return first.select(key, "chapter", "f.item", F.col("f.line_no").alias("line"))
 
 
-def batches(rows: DataFrame, key: str, size: int) -> DataFrame:
-    """Adds batch: about ``size`` rows each, by hash, without a global order."""
-    n = F.lit(max(1, -(-rows.count() // size)))
-    return rows.withColumn("batch", F.pmod(F.xxhash64(key), n))
-
-
 def flag_outcome(status: Column, verdict_ok: Column, changed: Column) -> Column:
     """upheld, corrected or failed for a flag whose verification ran; pending stays."""
     return F.when(status != "pending", status).when(~verdict_ok, "failed").when(changed, "corrected").otherwise("upheld")
@@ -88,6 +103,12 @@ def settled_size(sessions: DataFrame, rows: DataFrame, key: str) -> DataFrame:
     return sessions.join(n, key, "left").withColumn("question_count", F.coalesce("_n", F.lit(0))).drop("_n")
 
 
+def audit_gate(bank: DataFrame, by: str, status: Column, audited: Column) -> DataFrame:
+    """(by, passes, unaudited): whether all servable records of a group have a verdict, and how many lack one."""
+    due = X.servable(status) & ~audited
+    return bank.groupBy(by).agg((F.count_if(due) == 0).alias("passes"), F.count_if(due).alias("unaudited"))
+
+
 def fully_audited(bank: DataFrame, audited: Column) -> bool:
     """The gate of an import: no servable record without a verdict."""
     return bank.filter(X.servable(F.col("reviewStatus")) & ~audited).isEmpty()

@@ -51,12 +51,9 @@ def near(all_lines: DataFrame, spots: DataFrame, key: str, before: int, after: i
     return all_lines.join(s, (F.col(key) == F.col("_k")) & F.col("line_no").between(F.col("start") - before, F.col("stop") + after)).drop("_k")
 
 
-def keyed(questions: DataFrame, answers: DataFrame, contexts: Column, number: str = "number") -> DataFrame:
-    """Left join to the answer key on the first of ``contexts`` (an array, best first) that has the question's number. answers: context, number, label; one row each."""
-    tried = questions.withColumn("_q", F.monotonically_increasing_id()) if "_q" not in questions.columns else questions
-    each = tried.select("*", F.posexplode_outer(F.array_distinct(F.array_compact(contexts))).alias("_rank", "_ctx"))
-    a = answers.select(F.col("context").alias("_ctx"), F.col(number).alias(number), "label")
-    hit = each.join(a, ["_ctx", number], "left")
-    own = [c for c in questions.columns if c != "_q"]
-    best = F.min(F.when(F.col("label").isNotNull(), F.struct("_rank", "label", F.col("_ctx").alias("context"))))
-    return hit.groupBy("_q", *own).agg(best.alias("_best")).select(*own, F.col("_best.label").alias("label"), F.col("_best.context").alias("matched_context"))
+def keyed(questions: DataFrame, answers: DataFrame, contexts: Column, key: list[str], number: str = "number") -> DataFrame:
+    """Left join to the answer key on the first of ``contexts`` (an array, best first) that has the question's number. ``key`` names a question; answers: context, number, label, one row each."""
+    each = questions.select(*key, number, F.posexplode(F.array_distinct(F.array_compact(contexts))).alias("_rank", "_ctx"))
+    hit = each.join(answers.select(F.col("context").alias("_ctx"), number, "label"), ["_ctx", number]).filter("label is not null")
+    best = hit.groupBy(*key).agg(F.min(F.struct("_rank", "label", F.col("_ctx").alias("context"))).alias("_best"))
+    return questions.join(best, key, "left").select(*questions.columns, F.col("_best.label").alias("label"), F.col("_best.context").alias("matched_context"))

@@ -1,8 +1,12 @@
 """Copies of a question under small damage: pairs by shared option prefixes and prompt words, groups, survivors, conflicts.
 
-Every rule for a pair needs at least two shared option prefixes. With each record's prefixes ordered by rarity, two records that share two
-prefixes share one that is not the most frequent of either; so the most frequent prefix of a record need not be joined, and
-records with equal features are one class before any join.
+Every rule for a pair needs at least two shared option prefixes, and 60 % of the smaller word set in the larger. So of two such records
+
+* either they share a prefix that at most HOT classes have, and that is not the most frequent one of either: an equi-join on those;
+* or all prefixes that they share are frequent ones, two at least. Then the smaller set's rarest words, as many as 40 % of them and one more, hold a word of the larger: an
+  equi-join of rarest words with all words, among the records that have two such prefixes. Boilerplate alone makes no pair.
+
+Records with equal features are one class before any join.
 """
 
 from __future__ import annotations
@@ -13,6 +17,9 @@ from pyspark.sql import functions as F
 from qforge.functions import text as X
 from qforge.storage import settled
 
+#: Classes that a prefix may have to be joined on.
+HOT = 64
+
 
 def features(rows: DataFrame, key: str, prompt: Column, options: Column) -> DataFrame:
     """(key, words, prefixes): distinct prompt words, sorted; option prefixes with their number of occurrence, so that a multiset is a set."""
@@ -34,16 +41,31 @@ def class_edges(feats: DataFrame) -> tuple[DataFrame, DataFrame]:
     classes = settled(feats.groupBy("words", "prefixes").agg(F.min("id").alias("cls")), "classes")
     members = feats.join(classes, ["words", "prefixes"]).select("id", "cls")
     each = classes.filter("size(prefixes) >= 2").select("cls", F.explode("prefixes").alias("p"))
-    counted = each.join(each.groupBy("p").agg(F.count("*").alias("n")), "p")
+    counted = settled(each.join(each.groupBy("p").agg(F.count("*").alias("n")), "p"), "prefixes")
     last = F.row_number().over(Window.partitionBy("cls").orderBy(F.desc("n"), F.desc("p")))
-    probe = counted.withColumn("r", last).filter("r > 1 and n > 1").select("cls", "p")
-    pairs = probe.alias("x").join(probe.alias("y"), F.expr("x.p = y.p and x.cls < y.cls")).select(F.col("x.cls").alias("a"), F.col("y.cls").alias("b")).distinct()
+    probe = counted.withColumn("r", last).filter(f"r > 1 and n > 1 and n <= {HOT}").select("cls", "p")
+    pairs = probe.alias("x").join(probe.alias("y"), F.expr("x.p = y.p and x.cls < y.cls")).select(F.col("x.cls").alias("a"), F.col("y.cls").alias("b"))
+    hot = counted.filter(f"n > {HOT}").groupBy("cls").agg(F.count("*").alias("hot")).filter("hot >= 2")
+    pairs = settled(pairs.union(_by_words(classes.join(hot, "cls", "left_semi"))).distinct(), "pairs")
     a, b = (classes.select(F.col("cls").alias(s), F.col("words").alias(f"w{s}"), F.col("prefixes").alias(f"p{s}")) for s in "ab")
     shared = F.size(F.array_intersect("pa", "pb"))
     edges = pairs.join(a, "a").join(b, "b").filter(same_question(F.col("wa"), F.col("wb"), shared)).select("a", "b")
     return members, edges
 
 
+def _by_words(classes: DataFrame) -> DataFrame:
+    """(a, b), a < b: classes of which the larger word set has one of the smaller's rarest words."""
+    words = F.when(F.size("words") > 0, F.col("words")).otherwise(F.array(F.lit("")))
+    each = classes.select("cls", F.size("words").alias("size"), F.explode(words).alias("w"))
+    each = settled(each.join(each.groupBy("w").agg(F.count("*").alias("n")), "w").filter("n > 1"), "words")
+    # the rarest of all its words: those that no other record has come first and make no pair
+    alone = F.greatest(F.col("size"), F.lit(1)) - F.count("*").over(Window.partitionBy("cls"))
+    rank = F.row_number().over(Window.partitionBy("cls").orderBy("n", "w"))
+    rare = each.withColumn("r", rank + alone).filter(F.col("r") <= F.col("size") - F.ceil(F.col("size") * 0.6 - 1e-9) + 1).select("cls", "size", "w")
+    met = rare.alias("s").join(each.alias("l"), F.expr("s.w = l.w and (s.size < l.size or (s.size = l.size and s.cls < l.cls))"))
+    return met.select(F.least("s.cls", "l.cls").alias("a"), F.greatest("s.cls", "l.cls").alias("b"))
+
+
 def self_alike(words: Column, prefixes: Column) -> Column:
     """Whether two records with these very features are the same question."""
     return same_question(words, words, F.size(prefixes))

@@ -5,12 +5,8 @@ Words are rows; the vocabulary is joined by word, whatever its size, and texts a
 
 from __future__ import annotations
 
-import unicodedata
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
 
 from qforge.functions import text as X
 
@@ -18,15 +14,9 @@ from qforge.functions import text as X
 LIGATURES = ("fi", "fl", "ffi", "ffl", "ff")
 
 
-@F.pandas_udf(StringType())
-def nfkc(texts: pd.Series) -> pd.Series:
-    """Unicode compatibility form; Spark has no function for it."""
-    return texts.map(lambda t: None if t is None else unicodedata.normalize("NFKC", t))
-
-
 def normalised(text: Column) -> Column:
     """NFKC, stray ideographs and a leading list number dropped."""
-    return F.regexp_replace(X.without_stray_cjk(nfkc(text)), r"^\s*\(?\s*\d{1,3}[.,]\s+(?=[A-Z])", "")
+    return F.regexp_replace(X.without_stray_cjk(X.normal_form(text)), r"^\s*\(?\s*\d{1,3}[.,]\s+(?=[A-Z])", "")
 
 
 def repaired(rows: DataFrame, key: str, text: str, vocabulary: DataFrame, least: int = 2, least_rest: int = 5) -> DataFrame:

@@ -27,10 +27,12 @@ def filtered_scope(items: DataFrame, item: str, title: str, wanted: list[str]) -
     return items if low and hit.isEmpty() else hit
 
 
-def stratum(scope_id: Column, tags: Column, plan: DataFrame, item: str) -> Column:
-    """The scope id if planned, else the first planned tag, else null. The plan's items are a literal: a scope has a bounded number of them."""
-    planned = F.array(*[F.lit(r[0]) for r in plan.select(item).orderBy(item).collect()]).cast("array<string>")
-    return F.when(F.array_contains(planned, scope_id), scope_id).otherwise(F.get(F.filter(tags, lambda t: F.array_contains(planned, t)), F.lit(0)))
+def with_stratum(pool: DataFrame, key: str, scope_id: Column, tags: Column, plan: DataFrame, item: str, name: str = "stratum") -> DataFrame:
+    """Adds the scope id if planned, else the first planned tag, else null. ``key`` is unique; candidates are joined to the plan, whatever its size."""
+    tried = F.concat(F.array(scope_id), F.coalesce(tags, F.array().cast("array<string>")))
+    each = pool.select(F.col(key).alias("_key"), F.posexplode(tried).alias("_at", "_try")).join(plan.select(F.col(item).alias("_try")).distinct(), "_try")
+    first = each.groupBy("_key").agg(F.min(F.struct("_at", "_try"))["_try"].alias(name))
+    return pool.join(first, pool[key] == first["_key"], "left").drop("_key")
 
 
 def stratified_sample(pool: DataFrame, key: str, strata: str, plan: DataFrame, item: str, n: int, seed: str = "sample") -> DataFrame:
@@ -39,7 +41,7 @@ def stratified_sample(pool: DataFrame, key: str, strata: str, plan: DataFrame, i
     Only the first n rows of a stratum can be drawn, so each stratum is cut to n before the strata meet.
     """
     h = draw_key(F.col(key), seed)
-    rows = pool.withColumn("_h", h).join(F.broadcast(plan.select(F.col(item).alias("_item"), "quota")), F.col(strata) == F.col("_item"), "left")
+    rows = pool.withColumn("_h", h).join(plan.select(F.col(item).alias("_item"), "quota"), F.col(strata) == F.col("_item"), "left")
     rank = F.row_number().over(Window.partitionBy(strata).orderBy("_h", key))
     rows = rows.withColumn("_r", rank).filter(F.col("_r") <= n)
     drawn = F.col("_r") <= F.coalesce("quota", F.lit(0))

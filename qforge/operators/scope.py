@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from qforge.functions import text as X
+
 
 def derived(rows: DataFrame, chapter: Column, number: Column, item: Column, seq: str) -> DataFrame:
     """(chapter, chapter_no, items): chapters by their smallest number, then title; distinct item titles in order of first sight."""
@@ -26,26 +28,60 @@ def frozen(current: DataFrame, incoming: DataFrame, used: DataFrame, item: str)
     return incoming.select(item).distinct().withColumn("frozen", F.lit(False)).union(gone.withColumn("frozen", F.lit(True)))
 
 
-def first_match(rows: DataFrame, haystack: Column, items: DataFrame, item: str, title: str, order: str, most: int = 10_000) -> DataFrame:
-    """Adds matched: the first scope item, in order, whose title is within the haystack (any case), else null.
+#: Characters of the piece of a title that candidates are found by.
+PIECE = 4
+
+
+def first_match(rows: DataFrame, key: str, haystack: Column, items: DataFrame, item: str, title: str, order: str) -> DataFrame:
+    """Adds matched: the first scope item, in order, whose title is within the haystack (any case), else null. ``key`` is unique.
 
-    A scope's items are few (``most`` is checked): they are a literal, so no join is needed.
+    A title's first PIECE characters (all, if it is shorter) meet the haystacks that hold them by an equi-join, once a haystack and piece; only those pairs are searched. The empty title is
+    in every haystack.
     """
-    listed = items.select(F.col(item).cast("string"), F.lower(title)).orderBy(order).limit(most + 1).collect()
-    if len(listed) > most:
-        raise ValueError(f"a scope has at most {most} items")
-    if not listed:
-        return rows.withColumn("matched", F.lit(None).cast("string"))
-    titles = F.array(*[F.struct(F.lit(i).alias("id"), F.lit(t).alias("title")) for i, t in listed])
-    low = F.lower(haystack)
-    return rows.withColumn("matched", F.get(F.filter(titles, lambda t: F.contains(low, t["title"])), F.lit(0))["id"])
+    titles = items.select(F.col(item).cast("string").alias("_item"), F.lower(title).alias("_title"), F.col(order).alias("_order")).filter("_title is not null")
+    titles = titles.withColumn("_piece", F.substring("_title", 1, PIECE))
+    low = rows.select(F.col(key).alias("_key"), F.lower(haystack).alias("_low")).filter("_low is not null")
+    widths = [r[0] for r in titles.select(F.length("_piece")).distinct().collect()]  # PIECE + 1 numbers at most
+    widths = F.array(*[F.lit(w) for w in sorted(widths)]).cast("array<int>")
+    pieces = F.array_distinct(F.flatten(F.transform(widths, lambda w: F.transform(F.sequence(F.lit(1), F.length("_low") + 1), lambda p: F.substr("_low", p, w)))))
+    met = low.select("_key", "_low", F.explode(pieces).alias("_piece")).join(titles, "_piece").filter(F.contains("_low", F.col("_title")))
+    first = met.groupBy("_key").agg(F.min(F.struct("_order", "_item"))["_item"].alias("matched"))
+    return rows.join(first, rows[key] == first["_key"], "left").drop("_key")
 
 
 def context_text(chunks: DataFrame, by: str, order: str, content: str, most: int = 5000) -> DataFrame:
-    """Chunks of a topic in order, joined by blank lines, cut to ``most`` characters. Only chunks that start within the cut are gathered."""
-    from pyspark.sql import Window
-
-    before = F.sum(F.length(content) + 2).over(Window.partitionBy(by).orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.length(content) - 2
-    kept = chunks.filter(F.col(content).isNotNull()).withColumn("_before", before).filter(F.col("_before") < most)
-    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(order, F.substring(content, 1, most).alias("t")))), lambda x: x["t"]), "\n\n")
+    """Chunks of a topic in order, joined by blank lines, cut to ``most`` characters. Only the first ``most`` / 2 + 1 chunks of a topic can matter, as each takes two characters at least; they
+    are found on narrow rows, and before the shuffle too."""
+    place = F.row_number().over(Window.partitionBy(by).orderBy(order))
+    narrow = chunks.filter(F.col(content).isNotNull()).select(by, order, F.substring(content, 1, most).alias("_t")).withColumn("_r", place).filter(F.col("_r") <= most // 2 + 1)
+    before = F.sum(F.length("_t") + 2).over(Window.partitionBy(by).orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.length("_t") - 2
+    kept = narrow.withColumn("_before", before).filter(F.col("_before") < most + 2)
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(order, "_t"))), lambda x: x["_t"]), "\n\n")
     return kept.groupBy(by).agg(F.substring(text, 1, most).alias("context"))
+
+
+def normalized(chapters: Column, most_chapters: int = 50, most_items: int = 100, length: int = 200) -> Column:
+    """Chapters (array of struct of title and items, an array of struct of id, title, details) with texts trimmed and cut, untitled ones dropped, and no more of them than allowed."""
+    text = lambda x: X.short(x, length)
+    items = lambda c: F.slice(F.filter(F.transform(F.coalesce(c["items"], F.array().cast("array<struct<id:string,title:string,details:string>>")), lambda i: F.struct(i["id"].alias("id"), text(i["title"]).alias("title"), X.short(i["details"], 2000).alias("details"))), lambda i: i["title"] != ""), 1, most_items)
+    made = F.transform(F.slice(chapters, 1, most_chapters), lambda c: F.struct(text(c["title"]).alias("title"), items(c).alias("items")))
+    return F.filter(made, lambda c: c["title"] != "")
+
+
+def active_items(chapters: Column) -> Column:
+    """The items of all chapters, in order, that are not frozen: items is an array of struct of id, title, frozen."""
+    return F.filter(F.flatten(F.transform(chapters, lambda c: c["items"])), lambda i: ~F.coalesce(i["frozen"], F.lit(False)))
+
+
+def usable(chapters: Column) -> Column:
+    """Whether a scope has an active item; without one it can't be saved."""
+    return F.size(active_items(chapters)) > 0
+
+
+def described(scope: DataFrame, by: str, most: int = 8000) -> DataFrame:
+    """(by, context) of (by, chapter_no, chapter, item_no, item, title, details, frozen) rows: chapters in order with their active items, a line each."""
+    line = F.concat(F.lit("  - "), "item", F.lit(": "), "title", F.when(F.coalesce("details", F.lit("")) != "", F.concat(F.lit(" - "), "details")).otherwise(""))
+    one = scope.groupBy(by, "chapter_no", "chapter").agg(F.array_sort(F.collect_list(F.when(~F.coalesce("frozen", F.lit(False)), F.struct("item_no", line.alias("l"))))).alias("x"))
+    text = F.concat("chapter", F.lit("\n"), F.array_join(F.transform("x", lambda x: x["l"]), "\n"))
+    parts = F.array_sort(F.collect_list(F.struct("chapter_no", "chapter", text.alias("t"))))
+    return one.groupBy(by).agg(F.substring(F.array_join(F.transform(parts, lambda x: x["t"]), "\n\n"), 1, most).alias("context"))

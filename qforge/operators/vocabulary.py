@@ -12,8 +12,8 @@ SUFFIXES = ("s", "es", "ed", "d", "ing", "ly", "er", "ers", "al", "ation", "ment
 
 
 def vocabulary(rows: DataFrame, text: Column, trusted: Column) -> DataFrame:
-    """word (lower case), n, trusted (some trusted row has it), lower_seen (seen in running lower case)."""
-    words = F.regexp_extract_all(text, F.lit("[A-Za-z]+"), F.lit(0))
+    """word (lower case), n, trusted (some trusted row has it), lower_seen (seen in running lower case). Letters count in their compatibility form, as repairs see them."""
+    words = F.regexp_extract_all(X.normal_form(text), F.lit("[A-Za-z]+"), F.lit(0))
     each = rows.select(F.explode(words).alias("w"), trusted.alias("t"))
     return each.groupBy(F.lower("w").alias("word")).agg(F.count("*").alias("n"), F.bool_or("t").alias("trusted"), F.bool_or(F.col("w") == F.lower("w")).alias("lower_seen"))
 
@@ -38,9 +38,9 @@ def known(words: DataFrame, word_list: DataFrame) -> DataFrame:
 
 
 def garbled(rows: DataFrame, key: str, text: Column, reference: DataFrame, reference_words: Column, word_list: DataFrame, least: int = 2) -> DataFrame:
-    """(key, unknown): records with ``least`` or more occurrences of words that start in lower case, that no other reference record has, and that are not known."""
+    """(key, unknown), over texts in compatibility form: records with ``least`` or more occurrences of words that start in lower case, that no other reference record has, and that are not known."""
     frequent = document_frequency(reference, reference_words).filter("records > 1").select("word")
-    each = rows.select(key, F.explode(X.letter_words(text)).alias("w")).filter(F.substring("w", 1, 1).rlike("[a-z]")).select(key, F.lower("w").alias("word"))
+    each = rows.select(key, F.explode(X.letter_words(X.normal_form(text))).alias("w")).filter(F.substring("w", 1, 1).rlike("[a-z]")).select(key, F.lower("w").alias("word"))
     odd = each.join(frequent, "word", "left_anti")
     fine = known(odd.select("word").distinct(), word_list)
     return odd.join(fine, "word", "left_anti").groupBy(key).agg(F.count("*").alias("unknown")).filter(F.col("unknown") >= least)

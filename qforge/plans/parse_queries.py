@@ -5,7 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from qforge.operators import audits as A
 from qforge.operators import parse as P
+from qforge.operators import practice as PR
+from qforge.operators import repair_engine as R
 from qforge.plans.tables import table
 from qforge.storage import settled, shared_path
 from qforge.streaming import ingest as I
@@ -36,7 +39,7 @@ _ROWS = "(SELECT *, o_custkey || '-' || r // 40 AS doc_id, r % 40 + 1 AS number,
 
 
 def parse_questions(spark: SparkSession, d: str) -> DataFrame:
-    got = P.records(settled(_documents(spark, d), "quizzes"))
+    got = R.records(settled(_documents(spark, d), "quizzes"))
     return got.select("doc_id", "number", "prompt", F.array_join(F.transform("options", lambda o: o["text"]), "|").alias("options"), "label", "explanation", "status", "confidence")
 
 
@@ -67,6 +70,61 @@ def parse_answers(spark: SparkSession, d: str) -> DataFrame:
 SQL["parse_answers"] = f"SELECT doc_id, number::int AS number, CASE WHEN number % 3 = 2 THEN NULL ELSE label END AS label, 'Order ' || o_orderkey || CASE WHEN number % 3 = 2 THEN '. see above' ELSE '.' END AS explanation FROM {_ROWS}"
 
 
+def damaged_records(spark: SparkSession, d: str) -> DataFrame:
+    """Quizzes as OCR leaves them: options run into the prompt, an option that swallowed the next question, a second question within a prompt, which then finds the options before it."""
+    rows = _numbered(spark, d)
+    letter = F.get(F.array(*map(F.lit, "ABCD")), F.expr(_KEY).cast("int"))
+    options = [F.concat("o_orderpriority", F.lit(f" {w}")) for w in ("first", "second", "third", "fourth")]
+    inline = F.concat(F.lit(" A. "), options[0], F.lit(" B. "), options[1], F.lit(" C. "), options[2], F.lit(" D. "), options[3])
+    listed = F.concat(*[F.concat(F.lit(f"\n{o}. "), t) for o, t in zip("ABCD", options, strict=True)])
+    head = F.format_string("%d. Which priority does order number %d have?", "number", "o_orderkey")
+    q = F.concat(head, F.when(F.col("number") % 4 == 1, F.concat(inline, listed)).when(F.col("number") % 4 == 2, F.concat(listed, F.lit(" 99. Which one is next"))).when(F.col("number") % 4 == 3, F.concat(F.lit(" 77. What else is there to know?"), listed)).otherwise(listed))
+    answer = F.format_string("%d. %s Because of order %d.", "number", letter, "o_orderkey")
+    parts = rows.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("number", q.alias("q"), answer.alias("a")))).alias("p"))
+    lines = lambda f: F.array_join(F.transform("p", lambda x: x[f]), "\n")
+    text = F.concat_ws("\n", F.lit("Chapter 7: Orders"), F.lit("Chapter Quiz"), lines("q"), F.lit("Answer Key"), lines("a"))
+    got = R.records(settled(parts.select("doc_id", text.alias("text")), "damaged"))
+    applied = F.array_join(F.transform(F.filter("actions", lambda a: a["status"] == "applied"), lambda a: a["type"]), ",")
+    return got.select("doc_id", "number", "prompt", F.array_join(F.transform("options", lambda o: o["text"]), "|").alias("options"), "label", "status", applied.alias("applied"), F.array_join("labels", "|").alias("labels"), F.array_join("tags", "|").alias("tags"),
+        (F.col("id") == F.concat(F.lit("material-"), F.substring("content_hash", 1, 16), F.lit("-"), F.col("seq"))).alias("has_id"))
+
+
+SQL["damaged_records"] = f"""SELECT doc_id, number::int AS number, 'Which priority does order number ' || o_orderkey || ' have?' AS prompt, o_orderpriority || ' first|' || o_orderpriority || ' second|' || o_orderpriority || ' third|' || o_orderpriority || ' fourth' AS options, label,
+ CASE WHEN number % 4 = 0 THEN 'ready' ELSE 'auto_repaired' END AS status, CASE number % 4 WHEN 1 THEN 'resegment_prompt_and_options' WHEN 2 THEN 'trim_swallowed_option_text' WHEN 3 THEN 'split_merged_numbered_questions' ELSE '' END AS applied, 'chapter_question|Orders' AS labels, 'Orders' AS tags, true AS has_id FROM {_ROWS}
+UNION ALL SELECT doc_id, 77, 'What else is there to know?', p || ' first|' || p || ' second|' || p || ' third|' || p || ' fourth 99. Which one is next ' || number || '. Which priority does order number ' || o_orderkey || ' have? 77. What else is there to know?', NULL, 'needs_repair',
+ 'split_merged_numbered_questions,recover_options_from_source_context', 'chapter_question|Orders', 'Orders', true FROM (SELECT *, lag(o_orderpriority) OVER (PARTITION BY doc_id ORDER BY number) AS p FROM {_ROWS}) WHERE number % 4 = 3"""
+
+
+def practice_records(spark: SparkSession, d: str) -> DataFrame:
+    """Practice tests end to end: questions, some with three options only, meet answers, some missing."""
+    rows = _numbered(spark, d).withColumns({"test": F.col("o_custkey").cast("int"), "portion": F.when(F.substring_index("doc_id", "-", -1) == "0", "National").otherwise("State")})
+    rows = rows.filter("doc_id like '%-0' or doc_id like '%-1'")
+    letter = F.get(F.array(*map(F.lit, "ABCD")), F.expr(_KEY).cast("int"))
+    q = F.concat(F.format_string("%d. Which order is number %d?\nA. one\nB. two\nC. three", "number", "o_orderkey"), F.when(F.col("number") % 5 > 0, "\nD. four").otherwise(""))
+    a = F.when(F.col("number") % 3 > 0, F.format_string("%d. %s) Order %d.", "number", letter, "o_orderkey"))
+    parts = rows.groupBy("test", "portion").agg(F.array_sort(F.collect_list(F.struct("number", q.alias("q"), a.alias("a")))).alias("p"))
+    lines = lambda f: F.array_join(F.transform("p", lambda x: x[f]), "\n")
+    parts = settled(parts.select("test", "portion", *[lines(f).alias(f) for f in "qa"]), "practice")
+    got = PR.records(parts.select("test", "portion", F.col("q").alias("text")), parts.select("test", "portion", F.col("a").alias("text")))
+    return got.select("id", "question", F.size("options").alias("n_options"), "label", F.array_join("flags", ",").alias("flags"), "status", "confidence", F.array_join("correct", ",").alias("correct"), "explanation", F.array_join("tags", "|").alias("tags"), F.size("actions").alias("n_actions"))
+
+
+SQL["practice_records"] = f"""SELECT *, CASE WHEN flags = '' THEN 'ready' ELSE 'needs_user_review' END AS status, CASE WHEN flags = '' THEN 1.0::double ELSE 0.5::double END AS confidence, CASE WHEN flags = '' THEN 0 ELSE len(string_split(flags, ',')) END::int AS n_actions
+FROM (SELECT 'pt-' || o_custkey || '-' || lower(portion) || '-' || number AS id, 'Which order is number ' || o_orderkey || '?' AS question, CASE WHEN number % 5 > 0 THEN 4 ELSE 3 END AS n_options, l AS label,
+ concat_ws(',', CASE WHEN number % 5 = 0 THEN 'missing_or_extra_options' END, CASE WHEN l IS NULL THEN 'no_answer_label' END, CASE WHEN number % 5 = 0 AND l = 'D' THEN 'answer_label_not_in_options' END) AS flags,
+ CASE WHEN l IS NULL OR (number % 5 = 0 AND l = 'D') THEN '' ELSE (o_orderkey % 4)::varchar END AS correct, CASE WHEN l IS NOT NULL THEN 'Order ' || o_orderkey || '.' END AS explanation, 'Practice Test ' || o_custkey || '|' || portion AS tags
+ FROM (SELECT *, CASE WHEN doc_id LIKE '%-0' THEN 'National' ELSE 'State' END AS portion, CASE WHEN number % 3 > 0 THEN label END AS l FROM {_ROWS}) WHERE doc_id LIKE '%-0' OR doc_id LIKE '%-1')"""
+
+
+def section_texts(spark: SparkSession, d: str) -> DataFrame:
+    """What a section classifier is sent of each quiz."""
+    return A.sections(P.headed(settled(_documents(spark, d), "quizzes"))).select("doc_id", "section", "source", "text")
+
+
+SQL["section_texts"] = f"""SELECT doc_id, 'Chapter Quiz' AS section, 'chapter_question' AS source, left(string_agg(number || '. Which priority does order number ' || o_orderkey || ' have?' || chr(10) || 'A. ' || o_orderpriority || ' first' || chr(10) || 'B. ' || o_orderpriority || ' second' || chr(10) || 'C. ' || o_orderpriority || ' third' || chr(10)
+ || 'D. ' || o_orderpriority || ' fourth' || chr(10) || 'line', chr(10) ORDER BY number), 3000) AS text FROM {_ROWS} GROUP BY doc_id"""
+
+
 def ingest_stream(spark: SparkSession, d: str) -> DataFrame:
     """Events taken up by a stream, then the state they leave each user's job in."""
     path = shared_path(spark, "ingest")
@@ -78,4 +136,4 @@ def ingest_stream(spark: SparkSession, d: str) -> DataFrame:
 SQL["ingest_stream"] = """SELECT user_id, CASE WHEN f > 0 THEN 'failed' WHEN p > 0 THEN 'completed' WHEN c > 0 THEN 'processing' ELSE 'queued' END AS status, CASE WHEN f > 0 THEN 65 WHEN p > 0 THEN 100 WHEN c > 0 THEN 40 ELSE 10 END AS progress, events
 FROM (SELECT user_id, count(*) AS events, count(*) FILTER (WHERE event_type = 'error') AS f, count(*) FILTER (WHERE event_type = 'purchase') AS p, count(*) FILTER (WHERE event_type = 'click') AS c FROM events GROUP BY user_id)"""
 
-QUERIES = {f.__name__: f for f in (parse_questions, parse_practice, parse_answers, ingest_stream)}
+QUERIES = {f.__name__: f for f in (parse_questions, parse_practice, parse_answers, damaged_records, practice_records, section_texts, ingest_stream)}

@@ -26,7 +26,7 @@ FROM (SELECT unnest(regexp_extract_all(text, '[A-Za-z]+')) AS w, source = 'src0'
 
 
 def doc_frequency(spark: SparkSession, d: str) -> DataFrame:
-    return V.document_frequency(table(spark, d, "documents"), F.regexp_extract_all("text", F.lit("[A-Za-z]{3,}"), F.lit(0)))
+    return V.document_frequency(table(spark, d, "documents"), F.regexp_extract_all(X.normal_form(F.col("text")), F.lit("[A-Za-z]{3,}"), F.lit(0)))
 
 
 SQL["doc_frequency"] = "SELECT word, count(*) AS records FROM (SELECT DISTINCT doc_id, word FROM (SELECT doc_id, lower(unnest(regexp_extract_all(text, '[A-Za-z]{3,}'))) AS word FROM documents)) GROUP BY word"
@@ -35,7 +35,7 @@ SQL["doc_frequency"] = "SELECT word, count(*) AS records FROM (SELECT DISTINCT d
 def garble_flag(spark: SparkSession, d: str) -> DataFrame:
     docs, words = table(spark, d, "documents"), F.regexp_extract_all("text", F.lit("[A-Za-z]+"), F.lit(0))
     known = table(spark, d, "benchmark").select(F.explode(words).alias("word")).distinct()
-    return V.garbled(docs, "doc_id", F.col("text"), docs, X.letter_words(F.col("text")), known)
+    return V.garbled(docs, "doc_id", F.col("text"), docs, X.letter_words(X.normal_form(F.col("text"))), known)
 
 
 def known_words(spark: SparkSession, d: str) -> DataFrame:
@@ -60,13 +60,13 @@ SQL["option_prefixes"] = "SELECT doc_id, prefix, count(*) AS n FROM (SELECT doc_
 def shared_prefix(spark: SparkSession, d: str) -> DataFrame:
     """How many option prefixes each document shares with each benchmark item (as multisets)."""
     def cut(t: str, key: str) -> DataFrame:
-        each = table(spark, d, t).select(key, F.explode(F.split("text", r"[\n.]")).alias("o")).select(key, X.prefix(F.col("o"), 4).alias("p"))
+        each = table(spark, d, t).select(key, F.explode(F.split("text", r"[\n.]")).alias("o")).select(key, X.prefix(F.col("o"), 8).alias("p"))
         return each.filter("p <> ''").groupBy(key, "p").agg(F.count("*").alias(f"n_{key}"))
 
     return cut("documents", "doc_id").join(cut("benchmark", "item_id"), "p").groupBy("doc_id", "item_id").agg(F.sum(F.least("n_doc_id", "n_item_id")).alias("shared"))
 
 
-_CUT = "(SELECT {k}, p, count(*) AS n FROM (SELECT {k}, left(regexp_replace(lower(unnest(string_split_regex(text, '[\\n.]'))), '[^a-z0-9]', '', 'g'), 4) AS p FROM {t}) WHERE p <> '' GROUP BY {k}, p)"
+_CUT = "(SELECT {k}, p, count(*) AS n FROM (SELECT {k}, left(regexp_replace(lower(unnest(string_split_regex(text, '[\\n.]'))), '[^a-z0-9]', '', 'g'), 8) AS p FROM {t}) WHERE p <> '' GROUP BY {k}, p)"
 SQL["shared_prefix"] = f"SELECT doc_id, item_id, sum(least(a.n, b.n))::bigint AS shared FROM {_CUT.format(k='doc_id', t='documents')} a JOIN {_CUT.format(k='item_id', t='benchmark')} b ON a.p = b.p GROUP BY doc_id, item_id"
 
 
@@ -168,7 +168,7 @@ def key_fallback(spark: SparkSession, d: str) -> DataFrame:
     """Line items find an answer among the orders of their own key, else of their part's number, else of their supplier's."""
     q = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.lit(1).alias("number"))
     a = table(spark, d, "orders").filter("o_orderstatus = 'F'").select(F.col("o_orderkey").cast("string").alias("context"), F.lit(1).alias("number"), F.col("o_orderpriority").alias("label"))
-    return L.keyed(q, a, F.array(*[F.col(c).cast("string") for c in ("l_orderkey", "l_partkey", "l_suppkey")])).select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "label", "matched_context")
+    return L.keyed(q, a, F.array(*[F.col(c).cast("string") for c in ("l_orderkey", "l_partkey", "l_suppkey")]), ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]).select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "label", "matched_context")
 
 
 SQL["key_fallback"] = """WITH f AS (SELECT * FROM orders WHERE o_orderstatus = 'F') SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, coalesce(a.o_orderpriority, b.o_orderpriority, c.o_orderpriority) AS label,
@@ -253,7 +253,7 @@ SQL["record_status"] = _REC
 
 def first_scope_match(spark: SparkSession, d: str) -> DataFrame:
     items = table(spark, d, "part").select("p_type").distinct().withColumn("title", F.substring("p_type", 1, 3))
-    return C.first_match(table(spark, d, "documents"), F.col("text"), items, "p_type", "title", "p_type").select("doc_id", "matched")
+    return C.first_match(table(spark, d, "documents"), "doc_id", F.col("text"), items, "p_type", "title", "p_type").select("doc_id", "matched")
 
 
 SQL["first_scope_match"] = "SELECT doc_id, (SELECT min(p_type) FROM (SELECT DISTINCT p_type FROM part) WHERE contains(lower(text), lower(left(p_type, 3)))) AS matched FROM documents"

@@ -24,3 +24,41 @@ def settled(df: DataFrame, name: str) -> DataFrame:
     path = shared_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def published(df: DataFrame, root: str, name: str) -> str:
+    """Write a new version of a table and make it the current one; returns its folder. Readers see the old version or the new one, never a part.
+
+    A version is a folder of its own, written whole by Spark's commit. The pointer is a table of one row in a numbered folder, committed by renaming: the largest number counts.
+    """
+    spark = df.sparkSession
+    version = uuid.uuid4().hex
+    df.write.parquet(f"{root}/{name}/versions/{version}")
+    fs, at, numbers = _pointers(spark, root, name)
+    held = spark._jvm.org.apache.hadoop.fs.Path(f"{at}/.{version}")
+    spark.createDataFrame([(version,)], "version string").coalesce(1).write.parquet(held.toString())
+    n = max(numbers, default=0) + 1
+    while not fs.rename(held, spark._jvm.org.apache.hadoop.fs.Path(f"{at}/{n}")):  # another writer took the number
+        n += 1
+    return f"{root}/{name}/versions/{version}"
+
+
+def _pointers(spark: SparkSession, root: str, name: str):
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{root}/{name}/current")
+    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    fs.mkdirs(path)
+    names = [s.getPath().getName() for s in fs.listStatus(path)]
+    return fs, path.toString(), [int(n) for n in names if n.isdigit()]
+
+
+def current(spark: SparkSession, root: str, name: str) -> DataFrame:
+    """The version that was published last."""
+    _, at, numbers = _pointers(spark, root, name)
+    version = spark.read.parquet(f"{at}/{max(numbers)}").first()["version"]
+    return spark.read.parquet(f"{root}/{name}/versions/{version}")
+
+
+def write_json(df: DataFrame, path: str) -> str:
+    """JSON artifacts, a line a record, every task its own file."""
+    df.write.mode("overwrite").option("ignoreNullFields", "false").json(path)
+    return path

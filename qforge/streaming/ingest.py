@@ -27,6 +27,11 @@ def job_states(events: DataFrame, job: str, at: str, kind: str, started: str, do
     return c.select("job", status.alias("status"), progress.alias("progress"), "events", "last_at")
 
 
+def overdue(states: DataFrame, now: DataFrame, seconds: int) -> DataFrame:
+    """Jobs of ``job_states`` that are still queued ``seconds`` after their last event: to be processed without waiting on. now: one row with the time."""
+    return states.filter("status = 'queued'").join(F.broadcast(now.select(F.col("now").alias("_now")))).filter(F.col("last_at") < F.col("_now") - F.make_dt_interval(secs=F.lit(seconds))).drop("_now")
+
+
 def uncached(pages: DataFrame, cache: DataFrame, *key: str) -> DataFrame:
     """Pages whose output is missing: what a resumed run still has to do."""
     return pages.join(cache.select(*key).distinct(), list(key), "left_anti")

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from qforge.functions import text as X
 from qforge.operators import analytics as A
 from qforge.operators import bank as B
-from qforge.operators import layout, lines, near_duplicates, parse, repair_text, sampling, scope, verdicts, vocabulary
+from qforge.operators import layout, lines, near_duplicates, parse, repair_engine, repair_text, sampling, scope, verdicts, vocabulary
 
 
 def one(spark, column):
@@ -222,7 +222,7 @@ Answer Key
 
 
 def test_question_parser(spark):
-    got = {r.prompt: r for r in parse.records(spark.createDataFrame([(1, QUIZ), (2, None), (3, "nothing\nhere")], "doc_id int, text string")).collect()}
+    got = {r.prompt: r for r in repair_engine.records(spark.createDataFrame([(1, QUIZ), (2, None), (3, "nothing\nhere")], "doc_id int, text string")).collect()}
     r = got["Which right applies to rivers?"]
     assert (r.source, r.label, list(r.correct), r.status, r.chapter.number, r.options[1].text) == ("chapter_question", "B", [1], "ready", 1, "Riparian and more")
     assert r.explanation.startswith("Riparian rights apply. They follow rivers.") or r.explanation == "Riparian rights apply."
@@ -240,8 +240,8 @@ def test_repairs(spark):
     assert r.prompt == "Which one is it?" and [tuple(o) for o in r.options] == [("A", "red"), ("B", "green"), ("C", "blue"), ("D", "white")]
     assert one(spark, parse.resegmented(F.lit("See B. green C. blue"))) is None
     r = one(spark, parse.merged_question(F.lit("Who signs the deed? 12. Who pays the tax?"), F.lit(11)))
-    assert tuple(r) == ("Who signs the deed?", 12, "Who pays the tax?")
-    assert one(spark, parse.merged_question(F.lit("Who signs the deed? 12. Who pays?"), F.lit(12))) is None
+    assert tuple(r) == ("Who signs the deed?", 12, "Who pays the tax?", True)
+    assert not one(spark, parse.merged_question(F.lit("Who signs the deed? 12. Who pays?"), F.lit(12))).fits
     assert one(spark, parse.trimmed_option(F.lit("the owner. B. the agent"))) == "the owner."
     assert one(spark, parse.trimmed_option(F.lit("the owner 12. Which"))) == "the owner"
     options = F.array(*[F.struct(F.lit(i).alias("id"), F.lit(t).alias("text")) for i, t in (("A", "the tenant pays"), ("B", "the owner pays taxes"))])
@@ -337,3 +337,96 @@ def test_small_functions(spark):
     assert one(spark, X.chunk_kind(F.lit("Chapter 1\n1. Intro"))) == "structure" and one(spark, X.chunk_kind(F.lit("answer in English"))) == "definition"
     assert one(spark, A.shared_explanation(F.array(F.lit("x"), F.lit(""), F.lit("x")))) == "x" and one(spark, A.shared_explanation(F.array(F.lit("x"), F.lit("y")))) is None
     assert one(spark, X.toggled(F.array(F.lit(1), F.lit(2)), F.lit(2), F.lit(True))) == [1] and one(spark, X.toggled(F.array(F.lit(1)), F.lit(2), F.lit(False))) == [2]
+
+
+def raws(spark, *rows):
+    """Parsed questions with the lines around them: (prompt, options by label, label, explanation, number, start, end)."""
+    schema = "doc_id int, context string, number int, source string, prompt string, options array<struct<id:string,text:string>>, inline_label string, inline_explanation string, line_start int, line_end int, chapter struct<number:int,title:string>, exam int, polluted boolean"
+    return spark.createDataFrame([(1, "chapter:1", n, "chapter_question", p, list(o.items()), label, e, a, b, (1, "One"), 2, p.startswith("fi")) for p, o, label, e, n, a, b in rows], schema)
+
+
+def heads(spark, lines):
+    from pyspark.sql import types as T
+
+    schema = T._parse_datatype_string("doc_id int, line_no int, line string, heading string")
+    return spark.createDataFrame([(1, i, t, h) for i, t, h in lines], schema)
+
+
+def test_repair_engine(spark):
+    """Every repair on a question that needs it, with its place in the log."""
+    four = {"A": "the first one", "B": "the second one", "C": "the third one", "D": "the fourth one"}
+    lines = [(1, "Which river is the longest of all?", None), (2, "It is in a land.", None), (3, "A. Nile", None), (4, "B. Rhine", None), (5, "and its arms", None), (6, "C. Don", None), (7, "D. Po", None), (8, "9. Next question here", None), (9, "C. Never read", None)]
+    rows = [
+        ("Is it so? A. yes B. no C. both", {"A": "x", "D": "neither"}, "B", "", 1, 20, 21),
+        ("Who signs the deed first? 12. Who pays the tax then?", four, "A", "", 11, 22, 23),
+        ("Who signs the deed first? 3. Who pays the tax then?", four, "A", "", 11, 24, 25),
+        ("What is swallowed in the options?", {**four, "B": "the owner. C. the agent"}, "A", "", 4, 26, 27),
+        ("What has the recovery of options?", {"A": "Nile", "D": "Po"}, "A", "", 5, 3, 7),
+        ("Short", four, "A", "", 6, 4, 7),
+        ("Which label is mapped by its words?", {k: v for k, v in four.items() if k != "A"}, "A", "it was the second one of them", 7, 40, 41),
+        ("Which label is found elsewhere here?", four, None, "", 8, 50, 51),
+    ]
+    keys = spark.createDataFrame([(1, "exam:2", 8, "D", "From the exam.")], "doc_id int, context string, number int, label string, explanation string")
+    got = {(r["at"], r["prompt"][:12], r["number"]): r for r in repair_engine.repaired(raws(spark, *rows), heads(spark, lines), keys).collect()}
+    log = lambda r: {a["type"]: a["status"] for a in r["log"]}
+    order = [a["type"] for a in got[20, "Is it so?", 1]["log"]]
+    assert order == ["repair_ocr_layout_pollution", "resegment_prompt_and_options", "split_merged_numbered_questions", "trim_swallowed_option_text", "recover_options_from_source_context", "recover_prompt_from_previous_lines", "repair_answer_option_mapping", "retry_answer_key_lookup"]
+    r = got[20, "Is it so?", 1]
+    assert (r.A, r.B, r.C, r.D) == ("yes", "no", "both", "neither") and log(r)["resegment_prompt_and_options"] == "applied"
+    first, second = got[22, "Who signs th", 11], got[22, "Who pays the", 12]
+    assert (first.prompt, second.prompt, second.part, second.line_start, list(second.labels)) == ("Who signs the deed first?", "Who pays the tax then?", 1, 23, []) and second.A == ""
+    assert log(got[24, "Who signs th", 11])["split_merged_numbered_questions"] == "failed"
+    r = got[26, "What is swal", 4]
+    assert r.B == "the owner." and log(r)["trim_swallowed_option_text"] == "applied"
+    r = got[3, "What has the", 5]
+    assert (r.A, r.B, r.C, r.D) == ("Nile", "Rhine and its arms", "Don", "Po") and log(r)["recover_options_from_source_context"] == "applied"
+    r = got[4, "Which river ", 6]
+    assert r.prompt == "Which river is the longest of all?" and log(r)["recover_prompt_from_previous_lines"] == "applied"
+    r = got[40, "Which label ", 7]
+    assert list(r.labels) == ["B"] and log(r)["repair_answer_option_mapping"] == "applied" and log(r)["recover_options_from_source_context"] == "failed"
+    r = got[50, "Which label ", 8]
+    assert (list(r.labels), r.explanation) == (["D"], "From the exam.") and log(r)["retry_answer_key_lookup"] == "applied" and list(r.asked) == ["retry_answer_key_lookup"]
+
+
+def test_answer_key_windows(spark):
+    """A key's window starts before its heading, and ends at a chapter or at the next key once entries were seen."""
+    text = "Chapter 1: One\n1. A before it\nAnswer Key\n2. B two\ngoes on\n2. C\n41. D too large\nChapter 2: Two\n3. D not of one\nAnswer Key\n4. A four\nAnswer Key\n5. B five"
+    heads = parse.headed(spark.createDataFrame([(1, text)], "doc_id int, text string"))
+    got = {(r.context, r.number): (r.label, r.explanation) for r in parse.answer_keys(heads).collect()}
+    assert got["chapter:1", 1] == ("A", "before it") and got["chapter:1", 2] == ("C", "two goes on 41. D too large")
+    assert ("chapter:1", 3) not in got and ("chapter:1", 41) not in got
+    assert got["chapter:2", 4] == ("A", "four") and got["chapter:2", 5] == ("B", "five") and got["chapter:2", 3] == ("D", "not of one")
+
+
+def test_hot_prefixes_make_no_pairs_of_their_own(spark, monkeypatch):
+    """Two lines that all records have: only records with like words are one group."""
+    monkeypatch.setattr(near_duplicates, "HOT", 3)
+    rows = [(i, " ".join(f"w{i}x{k}" for k in range(10)), ["same first option", "same second option", f"own option {i} a"]) for i in range(12)]
+    rows += [(100 + i, rows[i][1] + " more", rows[i][2][:2] + [f"other {i}"]) for i in range(5)] + [(200, "", ["same first option", "same second option"]), (201, "!", ["same first option", "same second option", "third of it all"])]
+    feats = near_duplicates.features(spark.createDataFrame(rows, "id int, q string, o array<string>"), "id", F.col("q"), F.col("o"))
+    got = {r.id: r.cluster for r in near_duplicates.groups(feats).collect()}
+    assert got == {i: i for i in range(12)} | {100 + i: i for i in range(5)} | {200: 200, 201: 200}
+
+
+def test_merge(spark):
+    """A copy in a later bank, a scan with a lost ligature, a garbled record, and two copies that disagree."""
+    from qforge.operators import merge
+
+    def row(i, bank, q, options, correct, failed=False, explanation="because the first and final deed says so"):
+        return (f"r{i}", i, bank, q, list(zip("ABCD", options, strict=True)), explanation, "ready", [], [], ["A"], [correct], f"h{q}{options}", bank == 0, failed)
+
+    deed = ["the grantor signs", "the grantee signs", "the notary signs", "nobody signs it"]
+    lease = ["the tenant alone does", "an owner of land", "their agents only", "some city council"]
+    rows = [
+        row(1, 0, "Who has to sign the deed of the first final branch office here?", deed, 0), row(2, 1, "Who has to sign the deed of the first final branch office here?", deed, 0),
+        row(3, 1, "Who has to sign the deed of the rst nal branch office here?", [*deed[:3], "nobody signs"], 0),
+        row(4, 1, "Which of them pays the rent of a lease each month?", lease, 0), row(5, 1, "Which of them pays the rent of a lease each month now?", lease, 1),
+        row(6, 1, "What is the zqxv wkjj of the matter here?", ["alpha one", "beta two", "gamma three", "delta four"], 0),
+    ]
+    schema = "id string, seq int, bank_no int, question string, options array<struct<id:string,text:string>>, explanation string, status string, flags array<string>, actions array<struct<type:string,status:string>>, labels array<string>, correct array<int>, content_hash string, trusted boolean, failed boolean"
+    known = spark.createDataFrame([(w,) for r in rows for t in (r[3], r[5], *(o for _, o in r[4])) for w in t.lower().replace("?", "").split() if w not in ("zqxv", "wkjj", "rst", "nal")], "word string")
+    out, counts = merge.merged(spark.createDataFrame(rows, schema), known)
+    got = {r.id: r for r in out.collect()}
+    assert set(got) == {"r1", "r4", "r6"} and counts.first().asDict() == {"duplicates": 3, "normalized": 1, "garbled": 1, "conflicts": 1}
+    assert got["r1"].status == "ready" and got["r4"].status == "needs_user_review" and list(got["r4"].flags) == ["model_audit_key_disputed"]
+    assert got["r6"].status == "needs_repair" and [a["type"] for a in got["r6"].actions] == ["garbled_text_check"]
