@@ -62,6 +62,12 @@ def status_summary(rows: DataFrame, status: Column, *by: str) -> DataFrame:
     return out.withColumns({"manual_review_rate": rate("needs_user_review"), "repair_debt_rate": rate("needs_repair")})
 
 
+def extraction_report(rows: DataFrame, status: Column, duplicate: Column, answered: Column, *by: str) -> DataFrame:
+    """``status_summary`` with duplicates (records that repeat another) and unmatched (records without an answer)."""
+    more = rows.groupBy(*by).agg(F.count_if(duplicate).alias("duplicates"), F.count_if(~answered).alias("unmatched"))
+    return status_summary(rows, status, *by).join(more, list(by))
+
+
 def usable_by_item(bank: DataFrame, item: str, usable: Column) -> DataFrame:
     return bank.groupBy(item).agg(F.count_if(usable).alias("usable"), F.count("*").alias("total"))
 

@@ -71,6 +71,11 @@ def ordered_pages(pages: DataFrame, key: str = "page", text: str = "text") -> Da
     return pages.select(F.col(key).alias("key"), F.col(text).alias("text")).mapInPandas(run, f"key {kind}, text string, two boolean").toDF(key, "text", "two_columns")
 
 
+def totals(pages: DataFrame) -> DataFrame:
+    """pages and two_column_pages over all sources: one row."""
+    return pages.agg(F.count("*").alias("pages"), F.count_if("two_columns").alias("two_column_pages"))
+
+
 def word_boxes(tsv: DataFrame, key: str, text: str = "tsv") -> DataFrame:
     """(key, line_id, left, top, right, bottom, text) of OCR tables: word rows with a confidence, numeric geometry and a text that is not blank; the header goes."""
     rows = tsv.select(key, F.posexplode(F.split(text, "\n")).alias("n", "row")).filter("n > 0").select(key, F.split("row", "\t").alias("c"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from qforge.functions import text as X
@@ -14,6 +14,7 @@ from qforge.operators import quizzes as Q
 from qforge.operators import repair_engine as R
 from qforge.operators import sampling as S
 from qforge.operators import scope as C
+from qforge.operators import verdicts as V
 from qforge.plans.tables import AUDITED, audited, table
 from qforge.sources import external as E
 from qforge.sources import readers as I
@@ -97,8 +98,6 @@ SQL["option_explanations"] = "SELECT o_orderkey, o AS optionId, (o = 'A') = (o_o
 
 
 def locale_order(spark: SparkSession, d: str) -> DataFrame:
-    from pyspark.sql import Window
-
     order = Window.partitionBy("p_brand").orderBy("p_size", Q.in_locale_order(F.col("p_name")), "p_partkey")
     return table(spark, d, "part").select("p_partkey", F.row_number().over(order).alias("place"))
 
@@ -396,13 +395,13 @@ SQL["uncached_pages"] = "SELECT page_id FROM pages WHERE page_id % 4 <> 1"
 
 
 def overdue_jobs(spark: SparkSession, d: str) -> DataFrame:
-    """Users whose job is still queued a day after its last event."""
-    e = table(spark, d, "events")
-    states = G.job_states(e, "user_id", "ts", "event_type", "purchase", "error", "refund")
-    return G.overdue(states, e.agg(F.max("ts").alias("now")), 86_400).select(F.col("job").alias("user_id"))
+    """Every three events are a job: those that are still queued a day after their last event."""
+    e = table(spark, d, "events").withColumn("job_id", F.floor(F.col("event_id") / 3))
+    states = G.job_states(e, "job_id", "ts", "event_type", "purchase", "error", "refund")
+    return G.overdue(states, e.agg(F.max("ts").alias("now")), 86_400).select(F.col("job").alias("job_id"))
 
 
-SQL["overdue_jobs"] = "SELECT user_id FROM events GROUP BY user_id HAVING count(*) FILTER (WHERE event_type IN ('purchase', 'error')) = 0 AND max(ts) < (SELECT max(ts) FROM events) - INTERVAL 1 DAY"
+SQL["overdue_jobs"] = "SELECT event_id // 3 AS job_id FROM events GROUP BY event_id // 3 HAVING count(*) FILTER (WHERE event_type IN ('purchase', 'error')) = 0 AND max(ts) < (SELECT max(ts) FROM events) - INTERVAL 1 DAY"
 
 
 def marked_sources(spark: SparkSession, d: str) -> DataFrame:
@@ -552,6 +551,40 @@ SQL["generation_prompts"] = """SELECT c_custkey, 'Write 3 exam questions on "' |
  || CASE WHEN c_custkey % 2 = 0 THEN chr(10) || chr(10) || 'Plan:' || chr(10) || '- 2 for i1: ' || c_mktsegment ELSE '' END || chr(10) || chr(10) || 'Only these topics: x, y' || CASE WHEN c_custkey % 2 = 1 THEN chr(10) || chr(10) || 'Do not repeat the 1 questions that exist.' ELSE '' END AS prompt FROM customer"""
 
 
+def verdict_reader(spark: SparkSession, d: str) -> DataFrame:
+    """Outputs of an auditing model: whole arrays, arrays cut off, verdicts out of turn, and no JSON at all."""
+    k = F.col("o_orderkey")
+    one = lambda n, clean: F.concat(F.lit('{"n":' + str(n) + ',"complete":true,"optionsClean":'), F.when(clean, "true").otherwise("false"), F.lit(',"keyVerdict":"wrong","modelAnswer":"C","issues":["x } ]"]}'))
+    output = F.when(k % 5 == 0, "no verdict").when(k % 5 == 1, F.concat(F.lit("["), one(2, k % 2 == 0), F.lit("]"))).otherwise(F.concat(F.lit("Here: ["), one(1, k % 2 == 0), F.lit(", "), F.when(k % 3 == 0, one(2, F.lit(True))).otherwise('{"n":2,"comp')))
+    got = V.read(table(spark, d, "orders").select("o_orderkey", output.alias("output")), "o_orderkey", "output", 3)
+    return got.select("o_orderkey", "n", "complete", "optionsClean", "modelAnswer", "keyVerdict", F.array_join("issues", "|").alias("issues"))
+
+
+SQL["verdict_reader"] = """SELECT o_orderkey, n::int AS n, true AS complete, n = 2 OR o_orderkey % 2 = 0 AS optionsClean, 'C' AS modelAnswer, 'wrong' AS keyVerdict, 'x } ]' AS issues FROM orders, (SELECT unnest([1, 2]) AS n) WHERE o_orderkey % 5 > 1 AND (n = 1 OR o_orderkey % 3 = 0)"""
+
+
+def page_texts(spark: SparkSession, d: str) -> DataFrame:
+    """Conversations as text layers, a page a turn; thin pages are read by another service, here one that gives the role."""
+    layer = table(spark, d, "conversations").groupBy("conv_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", F.col("text").alias("t")))), lambda x: x["t"]), "\f").alias("text"))
+    nth = F.row_number().over(Window.partitionBy("conv_id").orderBy("turn"))
+    replies = table(spark, d, "conversations").select("conv_id", nth.alias("page"), F.col("role").alias("reply"))
+    return I.page_text(I.layer_pages(layer, "conv_id"), replies, "conv_id")
+
+
+SQL["page_texts"] = f"""SELECT conv_id, string_agg('[PDF_PAGE ' || n || ']' || chr(10) || CASE WHEN length(regexp_replace(text, '[{_SPACE}]', '', 'g')) >= 50 THEN text ELSE role END, chr(10) || chr(10) ORDER BY n) AS text
+FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS n FROM conversations) GROUP BY conv_id"""
+
+
+def extraction_report(spark: SparkSession, d: str) -> DataFrame:
+    """Orders as extracted records: counts, rates, duplicates and records without an answer, by source."""
+    rows = table(spark, d, "orders").select("o_orderkey", F.col("o_orderpriority").alias("source"), F.when(F.col("o_orderstatus") == "F", "ready").when(F.col("o_orderstatus") == "O", "needs_repair").otherwise("needs_user_review").alias("status"), F.concat_ws("|", "o_custkey", "o_orderpriority").alias("h"), (F.col("o_orderkey") % 4 > 0).alias("answered"))
+    return A.extraction_report(B.duplicate_of(rows, "h", "o_orderkey", "o_orderkey"), F.col("status"), F.col("duplicate_of").isNotNull(), F.col("answered"), "source").select("source", "total", "ready", "needs_repair", "repair_debt_rate", "duplicates", "unmatched")
+
+
+SQL["extraction_report"] = """SELECT source, count(*) AS total, count(*) FILTER (WHERE s = 'F') AS ready, count(*) FILTER (WHERE s = 'O') AS needs_repair, round(count(*) FILTER (WHERE s = 'O')::double / count(*), 4) AS repair_debt_rate, count(*) FILTER (WHERE r > 1) AS duplicates, count(*) FILTER (WHERE k % 4 = 0) AS unmatched
+FROM (SELECT o_orderkey AS k, o_orderpriority AS source, o_orderstatus AS s, row_number() OVER (PARTITION BY o_custkey, o_orderpriority ORDER BY o_orderkey) AS r FROM orders) GROUP BY source"""
+
+
 def planned_strata(spark: SparkSession, d: str) -> DataFrame:
     """The stratum of each item: its own part if planned, else the first planned tag."""
     plan = table(spark, d, "part").filter("p_size < 25").select(F.col("p_partkey").cast("string").alias("item"))
@@ -565,6 +598,6 @@ SQL["planned_strata"] = """WITH p AS (SELECT p_partkey FROM part WHERE p_size <
 QUERIES = {f.__name__: f for f in (
     scope_filter, quiz_wire, quiz_results, retry_quiz, hybrid_fill, fallback_item, option_explanations, locale_order, usable_layer, audit_items, audit_batches, audit_requests, content_repairs, answer_demotion, stale_verdicts, last_verdict,
     audit_counts, shared_explanation, order_scalars, text_scalars, upper_medians, settled_sizes, merged_summaries, import_gate, chunks_from_questions, scoped_reset, suggestion_decisions, approved_scopes, verdict_corrections, appended_notes,
-    soft_deletes, scope_suggestions, definition_suggestions, json_objects, flag_workflow, uncached_pages, overdue_jobs, marked_sources, combined_texts, file_kinds, accepted_answers, chat_replies, rejected_diagnostics, published_versions,
+    soft_deletes, scope_suggestions, definition_suggestions, json_objects, flag_workflow, uncached_pages, overdue_jobs, marked_sources, combined_texts, file_kinds, accepted_answers, chat_replies, verdict_reader, page_texts, extraction_report, rejected_diagnostics, published_versions,
     json_artifacts, partial_patch, scope_normalized, scope_active, scope_described, generated_questions, generation_prompts, planned_strata,
 )}

@@ -34,6 +34,12 @@ def column_major(spark: SparkSession, d: str) -> DataFrame:
     return L.column_major(L.word_boxes(_tsv(spark, d), "l_orderkey"), "l_orderkey")
 
 
+_LINES = f"""ln AS (SELECT l_orderkey, line_id, min("left") AS l, max("left" + 300) AS r, min(top) AS t, max(top + 10) AS b, count(*) AS words, string_agg(text, ' ' ORDER BY "left", text) AS text FROM {_BOX} GROUP BY l_orderkey, line_id)"""
+SQL["column_major"] = f"""WITH {_LINES}, sd AS (SELECT *, CASE WHEN l < mid THEN 0 ELSE 1 END AS side FROM (SELECT *, (min(l) OVER (PARTITION BY l_orderkey) + max(r) OVER (PARTITION BY l_orderkey)) / 2 AS mid FROM ln)),
+ bo AS (SELECT *, sum(CASE WHEN side = 0 THEN words ELSE 0 END) OVER (PARTITION BY l_orderkey) AS lw, sum(words) OVER (PARTITION BY l_orderkey) AS w FROM sd)
+SELECT l_orderkey, string_agg(text, chr(10) ORDER BY CASE WHEN lw >= 3 AND w - lw >= 3 THEN side ELSE 0 END, t, l, text) AS text FROM bo GROUP BY l_orderkey"""
+
+
 def banded_order(spark: SparkSession, d: str) -> DataFrame:
     return L.banded(L.word_boxes(_tsv(spark, d), "l_orderkey"), "l_orderkey")
 
@@ -42,6 +48,12 @@ def column_split(spark: SparkSession, d: str) -> DataFrame:
     return L.column_split(L.word_boxes(_tsv(spark, d), "l_orderkey"), "l_orderkey", least_lines=2)
 
 
+SQL["column_split"] = f"""WITH {_LINES}, o AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY t, l) AS rn, count(*) OVER (PARTITION BY l_orderkey) AS m, lead(t) OVER (PARTITION BY l_orderkey ORDER BY t, l) AS nxt FROM ln),
+ k AS (SELECT *, (min(l) OVER (PARTITION BY l_orderkey) + max(r) OVER (PARTITION BY l_orderkey)) / 2 AS mid FROM o WHERE m >= 2 AND NOT (rn = 1 AND nxt - b > 2 * (b - t))),
+ g AS (SELECT l_orderkey, count(*) FILTER (WHERE r < mid) AS a, count(*) FILTER (WHERE l > mid) AS b, count(*) AS n, max(r) FILTER (WHERE r < mid) AS x, min(l) FILTER (WHERE l > mid) AS y FROM k GROUP BY l_orderkey)
+SELECT DISTINCT l_orderkey, CASE WHEN a >= ceil(n * 0.25) AND b >= ceil(n * 0.25) AND a + b = n AND y - x >= 10 THEN floor((x + y) / 2 + 0.5)::bigint END AS split FROM {_BOX} LEFT JOIN g USING (l_orderkey)"""
+
+
 def layout_columns(spark: SparkSession, d: str) -> DataFrame:
     """Orders as pages of two columns of text: order key and priority on the left, customer and status on the right."""
     rows = table(spark, d, "orders").withColumn("page", F.floor(F.col("o_orderkey") / 20))
@@ -54,6 +66,13 @@ _PAGE = "(SELECT o_orderkey // 20 AS page, count(*) AS n, string_agg('order ' ||
 SQL["layout_columns"] = f"SELECT page, l || chr(10) || r AS text, true AS two_columns FROM {_PAGE} WHERE n >= 6"
 
 
+def layout_totals(spark: SparkSession, d: str) -> DataFrame:
+    return L.totals(layout_columns(spark, d))
+
+
+SQL["layout_totals"] = f"SELECT count(*) AS pages, count(*) FILTER (WHERE n >= 6) AS two_column_pages FROM {_PAGE}"
+
+
 def text_repair(spark: SparkSession, d: str) -> DataFrame:
     """Documents repaired against their own vocabulary; the source src0 is trusted."""
     docs = table(spark, d, "documents")
@@ -61,4 +80,4 @@ def text_repair(spark: SparkSession, d: str) -> DataFrame:
     return R.repaired(docs, "doc_id", "text", words)
 
 
-QUERIES = {f.__name__: f for f in (parse_tsv, column_major, banded_order, column_split, layout_columns, text_repair)}
+QUERIES = {f.__name__: f for f in (parse_tsv, column_major, banded_order, column_split, layout_columns, layout_totals, text_repair)}

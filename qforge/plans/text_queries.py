@@ -49,6 +49,13 @@ SQL["known_words"] = f"""WITH known AS (SELECT DISTINCT lower(unnest(regexp_extr
 SELECT w AS word FROM words WHERE w IN (SELECT k FROM known) OR {_ENDS} OR (ends_with(w, 'ies') AND left(w, -3) || 'y' IN (SELECT k FROM known))"""
 
 
+SQL["garble_flag"] = f"""WITH known AS (SELECT DISTINCT lower(unnest(regexp_extract_all(text, '[A-Za-z]+'))) AS k FROM benchmark),
+ t AS (SELECT doc_id, lower(x) AS w, x FROM (SELECT doc_id, unnest(regexp_extract_all(text, '[A-Za-z''’]+')) AS x FROM documents) WHERE regexp_full_match(x, '[A-Za-z]{{3,}}')),
+ odd AS (SELECT doc_id, w FROM t WHERE regexp_matches(x, '^[a-z]') AND w NOT IN (SELECT w FROM (SELECT DISTINCT doc_id, w FROM t) GROUP BY w HAVING count(*) > 1)),
+ fine AS (SELECT w FROM (SELECT DISTINCT w FROM odd) WHERE w IN (SELECT k FROM known) OR {_ENDS} OR (ends_with(w, 'ies') AND left(w, -3) || 'y' IN (SELECT k FROM known)))
+SELECT doc_id, count(*) AS unknown FROM odd WHERE w NOT IN (SELECT w FROM fine) GROUP BY doc_id HAVING count(*) >= 2"""
+
+
 def option_prefixes(spark: SparkSession, d: str) -> DataFrame:
     each = table(spark, d, "documents").select("doc_id", F.explode(F.split("text", "\n")).alias("line"))
     return each.select("doc_id", X.prefix(F.col("line")).alias("prefix")).filter("prefix <> ''").groupBy("doc_id", "prefix").agg(F.count("*").alias("n"))

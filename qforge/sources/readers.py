@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from qforge.functions import text as X
 from qforge.operators.lines import lines
 
 
@@ -52,6 +53,19 @@ def under_markers(files: DataFrame, key: str, path: str = "path", text: str = "t
     return files.groupBy(key).agg(F.array_join(F.transform(F.array_sort(F.collect_list(marked)), lambda x: x["t"]), "\n\n").alias("text"))
 
 
+def layer_pages(layers: DataFrame, key: str, text: str = "text") -> DataFrame:
+    """(key, page from 1, text, usable) of text layers, whose pages end with form feeds; usable: enough to do without OCR."""
+    return layers.select(key, F.posexplode(F.split(text, "\f")).alias("p", "text")).select(key, (F.col("p") + 1).alias("page"), "text", X.usable_text_layer(F.col("text")).alias("usable"))
+
+
+def page_text(pages: DataFrame, replies: DataFrame, key: str) -> DataFrame:
+    """(key, text): the pages of ``layer_pages`` in order, each under its [PDF_PAGE n] mark; pages that are not usable take the reply (key, page, reply) of an OCR service, if there is one."""
+    joined = pages.join(replies.select(key, "page", "reply"), [key, "page"], "left")
+    text = F.when(F.col("usable"), F.col("text")).otherwise(F.coalesce("reply", "text"))
+    marked = F.struct("page", F.concat(F.lit("[PDF_PAGE "), F.col("page").cast("string"), F.lit("]\n"), text).alias("t"))
+    return joined.groupBy(key).agg(F.array_join(F.transform(F.array_sort(F.collect_list(marked)), lambda x: x["t"]), "\n\n").alias("text"))
+
+
 def practice_tests(spark: SparkSession, path: str) -> DataFrame:
     """(test, portion, kind, text) of files test<N>-<questions|answers>.txt; what follows a line "State" is the State portion."""
     files = text_files(spark, path, "*.txt").select(F.regexp_extract("path", r"test(\d+)-(\w+)\.txt$", 1).try_cast("int").alias("test"), F.regexp_extract("path", r"test(\d+)-(\w+)\.txt$", 2).alias("kind"), "text")
