@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from qforge.llm import decontaminate, langid, licenses, mixing, neighbours, oracles, secrets, simhash, substrings, tokens, warc
+from qforge.llm import decontaminate, importance, langid, licenses, mixing, neighbours, oracles, secrets, simhash, substrings, tokens, warc
 from qforge.llm.common import scratch
 
 
@@ -50,6 +50,11 @@ def op2_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.derivatives(spark.read.parquet(f"{sf_dir}/pages.parquet"), scratch(spark, "warc"))
 
 
+def op11_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = importance.importance(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return found.select("doc_id", "n_features", "weight", "score", "rank")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash_near_dedup": op1_simhash_near_dedup,
     "op3_token_binary": op3_token_binary,
@@ -61,6 +66,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_language_id": op8_language_id,
     "op5_nearest_neighbours": op5_nearest_neighbours,
     "op2_warc_derivatives": op2_warc_derivatives,
+    "op11_importance_resampling": op11_importance_resampling,
 }
 
 #: DuckDB SQL for the queries that SQL can express.
