@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from qforge.llm import decontaminate, importance, langid, licenses, mixing, neighbours, oracles, secrets, simhash, substrings, tokens, warc
+from qforge.llm import decontaminate, extraction, importance, langid, licenses, mixing, neighbours, oracles, secrets, simhash, substrings, tokens, warc
 from qforge.llm.common import scratch
 
 
@@ -55,6 +55,10 @@ def op11_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_features", "weight", "score", "rank")
 
 
+def op12_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extraction.main_texts(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash_near_dedup": op1_simhash_near_dedup,
     "op3_token_binary": op3_token_binary,
@@ -67,6 +71,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_nearest_neighbours": op5_nearest_neighbours,
     "op2_warc_derivatives": op2_warc_derivatives,
     "op11_importance_resampling": op11_importance_resampling,
+    "op12_html_extraction": op12_html_extraction,
 }
 
 #: DuckDB SQL for the queries that SQL can express.
