@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from qforge.llm import decontaminate, extraction, importance, langid, licenses, mixing, neighbours, oracles, secrets, simhash, substrings, tokens, warc
+from qforge.llm import conversations, decontaminate, extraction, importance, langid, licenses, mixing, neighbours, oracles, secrets, simhash, substrings, tokens, warc
 from qforge.llm.common import scratch
 
 
@@ -59,6 +59,10 @@ def op12_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extraction.main_texts(spark.read.parquet(f"{sf_dir}/pages.parquet"))
 
 
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversations.report(conversations.damaged(spark.read.parquet(f"{sf_dir}/conversations.parquet")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash_near_dedup": op1_simhash_near_dedup,
     "op3_token_binary": op3_token_binary,
@@ -72,6 +76,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_warc_derivatives": op2_warc_derivatives,
     "op11_importance_resampling": op11_importance_resampling,
     "op12_html_extraction": op12_html_extraction,
+    "op13_conversation_repair": op13_conversation_repair,
 }
 
 #: DuckDB SQL for the queries that SQL can express.
