@@ -47,6 +47,49 @@ SQL["parse_questions"] = f"""SELECT doc_id, number::int AS number, 'Which priori
  label, 'Because of order ' || o_orderkey || '.' AS explanation, 'ready' AS status, 1.0::double AS confidence FROM {_ROWS}"""
 
 
+def _mixed(spark: SparkSession, d: str) -> DataFrame:
+    """Quizzes most of whose questions have no number, each fifth one that leaps ahead, options set twice; keys of letters alone, with a number where the questions had one; a header that runs on all pages."""
+    rows = _numbered(spark, d).withColumn("leap", F.when(F.col("number") % 5 == 3, F.col("number") + 2 * F.floor(F.col("number") / 10).cast("int")))
+    letter = F.get(F.array(*map(F.lit, "ABCD")), F.expr(_KEY).cast("int"))
+    head = F.concat(F.coalesce(F.concat(F.col("leap").cast("string"), F.lit(". ")), F.lit("")), F.format_string("Which priority does order number %d have?", "o_orderkey"))
+    question = F.concat(head, F.format_string("\nA. wrong at first\nA. %s first\nB. %s second\nQuizzes of the House\nC. %s third\nD. %s fourth\nline", *["o_orderpriority"] * 4))
+    answer = F.when(F.col("leap").isNotNull(), F.format_string("%d. %s Because of order %d.", "leap", letter, "o_orderkey")).otherwise(letter)
+    parts = rows.groupBy("doc_id", "o_custkey").agg(F.array_sort(F.collect_list(F.struct("number", question.alias("q"), answer.alias("a")))).alias("p"))
+    lines = lambda f: F.array_join(F.transform("p", lambda x: x[f]), "\n")
+    return parts.select("doc_id", F.concat_ws("\n", F.concat(F.lit("Chapter 7: Orders of "), "o_custkey"), F.lit("Chapter Quiz"), lines("q"), F.lit("Answer Key"), lines("a")).alias("text"))
+
+
+def parse_unnumbered(spark: SparkSession, d: str) -> DataFrame:
+    got = R.records(settled(_mixed(spark, d), "mixed"), running_header="^Quizzes of the House$")
+    return got.select("doc_id", "seq", "number", "prompt", F.array_join(F.transform("options", lambda o: o["text"]), "|").alias("options"), "label", "explanation", "status")
+
+
+# A question's number is its own, or that after the largest so far: the place plus the furthest that any number before it leapt ahead of its place.
+SQL["parse_unnumbered"] = f"""SELECT doc_id, number::int AS seq, n::int AS number, 'Which priority does order number ' || o_orderkey || ' have?' AS prompt, o_orderpriority || ' first|' || o_orderpriority || ' second|' || o_orderpriority || ' third|' || o_orderpriority || ' fourth line' AS options,
+ label, CASE WHEN leap IS NULL THEN '' ELSE 'Because of order ' || o_orderkey || '.' END AS explanation, 'ready' AS status
+FROM (SELECT *, coalesce(leap, number + greatest(0, coalesce(max(leap - number) OVER (PARTITION BY doc_id ORDER BY number), 0))) AS n FROM (SELECT *, CASE WHEN number % 5 = 3 THEN number + 2 * (number // 10) END AS leap FROM {_ROWS}))"""
+
+
+def sample_questions(spark: SparkSession, d: str) -> DataFrame:
+    """Sample questions, without numbers: an answer after the options, a wrapped line in lower case, a next question that is an option alone, and material that ends the section."""
+    rows = _numbered(spark, d)
+    letter = F.get(F.array(*map(F.lit, "ABCD")), F.expr(_KEY).cast("int"))
+    q = F.format_string("Which priority does order number %d have?\nA. %s\nB. two\nC. three\nD. four\n%s Because of order %d\nwhich goes on in lower case", "o_orderkey", "o_orderpriority", letter, "o_orderkey")
+    q = F.concat(q, F.when(F.col("number") % 7 == 0, "\nA. an option alone\nB. and another").otherwise(""), F.when(F.col("number") == 30, "\nKey point: no question comes after this").otherwise(""))
+    parts = rows.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("number", q.alias("q")))).alias("p"))
+    text = F.concat(F.lit("Sample Questions\n"), F.array_join(F.transform("p", lambda x: x["q"]), "\n"))
+    docs = settled(parts.select("doc_id", text.alias("text")), "samples")
+    got = P.questions(P.headed(docs))
+    return got.select("doc_id", "number", "source", "prompt", F.array_join(F.transform("options", lambda o: o["text"]), "|").alias("options"), F.col("inline_label").alias("label"), F.col("inline_explanation").alias("explanation"))
+
+
+# Before an option alone the wrapped line has no upper-case line ahead of the next option, so it starts a question, whose options the next one sets again; without a next one it keeps its two.
+_WRAPPED = "which goes on in lower case"
+SQL["sample_questions"] = f"""SELECT doc_id, number::int AS number, 'example_question' AS source, CASE WHEN number % 7 = 1 AND number > 1 THEN '{_WRAPPED}' ELSE 'Which priority does order number ' || o_orderkey || ' have?' END AS prompt, o_orderpriority || '|two|three|four' AS options, label,
+ 'Because of order ' || o_orderkey || CASE WHEN number % 7 = 0 THEN '' ELSE ' {_WRAPPED}' END AS explanation FROM {_ROWS} WHERE number <= 30
+UNION ALL SELECT doc_id, (max(number) + 1)::int, 'example_question', '{_WRAPPED}', 'an option alone|and another', NULL, '' FROM {_ROWS} GROUP BY doc_id HAVING max(number) % 7 = 0 AND max(number) < 30"""
+
+
 def parse_practice(spark: SparkSession, d: str) -> DataFrame:
     """Practice tests as OCR leaves them: drifted labels, a separator, two questions on one line."""
     rows = _numbered(spark, d)
@@ -136,4 +179,4 @@ def ingest_stream(spark: SparkSession, d: str) -> DataFrame:
 SQL["ingest_stream"] = """SELECT user_id, CASE WHEN f > 0 THEN 'failed' WHEN p > 0 THEN 'completed' WHEN c > 0 THEN 'processing' ELSE 'queued' END AS status, CASE WHEN f > 0 THEN 65 WHEN p > 0 THEN 100 WHEN c > 0 THEN 40 ELSE 10 END AS progress, events
 FROM (SELECT user_id, count(*) AS events, count(*) FILTER (WHERE event_type = 'error') AS f, count(*) FILTER (WHERE event_type = 'purchase') AS p, count(*) FILTER (WHERE event_type = 'click') AS c FROM events GROUP BY user_id)"""
 
-QUERIES = {f.__name__: f for f in (parse_questions, parse_practice, parse_answers, damaged_records, practice_records, section_texts, ingest_stream)}
+QUERIES = {f.__name__: f for f in (parse_questions, parse_unnumbered, sample_questions, parse_practice, parse_answers, damaged_records, practice_records, section_texts, ingest_stream)}
