@@ -10,8 +10,9 @@ from qforge.operators import parse as P
 from qforge.operators import practice as PR
 from qforge.operators import repair_engine as R
 from qforge.plans.tables import table
-from qforge.storage import settled, shared_path
+from qforge.storage import current, settled, shared_path
 from qforge.streaming import ingest as I
+from qforge.streaming import jobs as J
 
 SQL: dict[str, str] = {}
 
@@ -179,4 +180,32 @@ def ingest_stream(spark: SparkSession, d: str) -> DataFrame:
 SQL["ingest_stream"] = """SELECT user_id, CASE WHEN f > 0 THEN 'failed' WHEN p > 0 THEN 'completed' WHEN c > 0 THEN 'processing' ELSE 'queued' END AS status, CASE WHEN f > 0 THEN 65 WHEN p > 0 THEN 100 WHEN c > 0 THEN 40 ELSE 10 END AS progress, events
 FROM (SELECT user_id, count(*) AS events, count(*) FILTER (WHERE event_type = 'error') AS f, count(*) FILTER (WHERE event_type = 'purchase') AS p, count(*) FILTER (WHERE event_type = 'click') AS c FROM events GROUP BY user_id)"""
 
-QUERIES = {f.__name__: f for f in (parse_questions, parse_unnumbered, sample_questions, parse_practice, parse_answers, damaged_records, practice_records, section_texts, ingest_stream)}
+def job_stream(spark: SparkSession, d: str) -> DataFrame:
+    """The same states, kept by a stateful stream with timers; no job waits long enough for its fallback."""
+    path = shared_path(spark, "jobs")
+    events = J.with_states(spark).readStream.schema(table(spark, d, "events").schema).option("pathGlobFilter", "events.parquet").parquet(d)
+    kind = F.when(F.col("event_type") == "click", "started").when(F.col("event_type") == "purchase", "done").when(F.col("event_type") == "error", "failed")
+    updates = J.job_updates(events, "user_id", kind, F.lit("it failed"), wait_ms=3_600_000)
+    got = J.latest_updates(J.updates_at(updates, f"{path}/updates", f"{path}/state"))
+    return got.select(F.col("job").cast("long").alias("user_id"), "status", "progress", "events", "error", "fallback")
+
+
+SQL["job_stream"] = """SELECT user_id, CASE WHEN f > 0 THEN 'failed' WHEN p > 0 THEN 'completed' WHEN c > 0 THEN 'processing' ELSE 'queued' END AS status, CASE WHEN f > 0 THEN 65 WHEN p > 0 THEN 100 WHEN c > 0 THEN 40 ELSE 10 END AS progress, events, CASE WHEN f > 0 THEN 'it failed' END AS error, false AS fallback
+FROM (SELECT user_id, count(*) AS events, count(*) FILTER (WHERE event_type = 'error') AS f, count(*) FILTER (WHERE event_type = 'purchase') AS p, count(*) FILTER (WHERE event_type = 'click') AS c FROM events WHERE user_id IS NOT NULL GROUP BY user_id)"""
+
+
+def bank_stream(spark: SparkSession, d: str) -> DataFrame:
+    """Orders streamed into a bank that takes the first of each customer; the stream loses its checkpoint and starts again, and another replaces the bank's active rows of some customers."""
+    root = shared_path(spark, "bank")
+    orders = spark.readStream.schema(table(spark, d, "orders").schema).option("pathGlobFilter", "orders.parquet").parquet(d).select("o_custkey", "o_orderkey", (F.col("o_custkey") % 3 == 0).alias("active"))
+    for n in (1, 2):
+        J.into_bank(orders, root, "orders", f"{root}/state-{n}", lambda b: J.inserted(b, "o_custkey", "o_orderkey"), "orders")
+    late = orders.filter("o_custkey % 4 = 1").withColumn("o_orderkey", -F.col("o_orderkey"))
+    J.into_bank(late, root, "orders", f"{root}/state-late", lambda b: J.replaced(b, "o_custkey", "active", "o_orderkey"), "late")
+    return current(spark, root, "orders")
+
+
+SQL["bank_stream"] = """SELECT o_custkey, min(o_orderkey) AS o_orderkey, false AS active FROM orders WHERE o_custkey % 3 <> 0 AND o_custkey % 4 <> 1 GROUP BY o_custkey
+UNION ALL SELECT o_custkey, min(-o_orderkey), true FROM orders WHERE o_custkey % 4 = 1 GROUP BY o_custkey"""
+
+QUERIES = {f.__name__: f for f in (parse_questions, parse_unnumbered, sample_questions, parse_practice, parse_answers, damaged_records, practice_records, section_texts, ingest_stream, job_stream, bank_stream)}
