@@ -82,9 +82,12 @@ def with_states(spark: SparkSession) -> SparkSession:
 
 
 def updates_at(updates: DataFrame, path: str, checkpoint: str) -> DataFrame:
-    """Write the updates of a stream, up to the end of what there is, and return all that were written. A batch is a folder, overwritten if the batch is replayed."""
+    """Write the updates of a stream, all that is new as one batch, and return all that were written. A batch is a folder, overwritten if the batch is replayed.
+
+    One batch, as with timers of processing time a query that runs to the end of what there is never finds an end.
+    """
     spark = updates.sparkSession
-    updates.writeStream.outputMode("update").foreachBatch(lambda b, n: b.write.mode("overwrite").parquet(f"{path}/batch={n}")).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+    updates.writeStream.outputMode("update").foreachBatch(lambda b, n: b.write.mode("overwrite").parquet(f"{path}/batch={n}")).option("checkpointLocation", checkpoint).trigger(once=True).start().awaitTermination()
     return spark.read.schema(UPDATE).parquet(path)
 
 
