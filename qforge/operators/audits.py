@@ -49,6 +49,21 @@ def generation_prompt(topic: Column, count: Column, choices: int, multiple: bool
     )
 
 
+def topic_prompt(asked: Column) -> Column:
+    """A request to say what subject a learner means."""
+    return F.concat(F.lit("A learner wants to practise for an exam and names its subject in their own words. Say which subject is meant; if several could be, ask one short question and list up to five of them.\n\nThe words: "), F.coalesce(asked, F.lit("")), F.lit('\n\nAnswer in JSON: {"needsClarification": true or false, "clarification": question, "suggestedTopics": [subject], "interpretation": {"title", "description"}}'))
+
+
+def format_prompt(description: Column) -> Column:
+    """A request to say what form the questions of an exam have."""
+    return F.concat(F.lit("Say how the questions of this exam are set: how many choices a question has (2 to 10) and whether several can be right, and why.\n\nThe exam: "), F.coalesce(description, F.lit("")), F.lit('\n\nAnswer in JSON: {"choicesCount": number, "isMultiSelect": true or false, "rationale": text}'))
+
+
+def scope_prompt(description: Column) -> Column:
+    """A request to list what an exam covers."""
+    return F.concat(F.lit("List what this exam covers, as chapters with items in the order in which they are best learnt.\n\nThe exam: "), F.coalesce(description, F.lit("")), F.lit('\n\nAnswer in JSON: {"chapters": [{"title", "items": [{"title", "details"}]}]}'))
+
+
 #: What generated questions look like.
 GENERATED = "struct<questions:array<struct<content:string,options:array<struct<id:string,text:string>>,correctAnswers:array<int>,scopeItemId:string,explanations:array<struct<optionId:string,isCorrect:boolean,explanation:string>>,subtopicTags:array<string>>>>"
 

@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from qforge.functions import schema as S
 from qforge.operators import audits as A
 from qforge.operators import parse as P
 from qforge.operators import practice as PR
 from qforge.operators import repair_engine as R
 from qforge.plans.tables import table
+from qforge.sources import pages as PG
 from qforge.storage import current, settled, shared_path
 from qforge.streaming import ingest as I
 from qforge.streaming import jobs as J
@@ -208,4 +212,42 @@ def bank_stream(spark: SparkSession, d: str) -> DataFrame:
 SQL["bank_stream"] = """SELECT o_custkey, min(o_orderkey) AS o_orderkey, false AS active FROM orders WHERE o_custkey % 3 <> 0 AND o_custkey % 4 <> 1 GROUP BY o_custkey
 UNION ALL SELECT o_custkey, min(-o_orderkey), true FROM orders WHERE o_custkey % 4 = 1 GROUP BY o_custkey"""
 
-QUERIES = {f.__name__: f for f in (parse_questions, parse_unnumbered, sample_questions, parse_practice, parse_answers, damaged_records, practice_records, section_texts, ingest_stream, job_stream, bank_stream)}
+def validated_replies(spark: SparkSession, d: str) -> DataFrame:
+    """Replies with questions, sound and unsound in several places, as a model gives them."""
+    k = F.col("o_orderkey") % 7
+    answers = F.when(k == 1, "[1.5]").when(k == 2, "[-1, 0]").when(k == 6, "[2.0]").otherwise("[0, 1]")
+    tail = F.when(k == 3, "").otherwise(', "subtopicTags": ["x"]')
+    text = F.when(k == 4, "7").otherwise(F.concat(F.lit('"'), "o_orderpriority", F.lit('"')))
+    q = F.concat(F.lit('{"content": '), text, F.lit(', "extra": {"a": 1}, "options": [{"id": "A", "text": "yes"}, {"id": "B"'), F.when(k == 5, "").otherwise(', "text": "no"'), F.lit('}], "correctAnswers": '), answers, F.lit(', "explanations": [{"optionId": "A", "isCorrect": '), F.when(k == 5, '"yes"').otherwise("true"), F.lit(', "explanation": "e"}], "scopeItemId": null'), tail, F.lit("}"))
+    reply = F.when(k == 0, F.lit("I can't do that")).otherwise(F.concat(F.lit('Here: {"questions": ['), q, F.lit("]} done")))
+    got = table(spark, d, "orders").select("o_orderkey", S.validated(reply, S.QUESTIONS).alias("r"))
+    one = F.get("r.value.questions", F.lit(0))
+    return got.select("o_orderkey", F.array_join("r.errors", "; ").alias("errors"), one["content"].alias("content"), F.array_join(F.transform(one["correctAnswers"], lambda x: x.cast("string")), ",").alias("correct"), F.size(one["options"]).alias("n_options"))
+
+
+SQL["validated_replies"] = """SELECT o_orderkey, CASE o_orderkey % 7 WHEN 0 THEN ': no JSON' WHEN 1 THEN 'questions[0].correctAnswers[0]: no whole number' WHEN 2 THEN 'questions[0].correctAnswers[0]: number under 0' WHEN 3 THEN 'questions[0].subtopicTags: no value'
+ WHEN 4 THEN 'questions[0].content: no text' WHEN 5 THEN 'questions[0].options[1].text: no value; questions[0].explanations[0].isCorrect: no truth value' ELSE '' END AS errors, CASE WHEN o_orderkey % 7 = 6 THEN o_orderpriority END AS content,
+ CASE WHEN o_orderkey % 7 = 6 THEN '2' END AS correct, CASE WHEN o_orderkey % 7 = 6 THEN 2 END::int AS n_options FROM orders"""
+
+
+def columned_pages(spark: SparkSession, d: str) -> DataFrame:
+    """Orders as pages of two columns, or of one, read by an engine that is a stub: an image is the JSON of its words."""
+
+    def read(image: bytes) -> list:
+        return json.loads(image)
+
+    def crop(image: bytes, start: int | None, stop: int | None) -> bytes:
+        return json.dumps([w for w in json.loads(image) if (start is None or w["left"] >= start) and (stop is None or w["right"] <= stop)]).encode()
+
+    rows = _numbered(spark, d).withColumn("two", F.col("o_custkey") % 2 == 0)
+    word = lambda line, left, right, side: F.struct(line.cast("int").alias("line_id"), F.lit(left).cast("double").alias("left"), F.lit(right).cast("double").alias("right"), (F.col("number") * 40.0).alias("top"), (F.col("number") * 40.0 + 20).alias("bottom"), F.concat(F.lit(side), "number", F.lit(" "), "o_orderkey").alias("text"))
+    words = F.when(F.col("two"), F.array(word(2 * F.col("number"), 0.0, 300.0, "left"), word(2 * F.col("number") + 1, 500.0, 800.0, "right"))).otherwise(F.array(word(F.col("number"), 0.0, 800.0, "line")))
+    sheets = rows.withColumn("w", words).groupBy("doc_id").agg(F.to_json(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("number", "w"))), lambda x: x["w"]))).cast("binary").alias("image"))
+    return PG.page_texts(sheets, ["doc_id"], read, crop).select("doc_id", "text", "engine")
+
+
+SQL["columned_pages"] = f"""SELECT doc_id, CASE WHEN two AND n >= 3 THEN a || chr(10) || b WHEN two THEN c ELSE d END AS text, CASE WHEN two AND n >= 3 THEN 'columns' ELSE 'bands' END AS engine
+FROM (SELECT doc_id, any_value(o_custkey) % 2 = 0 AS two, count(*) AS n, string_agg('left' || number || ' ' || o_orderkey, chr(10) ORDER BY number) AS a, string_agg('right' || number || ' ' || o_orderkey, chr(10) ORDER BY number) AS b,
+ string_agg('left' || number || ' ' || o_orderkey || ' right' || number || ' ' || o_orderkey, chr(10) ORDER BY number) AS c, string_agg('line' || number || ' ' || o_orderkey, chr(10) ORDER BY number) AS d FROM {_ROWS} GROUP BY doc_id)"""
+
+QUERIES = {f.__name__: f for f in (parse_questions, parse_unnumbered, sample_questions, parse_practice, parse_answers, damaged_records, practice_records, section_texts, ingest_stream, job_stream, bank_stream, validated_replies, columned_pages)}

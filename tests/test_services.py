@@ -131,3 +131,40 @@ def test_verifier_candidates(spark):
     rows = [(1, "q", o, [], False), (2, "q", o, ["A"], False), (3, "q", o[:3], [], False), (4, " ", o, [], False), (5, "q", o, [], True), (6, "q", [*o[:3], ("D", " ")], [], False), (7, "q", o, None, False)]
     df = spark.createDataFrame(rows, "id int, q string, o array<struct<id:string,text:string>>, labels array<string>, polluted boolean")
     assert sorted(r.id for r in external.candidates(df, F.col("q"), F.col("o"), F.col("labels"), F.col("polluted")).collect()) == [1, 7]
+
+
+def test_replies_against_shapes(spark):
+    from qforge.functions import schema as S
+
+    shape = S.Record({"n": S.Whole(2, 10), "t": S.Text(1, 3), "b": S.Truth(optional=True), "l": S.Items(S.Text(), 1, 2, optional=True, nullable=True), "r": S.Record({"x": S.Whole()}, nullable=True, optional=True)}, strict=True)
+    cases = {
+        '{"n": 2, "t": "a"}': [],
+        'so: {"n": 10.0, "t": "abc", "b": false, "l": null, "r": {"x": -5}} ok': [],
+        '{"n": 1, "t": "", "l": []}': ["n: number under 2", "t: length under 1", "l: size under 1"],
+        '{"n": 11, "t": "abcd", "l": ["a", "b", "c"], "b": null}': ["n: number over 10", "t: length over 3", "b: null", "l: size over 2"],
+        '{"n": 2.5, "t": 1, "b": "true", "l": ["a", 2], "r": {"x": null}}': ["n: no whole number", "t: no text", "b: no truth value", "l[1]: no text", "r.x: null"],
+        '{"t": "a", "r": [], "z": 1}': ["n: no value", "r: no object", "z: not known"],
+        "nothing": [": no JSON"], "{broken": [": no JSON"], "{a}": [": no JSON"], "": [": no JSON"], None: [": no JSON"],
+    }
+    df = spark.createDataFrame([(i, k) for i, k in enumerate(cases)], "id int, t string")
+    got = {r.t: r.r for r in df.select("t", S.validated(F.col("t"), shape).alias("r")).collect()}
+    for text, errors in cases.items():
+        assert list(got[text]["errors"]) == errors, text
+        assert (got[text]["value"] is None) == bool(errors)
+    v = got['so: {"n": 10.0, "t": "abc", "b": false, "l": null, "r": {"x": -5}} ok']["value"]
+    assert (v["n"], v["t"], v["b"], v["l"], v["r"]["x"]) == (10, "abc", False, None, -5)
+    for shape in (S.TOPIC, S.FORMAT, S.SCOPE, S.QUESTIONS):
+        assert spark.range(1).select(S.validated(F.lit("{}"), shape)["value"].alias("v")).dtypes[0][1] == S.ddl(shape).replace("`", "")
+    good = '{"chapters": [{"title": "a", "items": [{"title": "b"}, {"title": "c", "details": "d", "more": 1}]}]}'
+    (r,) = spark.range(1).select(S.validated(F.lit(good), S.SCOPE).alias("r")).first()
+    assert r["errors"] == [] and [x["details"] for x in r["value"]["chapters"][0]["items"]] == [None, "d"]
+
+
+def test_requests_name_the_fields_their_replies_have(spark):
+    from qforge.functions import schema as S
+    from qforge.operators import audits as A
+
+    for build, shape in ((A.topic_prompt, S.TOPIC), (A.format_prompt, S.FORMAT), (A.scope_prompt, S.SCOPE)):
+        text = spark.range(1).select(build(F.lit("Land law")).alias("t")).first()["t"]
+        assert "Land law" in text and all(f'"{k}"' in text for k in shape.fields)
+        assert spark.range(1).select(build(F.lit(None).cast("string")).alias("t")).first()["t"]
