@@ -30,7 +30,7 @@ SELECT doc_id, len(w)::bigint AS n_words, (len(w) - coalesce(n, 0))::bigint AS n
 def _spans(order: int) -> str:
     """kind number, start and end of a rule's matches: lengths of the pieces between matches and of the matches, summed up."""
     r = RULES[order]
-    pattern = r.pattern.replace("}+", "}").replace("'", "''")
+    pattern = r.pattern.replace("}+", "}").replace("(?<![A-Za-z0-9_])", r"\b").replace("'", "''")
     return f"""SELECT doc_id, {order} AS o, '{r.kind}' AS kind, ends[i] - length(m[i]) AS s, ends[i] AS e FROM (SELECT doc_id, m, g, list_transform(m, lambda x, i: list_sum(list_transform(p[1:i], lambda y: length(y))) + list_sum(list_transform(m[1:i], lambda y: length(y)))) AS ends, unnest(range(1, len(m) + 1)) AS i
  FROM (SELECT doc_id, regexp_extract_all(text, '{pattern}') AS m, regexp_extract_all(text, '{pattern}', {r.group}) AS g, string_split_regex(text, '{pattern}') AS p FROM documents)) WHERE length(g[i]) >= {r.least}"""
 

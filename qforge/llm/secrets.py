@@ -42,7 +42,8 @@ RULES = (
     Rule("access", r"AKIA[A-Z0-9]{14,}", base=True, hint=("AKIA",)),
     Rule("hex", r"[0-9a-f]{16,}+", base=True),
     Rule("private_key", r"-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----", hint=("PRIVATE KEY-----",)),
-    Rule("jwt", r"eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}", hint=("eyJ",)),
+    # the first part starts a word and goes on to its end, so that no run of characters is looked at from each "eyJ" in it
+    Rule("jwt", r"(?<![A-Za-z0-9_])eyJ[A-Za-z0-9_]{8,}+\.[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]{8,}+", hint=("eyJ",), version=2),
     Rule("github_token", r"gh[pousr]_[A-Za-z0-9]{36,}", hint=("ghp_", "gho_", "ghu_", "ghs_", "ghr_")),
     Rule("url_password", r"[a-z][a-z0-9+.-]{1,20}://[^\x20\x09-\x0D/:@]{1,64}:[^\x20\x09-\x0D/:@]{4,64}@", hint=("://",)),
 )
@@ -59,15 +60,25 @@ def spans_of(text: Column, rule: Rule) -> Column:
     matches = F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(0))
     pieces = F.split(text, rule.pattern, -1)
     kept = F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(rule.group)) if rule.group else matches
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int>>").alias("out"))
+    lengths = F.filter(F.arrays_zip(pieces.alias("p"), matches.alias("m"), kept.alias("k")), lambda x: x["m"].isNotNull())
+    lengths = F.transform(lengths, lambda x: F.struct(F.length(x["p"]).alias("p"), F.length(x["m"]).alias("m"), F.length(x["k"]).alias("k")))
 
     def step(a: Column, x: Column) -> Column:
-        begin = a["at"] + F.length(x["p"])
-        end = begin + F.length(x["m"])
+        begin = a["at"] + x["p"]
+        end = begin + x["m"]
         found = F.array(F.struct(begin.alias("start"), end.alias("end")))
-        return F.struct(end.alias("at"), F.when(F.length(x["k"]) >= rule.least, F.concat(a["out"], found)).otherwise(a["out"]).alias("out"))
-
-    walked = F.aggregate(F.filter(F.arrays_zip(pieces.alias("p"), matches.alias("m"), kept.alias("k")), lambda x: x["m"].isNotNull()), start, step, lambda a: a["out"])
+        return F.struct(end.alias("at"), F.when(x["k"] >= rule.least, F.concat(a["out"], found)).otherwise(a["out"]).alias("out"))
+
+    def chunk(a: Column, xs: Column) -> Column:
+        start = F.struct(a["at"].alias("at"), F.array().cast("array<struct<start:int,end:int>>").alias("out"))
+        return F.get(F.transform(F.array(F.aggregate(xs, start, step)), lambda w: F.struct(w["at"].alias("at"), F.concat(a["out"], F.array(w["out"])).alias("out"))), F.lit(0))
+
+    # an array that grows is copied with each element, so it grows by chunks, as many as a chunk has elements
+    size = lambda xs: F.ceil(F.sqrt(F.size(xs))).cast("int")
+    chunks = lambda xs: F.transform(F.sequence(F.lit(0), size(xs)), lambda i: F.slice(xs, i * size(xs) + 1, size(xs)))
+    begin = F.struct(F.lit(0).alias("at"), F.array().cast("array<array<struct<start:int,end:int>>>").alias("out"))
+    walk = lambda xs: F.flatten(F.aggregate(chunks(xs), begin, chunk, lambda a: a["out"]))
+    walked = F.get(F.transform(F.array(lengths), walk), F.lit(0))
     none = F.array().cast("array<struct<start:int,end:int>>")
     there = text.rlike(rule.pattern)
     if rule.hint:

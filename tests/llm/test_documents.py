@@ -430,3 +430,18 @@ def test_secrets(spark):
     # texts of many rows without an id, and of one id, are each read by themselves; columns may have any name
     many = spark.createDataFrame([(None if i % 2 else 1, f"token={'a' * 12}{i}", "x", "y") for i in range(600)], "doc_id long, text string, blob string, spans string")
     assert secrets.findings(many).filter("n_assign = 1").count() == 600
+
+
+def test_secrets_in_hostile_texts(spark):
+    """Texts of megabytes that are all starts of a secret, or all secrets; a span is where a plain scan has it."""
+    import time
+
+    n = 200_000
+    texts = ["eyJ" * n, "eyJaaaaaaaa." * n, "-eyJaaaaaaaa" * n, "eyJ-" * n, "0123456789abcdef " * n, "secret=" * n, "secret=abcdefghijkl " * (n // 2), "token   " * n, "AKIA" * n, "ghp_" * n, "a://b:c" * n, "-----BEGIN " * n, "x eyJhbGciOiJ9.eyJzdWIiOjF9.abcdefgh-_ yeyJhbGciOiJ9.eyJzdWIiOjF9.abcdefgh"]
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(len(texts))
+    began = time.time()
+    got = {r.doc_id: r for r in secrets.findings(d).collect()}
+    assert time.time() - began < 150  # a single one of these took longer when its time grew with the square
+    assert (got[4].n_hex, got[6].n_assign) == (n, n // 2)
+    assert got[4].spans == ",".join(f"hex:{17 * i}:{17 * i + 16}" for i in range(n))
+    assert got[12].spans == "jwt:2:38"
