@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from qforge.functions import text as X
+from qforge.storage import settled
 
 
 def derived(rows: DataFrame, chapter: Column, number: Column, item: Column, seq: str) -> DataFrame:
@@ -28,24 +29,44 @@ def frozen(current: DataFrame, incoming: DataFrame, used: DataFrame, item: str)
     return incoming.select(item).distinct().withColumn("frozen", F.lit(False)).union(gone.withColumn("frozen", F.lit(True)))
 
 
-#: Characters of the piece of a title that candidates are found by.
+#: Characters of the pieces by which titles are found in texts.
 PIECE = 4
+#: Pieces up to which those of all titles are broadcast.
+SMALL = 200_000
+
+
+def _pieces(text: Column, width: int) -> Column:
+    """All runs of ``width`` characters of a text, in one pass over it."""
+    return F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{{width}}}))"), F.lit(1))
 
 
 def first_match(rows: DataFrame, key: str, haystack: Column, items: DataFrame, item: str, title: str, order: str) -> DataFrame:
     """Adds matched: the first scope item, in order, whose title is within the haystack (any case), else null. ``key`` is unique.
 
-    A title's first PIECE characters (all, if it is shorter) meet the haystacks that hold them by an equi-join, once a haystack and piece; only those pairs are searched. The empty title is
-    in every haystack.
+    A title is looked for where its rarest piece of PIECE characters is (of a shorter title all of it), counted over the haystacks; a title with a piece that no haystack has is in none. Pieces
+    travel with their key alone. A haystack meets the titles found for it once, as one list, and the first of those that it holds is taken. The empty title is in every haystack.
     """
-    titles = items.select(F.col(item).cast("string").alias("_item"), F.lower(title).alias("_title"), F.col(order).alias("_order")).filter("_title is not null")
-    titles = titles.withColumn("_piece", F.substring("_title", 1, PIECE))
+    titles = items.select(F.lower(title).alias("_title"), F.col(order).alias("_order"), F.col(item).cast("string").alias("_item")).filter("_title is not null")
+    titles = settled(titles.groupBy("_title").agg(F.min(F.struct("_order", "_item")).alias("_at")), "titles")
     low = rows.select(F.col(key).alias("_key"), F.lower(haystack).alias("_low")).filter("_low is not null")
-    widths = [r[0] for r in titles.select(F.length("_piece")).distinct().collect()]  # PIECE + 1 numbers at most
-    widths = F.array(*[F.lit(w) for w in sorted(widths)]).cast("array<int>")
-    pieces = F.array_distinct(F.flatten(F.transform(widths, lambda w: F.transform(F.sequence(F.lit(1), F.length("_low") + 1), lambda p: F.substr("_low", p, w)))))
-    met = low.select("_key", "_low", F.explode(pieces).alias("_piece")).join(titles, "_piece").filter(F.contains("_low", F.col("_title")))
-    first = met.groupBy("_key").agg(F.min(F.struct("_order", "_item"))["_item"].alias("matched"))
+    length = F.length("_title")
+    own = F.array_distinct(F.when(length >= PIECE, _pieces(F.col("_title"), PIECE)).otherwise(F.array("_title")))
+    of_titles = settled(titles.filter("_title <> ''").select("_title", F.explode(own).alias("_piece")), "pieces")
+    known = of_titles.select("_piece").distinct()
+    widths = [r[0] for r in known.select(F.length("_piece")).distinct().collect()]  # PIECE numbers at most
+    if not widths:
+        met = low.select("_key").limit(0).select("_key", F.lit(None).cast(titles.schema["_at"].dataType).alias("_at"))
+    else:
+        there = low.select("_key", F.explode(F.array_distinct(F.concat(*[_pieces(F.col("_low"), w) for w in sorted(widths)]))).alias("_piece"))
+        spots = settled(there.join(F.broadcast(known) if known.count() <= SMALL else known, "_piece", "left_semi"), "spots")
+        rarity = of_titles.join(spots.groupBy("_piece").agg(F.count("*").alias("n")), "_piece", "left")
+        anchors = rarity.groupBy("_title").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "_piece")).alias("a")).filter("a.n > 0").select("_title", F.col("a._piece").alias("_piece"))
+        found = spots.join(anchors.join(titles, "_title"), "_piece").groupBy("_key").agg(F.array_sort(F.collect_list(F.struct("_at", "_title"))).alias("_may"))
+        met = low.join(found, "_key").select("_key", F.get(F.filter("_may", lambda x: F.contains(F.col("_low"), x["_title"])), F.lit(0))["_at"].alias("_at")).filter("_at is not null")
+    if everywhere := titles.filter("_title = ''").first():
+        at = F.struct(F.lit(everywhere["_at"][0]).alias("_order"), F.lit(everywhere["_at"][1]).alias("_item"))
+        met = low.select("_key").join(met, "_key", "left").select("_key", F.least("_at", at.cast(titles.schema["_at"].dataType)).alias("_at"))
+    first = met.select("_key", F.col("_at._item").alias("matched"))
     return rows.join(first, rows[key] == first["_key"], "left").drop("_key")
 
 

@@ -168,3 +168,24 @@ def test_requests_name_the_fields_their_replies_have(spark):
         text = spark.range(1).select(build(F.lit("Land law")).alias("t")).first()["t"]
         assert "Land law" in text and all(f'"{k}"' in text for k in shape.fields)
         assert spark.range(1).select(build(F.lit(None).cast("string")).alias("t")).first()["t"]
+
+
+def test_first_match_of_many_titles(spark):
+    """Against a plain search: short, empty, null and repeated titles, several alphabets, ties of order, a long text without a match."""
+    import random
+
+    from qforge.operators import scope
+
+    r = random.Random(6)
+    letters = "abcé😀 "
+    texts = ["".join(r.choice(letters) for _ in range(r.randrange(40))) for _ in range(150)] + ["", None, "A" * 200_000, "xyz"]
+    for k in range(3):
+        titles = [(i, "".join(r.choice(letters) for _ in range(r.randrange(1 + k, 9))).upper() or "q", r.randrange(40)) for i in range(120)] + [(900, None, 0), (901, "aaaaab", 0)]
+        titles += [(902, "", 7)] if k == 0 else []
+        rows = spark.createDataFrame(list(enumerate(texts)), "id int, t string").repartition(4)
+        items = spark.createDataFrame(titles, "item int, title string, n int")
+        got = {x.id: x.matched for x in scope.first_match(rows, "id", F.col("t"), items, "item", "title", "n").collect()}
+        for i, t in enumerate(texts):
+            hits = [(n, str(j)) for j, x, n in titles if t is not None and x is not None and x.lower() in t.lower()]
+            assert got[i] == (min(hits)[1] if hits else None), (t, got[i])
+    assert all(x.matched is None for x in scope.first_match(rows, "id", F.col("t"), items.limit(0), "item", "title", "n").collect())
