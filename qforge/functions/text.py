@@ -28,7 +28,8 @@ def nfkc(texts: pd.Series) -> pd.Series:
 
 
 def normal_form(x: Column) -> Column:
-    return F.when(x.rlike(r"[^\x00-\x7F]"), nfkc(x)).otherwise(x)
+    """ASCII texts are left alone, and are nulls to the Python function: Spark calls it on every row, wherever it stands."""
+    return F.coalesce(nfkc(F.when(x.rlike(r"[^\x00-\x7F]"), x)), x)
 
 
 def collapsed(x: Column) -> Column:

@@ -62,10 +62,11 @@ def status_summary(rows: DataFrame, status: Column, *by: str) -> DataFrame:
     return out.withColumns({"manual_review_rate": rate("needs_user_review"), "repair_debt_rate": rate("needs_repair")})
 
 
-def extraction_report(rows: DataFrame, status: Column, duplicate: Column, answered: Column, *by: str) -> DataFrame:
-    """``status_summary`` with duplicates (records that repeat another) and unmatched (records without an answer)."""
+def extraction_report(rows: DataFrame, status: Column, duplicate: Column, answered: Column, *by: str, expected: DataFrame | None = None) -> DataFrame:
+    """``status_summary`` with duplicates (records that repeat another) and unmatched (records without an answer). With ``expected``, rows of ``by``, a source without records has zeros."""
     more = rows.groupBy(*by).agg(F.count_if(duplicate).alias("duplicates"), F.count_if(~answered).alias("unmatched"))
-    return status_summary(rows, status, *by).join(more, list(by))
+    out = status_summary(rows, status, *by).join(more, list(by))
+    return out if expected is None else expected.select(*by).distinct().join(out, list(by), "left").fillna(0)
 
 
 def usable_by_item(bank: DataFrame, item: str, usable: Column) -> DataFrame:

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from qforge.operators.sampling import draw_key
+from qforge.sources.external import asked
+from qforge.storage import settled
 
 
 def batches(rows: DataFrame, key: str, size: int, seed: str = "batch") -> DataFrame:
@@ -83,3 +87,14 @@ def sections(heads: DataFrame, key: str = "doc_id", most: int = 3000) -> DataFra
     body = body.withColumn("before", F.coalesce(before, F.lit(0))).filter(F.col("is_head") | (F.col("before") < most + 1))
     text = F.array_join(F.transform(F.array_sort(F.collect_list(F.when(~F.col("is_head"), F.struct("line_no", "line")))), lambda x: x["line"]), "\n")
     return body.groupBy(key, "start", "source").agg(F.max(F.when(F.col("is_head"), F.col("line"))).alias("section"), F.substring(text, 1, most).alias("text")).select(key, "start", "section", "source", "text")
+
+
+def classified(sections: DataFrame, call: Callable[[object], str | None], key: str = "doc_id", first: int = 20, in_flight: int = 1) -> tuple[DataFrame, DataFrame]:
+    """(replies, counts) of a section classifier that is asked about the ``first`` sections of each document: (key, start, reply, error), and (key, classified, failed) of every document with sections."""
+    nth = F.row_number().over(Window.partitionBy(key).orderBy("start"))
+    asks = sections.withColumn("_n", nth).filter(F.col("_n") <= first).select(F.struct(key, "start").alias("at"), F.to_json(F.struct("section", "source", "text")).alias("request"))
+    asks = asks.withColumn("id", F.to_json("at"))
+    replies = settled(asked(asks, "id", "request", call, in_flight=in_flight), "classified")
+    told = settled(asks.join(replies, "id").select("at.*", "reply", "error"), "sections")
+    counts = told.groupBy(key).agg(F.count_if(F.col("error").isNull()).alias("classified"), F.count_if(F.col("error").isNotNull()).alias("failed"))
+    return told, sections.select(key).distinct().join(counts, key, "left").fillna(0, ["classified", "failed"])

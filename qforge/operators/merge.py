@@ -42,7 +42,7 @@ def normalised(bank: DataFrame) -> DataFrame:
 
 
 def _words() -> Column:
-    return F.flatten(F.transform(F.concat(F.array("question"), F.transform("options", lambda o: o["text"])), lambda t: F.regexp_extract_all(t, F.lit("(?<![A-Za-z'’])[A-Za-z]{3,}(?![A-Za-z'’])"), F.lit(0))))
+    return F.flatten(F.transform(F.concat(F.array("question"), F.transform("options", lambda o: o["text"])), X.letter_words))
 
 
 def unknown_words(bank: DataFrame, word_list: DataFrame) -> DataFrame:
@@ -58,22 +58,31 @@ def clustered(bank: DataFrame) -> DataFrame:
     return bank.join(N.groups(feats).withColumnRenamed("id", "_id"), F.col("id") == F.col("_id")).drop("_id")
 
 
-def best_copies(bank: DataFrame) -> DataFrame:
-    """Of each cluster the record that is servable and not failed, has fewest unknown words and flags, an explanation, and the longest options; ties to the first. Adds removed."""
-    sound = X.servable(F.col("status")) & ~F.col("failed")
+def best_copies(bank: DataFrame, audited: bool = True) -> DataFrame:
+    """Of each cluster the record that is servable and, if ``audited``, not failed, has fewest unknown words and flags, an explanation, and the longest options; ties to the first. Adds removed."""
+    sound = X.servable(F.col("status")) & (~F.col("failed") if audited else F.lit(True))
     length = F.aggregate("options", F.lit(0), lambda a, o: a + F.length(o["text"]))
     first = F.when(sound, 0).otherwise(1), F.col("damage"), F.size("flags"), F.when(F.coalesce("explanation", F.lit("")) != "", 0).otherwise(1), -length, F.col("bank_no"), F.col("seq")
     return N.survivors(bank, "cluster", *first)
 
 
-def merged(banks: DataFrame, word_list: DataFrame) -> tuple[DataFrame, DataFrame]:
+def audited(bank: DataFrame, audits: DataFrame) -> DataFrame:
+    """``failed`` as audits (fingerprint, failed) say of exactly this question, options, key and explanation; records that no audit has seen have not failed. Of several audits of one record one that fails counts."""
+    verdicts = audits.groupBy(F.col("fingerprint").alias("_print")).agg(F.bool_or("failed").alias("_failed"))
+    own = X.fingerprint(F.col("question"), F.col("options"), F.col("labels"), F.col("explanation"))
+    return bank.withColumn("_own", own).join(verdicts, F.col("_own") == F.col("_print"), "left").withColumn("failed", F.coalesce("_failed", F.lit(False))).drop("_own", "_print", "_failed")
+
+
+def merged(banks: DataFrame, word_list: DataFrame, audits: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """(bank, counts): the surviving records, and duplicates, normalized, garbled and conflicts as one row.
 
-    Garbled records are found against one copy of each question, and cannot be served; a survivor whose copies disagree on the answer goes to user review.
+    Garbled records are found against one copy of each question, whatever audits say of it, and cannot be served; a survivor whose copies disagree on the answer goes to user review. With ``audits``
+    a record has failed if the verdict on its normalised text says so, whatever the banks say.
     """
     unique = settled(keep_first(banks, "content_hash", "bank_no", "seq"), "unique")
-    clean = settled(clustered(normalised(unique)), "clean")
-    reference = best_copies(clean.withColumn("damage", F.lit(0))).withColumn("words", F.concat(_words(), X.letter_words(F.coalesce("explanation", F.lit("")))))
+    repaired = normalised(unique)
+    clean = settled(clustered(audited(repaired, audits) if audits is not None else repaired), "clean")
+    reference = best_copies(clean.withColumn("damage", F.lit(0)), audited=False).withColumn("words", F.concat(_words(), X.letter_words(F.coalesce("explanation", F.lit("")))))
     odd = vocabulary.garbled(clean.withColumn("_t", F.concat_ws("\n", "question", F.array_join(F.transform("options", lambda o: o["text"]), "\n"))), "id", F.col("_t"), reference, F.col("words"), word_list)
     judged = clean.join(odd, "id", "left").join(unknown_words(clean, word_list), "id", "left").withColumn("damage", F.coalesce("damage", F.lit(0)))
     bad = F.col("unknown").isNotNull() & X.servable(F.col("status"))

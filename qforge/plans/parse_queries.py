@@ -4,11 +4,13 @@ from __future__ import annotations
 
 import json
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from qforge.functions import schema as S
+from qforge.functions import text as X
 from qforge.operators import audits as A
+from qforge.operators import merge as MG
 from qforge.operators import parse as P
 from qforge.operators import practice as PR
 from qforge.operators import repair_engine as R
@@ -173,6 +175,50 @@ SQL["section_texts"] = f"""SELECT doc_id, 'Chapter Quiz' AS section, 'chapter_qu
  || 'D. ' || o_orderpriority || ' fourth' || chr(10) || 'line', chr(10) ORDER BY number), 3000) AS text FROM {_ROWS} GROUP BY doc_id"""
 
 
+def section_replies(spark: SparkSession, d: str) -> DataFrame:
+    """How many sections of each document a classifier, here one that fails on texts of odd length, has replied to."""
+
+    def classifier(request: str) -> str:
+        if len(json.loads(request)["text"]) % 2:
+            raise ConnectionError("busy")
+        return "quiz"
+
+    _, counts = A.classified(A.sections(P.headed(settled(_documents(spark, d), "quizzes"))), classifier, in_flight=4)
+    return counts.select("doc_id", "classified", "failed")
+
+
+SQL["section_replies"] = f"SELECT doc_id, (length(text) % 2 = 0)::int::bigint AS classified, (length(text) % 2)::bigint AS failed FROM ({SQL['section_texts']})"
+
+
+def merged_bank(spark: SparkSession, d: str) -> DataFrame:
+    """Customers as questions of two banks: exact copies, near copies, copies whose answers disagree, and audits, found by fingerprint, that fail some of the first bank's."""
+    c = table(spark, d, "customer").select(F.col("c_custkey").alias("k"))
+    k = F.col("k").cast("string")
+    question = F.concat(F.lit("Which clerk signs the deed of customer "), k, F.lit(" about lot "), k * 7 + 1, F.lit(" in town "), k * 13 + 2, F.lit(" before year "), k * 17 + 3)
+    options = F.array(*[F.struct(F.lit(o).alias("id"), F.concat(k, F.lit(f" {w}")).alias("text")) for o, w in zip("ABCD", ("grantors sign it", "notaries read this", "heirs at law object", "nobody cares much"), strict=True)])
+    said = F.lit("because the first and final deed says so")
+
+    def bank(rows: DataFrame, no: int, q: Column, right: Column) -> DataFrame:
+        rows = rows.select("k", F.lit(no).alias("bank_no"), q.alias("question"), options.alias("options"), right.cast("int").alias("right"))
+        return rows.select(
+            F.concat_ws("-", F.lit(no), "k").alias("id"), F.col("k").cast("int").alias("seq"), "bank_no", "question", "options", said.alias("explanation"), F.lit("ready").alias("status"), F.array().cast("array<string>").alias("flags"),
+            F.array().cast("array<struct<type:string,status:string>>").alias("actions"), F.array(F.get(F.array(*map(F.lit, "ABCD")), F.col("right"))).alias("labels"), F.array("right").alias("correct"), X.exact_hash(F.col("question"), F.col("options")).alias("content_hash"), F.lit(True).alias("trusted"), F.lit(False).alias("failed"),
+        )
+
+    right = F.col("k") % 4
+    first = bank(c, 0, question, right)
+    near = bank(c.filter("k % 3 > 0"), 1, F.concat(question, F.when(F.col("k") % 3 == 1, "").otherwise(" now")), F.when(F.col("k") % 5 == 0, (F.col("k") + 1) % 4).otherwise(right))
+    audits = first.filter("seq % 6 = 5").select(X.fingerprint(F.col("question"), F.col("options"), F.col("labels"), F.col("explanation")).alias("fingerprint"), F.lit(True).alias("failed"))
+    known = spark.createDataFrame([(w,) for w in "which clerk signs the deed customer about lot town before year now first grantors sign notaries read this heirs law object nobody cares much because and final says".split()], "word string")
+    out, _ = MG.merged(first.unionByName(near), known, audits)
+    return out.select("id", "status", F.array_join("flags", ",").alias("flags"), "removed")
+
+
+# Copies with one hash go before anything else; of a near pair the second bank's stays only if the audit has failed the first's; both are considered for a dispute unless just one has passed.
+SQL["merged_bank"] = """SELECT CASE WHEN k % 3 = 2 AND k % 6 = 5 THEN '1-' || k ELSE '0-' || k END AS id, CASE WHEN k % 3 = 2 AND k % 5 = 0 AND k % 6 <> 5 THEN 'needs_user_review' ELSE 'ready' END AS status,
+ CASE WHEN k % 3 = 2 AND k % 5 = 0 AND k % 6 <> 5 THEN 'model_audit_key_disputed' ELSE '' END AS flags, CASE WHEN k % 3 = 2 THEN 1 ELSE 0 END::bigint AS removed FROM (SELECT c_custkey AS k FROM customer)"""
+
+
 def ingest_stream(spark: SparkSession, d: str) -> DataFrame:
     """Events taken up by a stream, then the state they leave each user's job in."""
     path = shared_path(spark, "ingest")
@@ -250,4 +296,4 @@ SQL["columned_pages"] = f"""SELECT doc_id, CASE WHEN two AND n >= 3 THEN a || ch
 FROM (SELECT doc_id, any_value(o_custkey) % 2 = 0 AS two, count(*) AS n, string_agg('left' || number || ' ' || o_orderkey, chr(10) ORDER BY number) AS a, string_agg('right' || number || ' ' || o_orderkey, chr(10) ORDER BY number) AS b,
  string_agg('left' || number || ' ' || o_orderkey || ' right' || number || ' ' || o_orderkey, chr(10) ORDER BY number) AS c, string_agg('line' || number || ' ' || o_orderkey, chr(10) ORDER BY number) AS d FROM {_ROWS} GROUP BY doc_id)"""
 
-QUERIES = {f.__name__: f for f in (parse_questions, parse_unnumbered, sample_questions, parse_practice, parse_answers, damaged_records, practice_records, section_texts, ingest_stream, job_stream, bank_stream, validated_replies, columned_pages)}
+QUERIES = {f.__name__: f for f in (parse_questions, parse_unnumbered, sample_questions, parse_practice, parse_answers, damaged_records, practice_records, section_texts, ingest_stream, job_stream, bank_stream, validated_replies, columned_pages, section_replies, merged_bank)}

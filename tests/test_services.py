@@ -189,3 +189,30 @@ def test_first_match_of_many_titles(spark):
             hits = [(n, str(j)) for j, x, n in titles if t is not None and x is not None and x.lower() in t.lower()]
             assert got[i] == (min(hits)[1] if hits else None), (t, got[i])
     assert all(x.matched is None for x in scope.first_match(rows, "id", F.col("t"), items.limit(0), "item", "title", "n").collect())
+
+
+def test_a_classifier_is_asked_about_the_first_sections(spark):
+    from qforge.operators import audits as A
+
+    rows = [("d", i, f"Quiz {i}", "chapter_question", f"text {i}") for i in range(30)] + [("e", 1, "Quiz", "chapter_question", "text")]
+    sections = spark.createDataFrame(rows, "doc_id string, start int, section string, source string, text string")
+
+    def call(request):
+        n = json.loads(request)["text"]
+        if n.endswith("3"):
+            raise TimeoutError("late")
+        return f"saw {n}"
+
+    told, counts = A.classified(sections, call, first=20, in_flight=3)
+    assert {r.doc_id: (r.classified, r.failed) for r in counts.collect()} == {"d": (18, 2), "e": (1, 0)}
+    got = {(r.doc_id, r.start): (r.reply, r.error) for r in told.collect()}
+    assert len(got) == 21 and got["d", 3] == (None, "late") and got["d", 19] == ("saw text 19", None)
+
+
+def test_sources_without_records_have_zeros(spark):
+    from qforge.operators import analytics as A
+
+    rows = spark.createDataFrame([("a", "ready", False, True), ("a", "needs_repair", True, False)], "source string, status string, again boolean, answered boolean")
+    expected = spark.createDataFrame([("a",), ("b",)], "source string")
+    got = {r.source: (r.total, r.ready, r.duplicates, r.unmatched, r.repair_debt_rate) for r in A.extraction_report(rows, F.col("status"), F.col("again"), F.col("answered"), "source", expected=expected).collect()}
+    assert got == {"a": (2, 1, 1, 1, 0.5), "b": (0, 0, 0, 0, 0.0)}
