@@ -6,7 +6,8 @@ Every rule for a pair needs at least two shared option prefixes, and 60 % of the
 * or all prefixes that they share are frequent ones, two at least. Then the smaller set's rarest words, as many as 40 % of them and one more, hold a word of the larger: an
   equi-join of rarest words with all words, among the records that have two such prefixes. Boilerplate alone makes no pair.
 
-Records with equal features are one class before any join.
+Records with equal features are one class before any join. Classes of one prefix, and then of one frequent word, first meet its smallest and its largest class only, and what that links is one component: copies over
+one template are linked by as many pairs as there are copies. After that only components that are still apart meet, on prefixes and words that several of them have.
 """
 
 from __future__ import annotations
@@ -35,49 +36,55 @@ def same_question(words_a: Column, words_b: Column, shared: Column) -> Column:
     return ((shared >= 4) & (alike >= 0.6)) | ((shared >= 3) & (X.containment(words_a, words_b) >= 0.7)) | ((shared >= 2) & (alike >= 0.8))
 
 
-def class_edges(feats: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(members, edges): members (id, cls), where records of equal features are one class named by its smallest id; edges (a, b) between classes, a < b."""
-    feats = settled(feats, "features")
-    classes = settled(feats.groupBy("words", "prefixes").agg(F.min("id").alias("cls")), "classes")
-    members = feats.join(classes, ["words", "prefixes"]).select("id", "cls")
-    each = classes.filter("size(prefixes) >= 2").select("cls", F.explode("prefixes").alias("p"))
-    counted = settled(each.join(each.groupBy("p").agg(F.count("*").alias("n")), "p"), "prefixes")
-    last = F.row_number().over(Window.partitionBy("cls").orderBy(F.desc("n"), F.desc("p")))
-    probe = counted.withColumn("r", last).filter(f"r > 1 and n > 1 and n <= {HOT}").select("cls", "p")
-    pairs = probe.alias("x").join(probe.alias("y"), F.expr("x.p = y.p and x.cls < y.cls")).select(F.col("x.cls").alias("a"), F.col("y.cls").alias("b"))
-    hot = counted.filter(f"n > {HOT}").groupBy("cls").agg(F.count("*").alias("hot")).filter("hot >= 2")
-    pairs = settled(pairs.union(_by_words(classes.join(hot, "cls", "left_semi"))).distinct(), "pairs")
+def verified(pairs: DataFrame, classes: DataFrame) -> DataFrame:
+    """The pairs (a, b) of classes that are the same question."""
     a, b = (classes.select(F.col("cls").alias(s), F.col("words").alias(f"w{s}"), F.col("prefixes").alias(f"p{s}")) for s in "ab")
     shared = F.size(F.array_intersect("pa", "pb"))
-    edges = pairs.join(a, "a").join(b, "b").filter(same_question(F.col("wa"), F.col("wb"), shared)).select("a", "b")
-    return members, edges
+    return pairs.join(a, "a").join(b, "b").filter(same_question(F.col("wa"), F.col("wb"), shared)).select("a", "b")
+
+
+def stars(rows: DataFrame, key: str) -> DataFrame:
+    """(a, b), a < b: each class (cls, component) with the smallest and the largest class of each of its keys, where their components differ."""
+    end = F.struct("cls", "component")
+    ends = rows.groupBy(key).agg(F.min(end).alias("low"), F.max(end).alias("high"))
+    met = rows.select("cls", "component", key).join(ends, key).select("cls", "component", F.explode(F.array("low", "high")).alias("hub")).filter("component <> hub.component")
+    met = met.select("cls", F.col("hub.cls").alias("hub"))
+    return met.select(F.least("cls", "hub").alias("a"), F.greatest("cls", "hub").alias("b")).distinct()
+
+
+def _several(rows: DataFrame, key: str) -> DataFrame:
+    """Rows whose key has rows of several components."""
+    mixed = rows.groupBy(key).agg(F.min("component").alias("_lo"), F.max("component").alias("_hi")).filter("_lo <> _hi").select(key)
+    return rows.join(mixed, key, "left_semi")
+
+
+def candidates(classes: DataFrame, counted: DataFrame, component: DataFrame) -> DataFrame:
+    """(a, b), a < b: classes of different components (cls, component) that a rare prefix or, where all that they share are frequent, a rare word brings together."""
+    last = F.row_number().over(Window.partitionBy("cls").orderBy(F.desc("n"), F.desc("p")))
+    probe = counted.withColumn("r", last).filter(f"r > 1 and n > 1 and n <= {HOT}").select("cls", "p").join(component, "cls")
+    probe = _several(probe, "p")
+    pairs = probe.alias("x").join(probe.alias("y"), F.expr("x.p = y.p and x.cls < y.cls and x.component <> y.component")).select(F.col("x.cls").alias("a"), F.col("y.cls").alias("b"))
+    hot = counted.filter(f"n > {HOT}").groupBy("cls").agg(F.count("*").alias("hot")).filter("hot >= 2")
+    return pairs.union(_by_words(classes.join(hot, "cls", "left_semi").join(component, "cls"))).distinct()
 
 
 def _by_words(classes: DataFrame) -> DataFrame:
-    """(a, b), a < b: classes of which the larger word set has one of the smaller's rarest words."""
+    """(a, b), a < b: classes of different components of which the larger word set has one of the smaller's rarest words."""
     words = F.when(F.size("words") > 0, F.col("words")).otherwise(F.array(F.lit("")))
-    each = classes.select("cls", F.size("words").alias("size"), F.explode(words).alias("w"))
+    each = classes.select("cls", "component", F.size("words").alias("size"), F.explode(words).alias("w"))
     each = settled(each.join(each.groupBy("w").agg(F.count("*").alias("n")), "w").filter("n > 1"), "words")
     # the rarest of all its words: those that no other record has come first and make no pair
     alone = F.greatest(F.col("size"), F.lit(1)) - F.count("*").over(Window.partitionBy("cls"))
     rank = F.row_number().over(Window.partitionBy("cls").orderBy("n", "w"))
-    rare = each.withColumn("r", rank + alone).filter(F.col("r") <= F.col("size") - F.ceil(F.col("size") * 0.6 - 1e-9) + 1).select("cls", "size", "w")
-    met = rare.alias("s").join(each.alias("l"), F.expr("s.w = l.w and (s.size < l.size or (s.size = l.size and s.cls < l.cls))"))
+    rare = each.withColumn("r", rank + alone).filter(F.col("r") <= F.col("size") - F.ceil(F.col("size") * 0.6 - 1e-9) + 1).select("cls", "component", "size", "w")
+    rare, each = rare.join(_several(each, "w").select("w").distinct(), "w", "left_semi"), _several(each, "w")
+    met = rare.alias("s").join(each.alias("l"), F.expr("s.w = l.w and s.component <> l.component and (s.size < l.size or (s.size = l.size and s.cls < l.cls))"))
     return met.select(F.least("s.cls", "l.cls").alias("a"), F.greatest("s.cls", "l.cls").alias("b"))
 
 
-def self_alike(words: Column, prefixes: Column) -> Column:
-    """Whether two records with these very features are the same question."""
-    return same_question(words, words, F.size(prefixes))
-
-
-def groups(feats: DataFrame) -> DataFrame:
-    """(id, cluster): cluster is the smallest id reachable. Records of equal features are linked only if the rule links them."""
-    feats = settled(feats, "features")
-    linked = feats.filter(self_alike(F.col("words"), F.col("prefixes")))
-    members, edges = class_edges(linked)
-    members, edges = settled(members, "members"), settled(edges, "edges")
-    labels = members.select(F.col("cls").alias("node")).distinct().withColumn("label", F.col("node"))
+def labelled(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(cls, component) of nodes (cls): the smallest node reachable over edges (a, b)."""
+    labels = nodes.select(F.col("cls").alias("node"), F.col("cls").alias("label"))
     both = edges.select("a", "b").union(edges.select("b", "a")).toDF("u", "v")
     while True:
         offers = both.join(labels, both["v"] == labels["node"]).groupBy(F.col("u").alias("node")).agg(F.min("label").alias("offer"))
@@ -89,8 +96,48 @@ def groups(feats: DataFrame) -> DataFrame:
         done = labels.filter("label <> was").isEmpty()
         labels = labels.select("node", "label")
         if done:
-            break
-    found = members.join(labels, members["cls"] == labels["node"]).select("id", F.col("label").alias("cluster"))
+            return labels.toDF("cls", "component")
+
+
+def class_edges(feats: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(members, edges): members (id, cls), where records of equal features are one class named by its smallest id; edges (a, b) between classes, a < b, enough to connect what belongs together."""
+    feats = settled(feats, "features")
+    classes = settled(feats.groupBy("words", "prefixes").agg(F.min("id").alias("cls")), "classes")
+    members = feats.join(classes, ["words", "prefixes"]).select("id", "cls")
+    each = classes.filter("size(prefixes) >= 2").select("cls", F.explode("prefixes").alias("p"))
+    counted = settled(each.join(each.groupBy("p").agg(F.count("*").alias("n")), "p"), "prefixes")
+    edges, component = linked(classes, counted)
+    pairs = settled(candidates(classes, counted, component), "pairs")
+    return members, edges.union(verified(pairs, classes))
+
+
+def linked(classes: DataFrame, counted: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(edges, component) after two rounds of stars: over prefixes, then, for classes with frequent prefixes, over words that more than HOT of them have."""
+    alone = classes.select("cls", F.col("cls").alias("component"))
+    edges = settled(verified(settled(stars(counted.filter("n > 1").join(alone, "cls"), "p"), "pairs"), classes), "stars")
+    component = labelled(classes.select("cls"), edges)
+    hot = counted.filter(f"n > {HOT}").groupBy("cls").agg(F.count("*").alias("hot")).filter("hot >= 2")
+    words = classes.join(hot, "cls", "left_semi").join(component, "cls").select("cls", "component", F.explode("words").alias("w"))
+    words = words.join(words.groupBy("w").agg(F.count("*").alias("n")).filter(f"n > {HOT}"), "w")
+    more = settled(verified(settled(stars(_several(words, "w"), "w"), "pairs"), classes), "stars")
+    if more.isEmpty():
+        return edges, component
+    return edges.union(more), labelled(classes.select("cls"), edges.union(more))
+
+
+def self_alike(words: Column, prefixes: Column) -> Column:
+    """Whether two records with these very features are the same question."""
+    return same_question(words, words, F.size(prefixes))
+
+
+def groups(feats: DataFrame) -> DataFrame:
+    """(id, cluster): cluster is the smallest id reachable. Records of equal features are linked only if the rule links them."""
+    feats = settled(feats, "features")
+    linked = feats.filter(self_alike(F.col("words"), F.col("prefixes")))
+    members, edges = class_edges(linked)
+    members, edges = settled(members, "members"), settled(edges, "edges")
+    labels = labelled(members.select("cls").distinct(), edges)
+    found = members.join(labels, "cls").select("id", F.col("component").alias("cluster"))
     return found.union(feats.filter(~self_alike(F.col("words"), F.col("prefixes"))).select("id", F.col("id").alias("cluster")))
 
 

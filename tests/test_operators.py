@@ -1,5 +1,7 @@
 """Operators on small literal inputs."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -7,6 +9,7 @@ from qforge.functions import text as X
 from qforge.operators import analytics as A
 from qforge.operators import bank as B
 from qforge.operators import layout, lines, near_duplicates, parse, repair_engine, repair_text, sampling, scope, verdicts, vocabulary
+from qforge.storage import settled
 
 
 def one(spark, column):
@@ -430,3 +433,18 @@ def test_merge(spark):
     assert set(got) == {"r1", "r4", "r6"} and counts.first().asDict() == {"duplicates": 3, "normalized": 1, "garbled": 1, "conflicts": 1}
     assert got["r1"].status == "ready" and got["r4"].status == "needs_user_review" and list(got["r4"].flags) == ["model_audit_key_disputed"]
     assert got["r6"].status == "needs_repair" and [a["type"] for a in got["r6"].actions] == ["garbled_text_check"]
+
+
+def test_copies_over_templates_make_linear_candidates(spark):
+    """Thousands of records of three templates with the same options, a few words of each its own: stars link them, and few pairs are left to try."""
+    r = random.Random(3)
+    options = ["the grantor signs", "the grantee signs", "the notary signs", "nobody signs it"]
+    rows = [(1000 * t + i, " ".join([*(f"common{t}x{k}" for k in range(20)), f"own{t}x{i}", f"more{t}x{r.randrange(50)}"]), options) for t in range(3) for i in range(900)]
+    feats = settled(near_duplicates.features(spark.createDataFrame(rows, "id int, q string, o array<string>"), "id", F.col("q"), F.col("o")), "feats")
+    got = {x.id: x.cluster for x in near_duplicates.groups(feats).collect()}
+    assert got == {1000 * t + i: 1000 * t for t in range(3) for i in range(900)}
+    classes = feats.withColumn("cls", F.col("id"))
+    each = classes.select("cls", F.explode("prefixes").alias("p"))
+    counted = settled(each.join(each.groupBy("p").agg(F.count("*").alias("n")), "p"), "counted")
+    _, component = near_duplicates.linked(classes, counted)
+    assert near_duplicates.candidates(classes, counted, component).count() < 2 * len(rows)
