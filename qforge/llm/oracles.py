@@ -43,3 +43,18 @@ _BASE = [i for i, r in enumerate(RULES) if r.base]
 SECRETS = f"""WITH x AS ({" UNION ALL ".join(_spans(i) for i in range(len(RULES)))}),
  a AS (SELECT doc_id, {", ".join(f"count(*) FILTER (WHERE o = {i}) AS n_{RULES[i].kind}" for i in _BASE)}, {_listed("base", f"o IN ({', '.join(map(str, _BASE))})")}, {_listed("spans")} FROM x GROUP BY doc_id)
 SELECT doc_id, {", ".join(f"coalesce(n_{RULES[i].kind}, 0) AS n_{RULES[i].kind}" for i in _BASE)}, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans FROM documents LEFT JOIN a USING (doc_id)"""
+
+#: DuckDB has no CRC-32, so it is taken bit by bit: each byte is followed by seven zeros, of which every one shifts once more.
+IMPORTANCE = f"""WITH d AS MATERIALIZED (SELECT row_number() OVER () AS r, doc_id, {_ALNUM} AS w FROM documents), i AS (SELECT {_ALNUM} AS w FROM benchmark),
+ spots AS MATERIALIZED (SELECT r, array_to_string(w[s:s + n - 1], ' ') AS f FROM (SELECT r, w, n, unnest(range(1, len(w) - n + 2)) AS s FROM d, (VALUES (1), (2), (3)) AS k(n))),
+ aims AS MATERIALIZED (SELECT array_to_string(w[s:s + n - 1], ' ') AS f FROM (SELECT w, n, unnest(range(1, len(w) - n + 2)) AS s FROM i, (VALUES (1), (2), (3)) AS k(n))),
+ bits AS (SELECT f, flatten(list_transform(range(1, octet_length(encode(f)) + 1), lambda p: [('0x' || substr(hex(encode(f)), 2 * p - 1, 2))::ubigint, 0::ubigint, 0::ubigint, 0::ubigint, 0::ubigint, 0::ubigint, 0::ubigint, 0::ubigint])) AS b FROM (SELECT DISTINCT f FROM (SELECT f FROM spots UNION SELECT f FROM aims))),
+ crcs AS MATERIALIZED (SELECT f, (xor(list_reduce(list_prepend(4294967295::ubigint, b), lambda c, v: xor(xor(c, v) >> 1, (xor(c, v) & 1) * 3988292384::ubigint)), 4294967295::ubigint) % 10000)::bigint AS k FROM bits),
+ own AS MATERIALIZED (SELECT r, k, count(*) AS n FROM spots JOIN crcs USING (f) GROUP BY r, k),
+ sums AS (SELECT k, sum(n) AS n FROM own GROUP BY k), goal AS (SELECT k, count(*) AS n FROM aims JOIN crcs USING (f) GROUP BY k),
+ total AS (SELECT coalesce((SELECT sum(n) FROM sums), 0)::double + 10000 AS s, coalesce((SELECT sum(n) FROM goal), 0)::double + 10000 AS t),
+ gain AS (SELECT k, floor(1000 * ln(((coalesce(goal.n, 0) + 1)::double * total.s) / ((sums.n + 1)::double * total.t)))::bigint AS g FROM sums LEFT JOIN goal USING (k), total),
+ scored AS (SELECT r, sum(n * g)::bigint AS weight, sum(n)::bigint AS n_features FROM own JOIN gain USING (k) GROUP BY r),
+ alls AS (SELECT doc_id, len(w) AS n_words, coalesce(n_features, 0) AS n_features, coalesce(weight, 0) AS weight,
+ coalesce(weight, 0) + floor(-1000 * ln(-ln((('0x' || left(sha256('42:' || doc_id), 8))::ubigint::double + 0.5) / 4294967296)))::bigint AS score FROM d LEFT JOIN scored USING (r))
+SELECT doc_id, n_features, weight, score, CASE WHEN n_words >= 20 AND place <= 5 * n // 100 THEN place END AS rank FROM (SELECT *, row_number() OVER (PARTITION BY n_words >= 20 ORDER BY score DESC, doc_id) AS place, count(*) OVER (PARTITION BY n_words >= 20) AS n FROM alls)"""

@@ -84,4 +84,5 @@ ORACLE_SQL: dict[str, str] = {
     "op4_substring_dedup": oracles.SUBSTRINGS,
     "op9_benchmark_decontamination": oracles.DECONTAMINATION,
     "op10_secret_scan": oracles.SECRETS,
+    "op11_importance_resampling": oracles.IMPORTANCE,
 }
