@@ -58,3 +58,26 @@ IMPORTANCE = f"""WITH d AS MATERIALIZED (SELECT row_number() OVER () AS r, doc_i
  alls AS (SELECT doc_id, len(w) AS n_words, coalesce(n_features, 0) AS n_features, coalesce(weight, 0) AS weight,
  coalesce(weight, 0) + floor(-1000 * ln(-ln((('0x' || left(sha256('42:' || doc_id), 8))::ubigint::double + 0.5) / 4294967296)))::bigint AS score FROM d LEFT JOIN scored USING (r))
 SELECT doc_id, n_features, weight, score, CASE WHEN n_words >= 20 AND place <= 5 * n // 100 THEN place END AS rank FROM (SELECT *, row_number() OVER (PARTITION BY n_words >= 20 ORDER BY score DESC, doc_id) AS place, count(*) OVER (PARTITION BY n_words >= 20) AS n FROM alls)"""
+
+#: Costs of finishing row by row from the end, then the least edit character by character from the start; lists of costs are by state: nothing yet, system, user, assistant.
+CONVERSATIONS = r"""WITH RECURSIVE bits AS (SELECT *, coalesce(conv_id::varchar, ' ') AS cid, flatten(list_transform(range(1, length(key) + 1), lambda p: [ascii(substr(key, p, 1))::ubigint, 0::ubigint, 0::ubigint, 0::ubigint, 0::ubigint, 0::ubigint, 0::ubigint, 0::ubigint])) AS b
+ FROM (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, coalesce(conv_id::varchar, ' ') || ':' || coalesce(turn::varchar, ' ') AS key FROM conversations)),
+ drawn AS MATERIALIZED (SELECT conv_id, cid, turn, role, text, xor(list_reduce(list_prepend(4294967295::ubigint, b), lambda c, v: xor(xor(c, v) >> 1, (xor(c, v) & 1) * 3988292384::ubigint)), 4294967295::ubigint) % 20 AS d FROM bits),
+ damaged AS (SELECT cid, turn, CASE WHEN d = 4 THEN 'user' ELSE role END AS role, CASE d WHEN 1 THEN '' WHEN 2 THEN translate(text, '.!?', '') ELSE text END AS text, unnest(CASE WHEN d = 3 THEN [0, 1] ELSE [0] END) AS copy FROM drawn WHERE d <> 0),
+ placed AS (SELECT *, row_number() OVER (PARTITION BY cid ORDER BY turn NULLS FIRST, h, copy) AS i, row_number() OVER (PARTITION BY cid, h ORDER BY turn NULLS FIRST, copy) AS nth, rtrim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS said FROM (SELECT *, md5(length(role) || ':' || role || text) AS h FROM damaged)),
+ r AS MATERIALIZED (SELECT cid, i, turn, role, text, CASE WHEN said = '' THEN 1 WHEN nth > 1 THEN 2 WHEN right(said, 1) NOT IN ('.', '!', '?') THEN 3 ELSE 0 END AS fault, coalesce(list_position(['s', 'u', 'a'], left(role, 1)), 4) - 1 AS code, lag(left(role, 1)) OVER (PARTITION BY cid ORDER BY i) || left(role, 1) AS pair, count(*) OVER (PARTITION BY cid) AS n FROM placed),
+ sums AS (SELECT cid, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (WHERE fault = 1) AS blank, count(*) FILTER (WHERE fault = 2) AS duplicate, count(*) FILTER (WHERE fault = 3) AS truncated, count(*) FILTER (WHERE pair NOT IN ('su', 'ua', 'au')) AS illegal FROM r GROUP BY cid),
+ back(cid, i, c) AS (SELECT cid, n + 1, [0, 6, 3, 0] FROM (SELECT DISTINCT cid, n FROM r)
+  UNION ALL SELECT cid, i, [least(l[1], 3 + least(l[3], 3 + l[4])), least(l[2], 3 + least(l[3], 3 + l[4])), least(l[3], 3 + l[4]), least(l[4], 3 + l[3])] FROM (
+   SELECT r.cid, r.i, list_transform([1, 2, 3, 4], lambda q: least(4 + c[q], CASE WHEN fault IN (0, 3) THEN fault + 3 + c[[3, 3, 4, 3][q]] ELSE 999999 END, CASE WHEN fault NOT IN (0, 3) THEN 999999 WHEN code = 0 AND q = 1 THEN fault + c[2] WHEN code = 1 AND q <> 3 THEN fault + c[3] WHEN code = 2 AND q = 3 THEN fault + c[4] ELSE 999999 END)) AS l
+   FROM back JOIN r ON r.cid = back.cid AND r.i = back.i - 1)),
+ costs AS MATERIALIZED (SELECT a.cid, a.i, a.c AS now, b.c AS later, role, text, fault, code FROM back a LEFT JOIN back b ON a.cid = b.cid AND b.i = a.i + 1 LEFT JOIN r ON r.cid = a.cid AND r.i = a.i),
+ forth(cid, i, q, audit, kept) AS (SELECT DISTINCT cid, 1::bigint, 1, '', []::varchar[] FROM r
+  UNION ALL SELECT cid, CASE WHEN e = 'I' THEN i ELSE i + 1 END, CASE WHEN e = 'D' THEN q WHEN e = 'K' AND code = 0 THEN 2 ELSE [3, 3, 4, 3][q] END, audit || e,
+   CASE e WHEN 'D' THEN kept WHEN 'K' THEN list_append(kept, role || ':' || text) ELSE list_append(kept, CASE WHEN q = 3 THEN 'assistant:' ELSE 'user:' END || CASE WHEN e = 'R' THEN text ELSE '' END) END
+  FROM (SELECT f.*, role, text, code, CASE WHEN later IS NULL THEN 'I' WHEN 4 + later[q] = now[q] THEN 'D' WHEN 3 + now[[3, 3, 4, 3][q]] = now[q] THEN 'I'
+    WHEN fault IN (0, 3) AND (code = 0 AND q = 1 AND fault + later[2] = now[q] OR code = 1 AND q <> 3 AND fault + later[3] = now[q] OR code = 2 AND q = 3 AND fault + later[4] = now[q]) THEN 'K' ELSE 'R' END AS e
+   FROM forth f JOIN costs ON costs.cid = f.cid AND costs.i = f.i WHERE later IS NOT NULL OR q IN (2, 3))),
+ done AS (SELECT f.cid, audit, sha256(array_to_string(kept, chr(10))) AS repaired_sha256 FROM forth f JOIN (SELECT DISTINCT cid, n FROM r) m ON m.cid = f.cid AND f.i = m.n + 1 WHERE q IN (1, 4))
+SELECT conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, coalesce(now[1], 0)::bigint AS cost, coalesce(audit, '') AS audit, coalesce(repaired_sha256, sha256('')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id, cid FROM drawn) LEFT JOIN sums USING (cid) LEFT JOIN done USING (cid) LEFT JOIN (SELECT cid, now FROM costs WHERE i = 1) USING (cid)"""

@@ -85,4 +85,5 @@ ORACLE_SQL: dict[str, str] = {
     "op9_benchmark_decontamination": oracles.DECONTAMINATION,
     "op10_secret_scan": oracles.SECRETS,
     "op11_importance_resampling": oracles.IMPORTANCE,
+    "op13_conversation_repair": oracles.CONVERSATIONS,
 }
