@@ -99,3 +99,12 @@ def test_very_long_words_and_texts():
         parts = list(importance.slices(text))
         assert sum(p[0] for p in parts) == n
         assert sorted(x for p in parts for x in p[1].tolist()) == sorted(f)
+
+
+def test_slices_of_any_size(monkeypatch):
+    for size in (1, 7, 50, 1000):
+        monkeypatch.setattr(importance, "SLICE", size)
+        for text in texts()[::5]:
+            n, f = features(text)
+            parts = list(importance.slices(text))
+            assert (sum(p[0] for p in parts), sorted(x for p in parts for x in p[1].tolist())) == (n, sorted(f))
