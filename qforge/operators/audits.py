@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from qforge.functions import schema as S
 from qforge.operators.sampling import draw_key
 from qforge.sources.external import asked
 from qforge.storage import settled
@@ -68,6 +69,18 @@ def scope_prompt(description: Column) -> Column:
     return F.concat(F.lit("List what this exam covers, as chapters with items in the order in which they are best learnt.\n\nThe exam: "), F.coalesce(description, F.lit("")), F.lit('\n\nAnswer in JSON: {"chapters": [{"title", "items": [{"title", "details"}]}]}'))
 
 
+#: Requests about an exam that take one text, with the shape of their replies.
+REQUESTS = {"topic": (topic_prompt, S.TOPIC), "format": (format_prompt, S.FORMAT), "scope": (scope_prompt, S.SCOPE)}
+
+
+def answered(rows: DataFrame, key: str, text: Column, kind: str, call: Callable[[object], str | None], in_flight: int = 1) -> DataFrame:
+    """(key, value, errors) of one of the REQUESTS, made of each row's text: the reply in its shape, or where it departs from it; a call that failed is an error of its own."""
+    build, shape = REQUESTS[kind]
+    replies = asked(rows.select(key, build(text).alias("request")), key, "request", call, in_flight=in_flight)
+    got = replies.select(key, "error", S.validated(F.col("reply"), shape).alias("r"))
+    return got.select(key, "r.value", F.when(F.col("error").isNotNull(), F.array(F.concat(F.lit(": "), "error"))).otherwise(F.col("r.errors")).alias("errors"))
+
+
 #: What generated questions look like.
 GENERATED = "struct<questions:array<struct<content:string,options:array<struct<id:string,text:string>>,correctAnswers:array<int>,scopeItemId:string,explanations:array<struct<optionId:string,isCorrect:boolean,explanation:string>>,subtopicTags:array<string>>>>"
 

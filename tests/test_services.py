@@ -216,3 +216,17 @@ def test_sources_without_records_have_zeros(spark):
     expected = spark.createDataFrame([("a",), ("b",)], "source string")
     got = {r.source: (r.total, r.ready, r.duplicates, r.unmatched, r.repair_debt_rate) for r in A.extraction_report(rows, F.col("status"), F.col("again"), F.col("answered"), "source", expected=expected).collect()}
     assert got == {"a": (2, 1, 1, 1, 0.5), "b": (0, 0, 0, 0, 0.0)}
+
+
+def test_requests_are_answered_in_their_shapes(spark):
+    from qforge.operators import audits as A
+
+    rows = spark.createDataFrame([(1, "Land law"), (2, "Boats"), (3, "Nothing")], "id int, t string")
+
+    def call(request):
+        if "Nothing" in request:
+            raise ConnectionError("refused")
+        return '{"choicesCount": 4, "isMultiSelect": false, "rationale": "usual"}' if "Land" in request else 'Sure: {"choicesCount": 11, "isMultiSelect": false}'
+
+    got = {r.id: (r.value and (r.value.choicesCount, r.value.isMultiSelect), list(r.errors)) for r in A.answered(rows, "id", F.col("t"), "format", call, in_flight=2).collect()}
+    assert got == {1: ((4, False), []), 2: (None, ["choicesCount: number over 10", "rationale: no value"]), 3: (None, [": refused"])}
