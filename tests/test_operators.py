@@ -448,3 +448,10 @@ def test_copies_over_templates_make_linear_candidates(spark):
     counted = settled(each.join(each.groupBy("p").agg(F.count("*").alias("n")), "p"), "counted")
     _, component = near_duplicates.linked(classes, counted)
     assert near_duplicates.candidates(classes, counted, component).count() < 2 * len(rows)
+
+
+def test_words_end_at_letters_beyond_ascii(spark):
+    """Java's word boundary is none between an umlaut and an ASCII letter; the reference's is."""
+    assert [one(spark, X.chunk_kind(F.lit(t))) for t in ("ütest un", "der testä", "contest", "test_1")] == ["definition", "definition", "context", "context"]
+    flags = X.repair_flags(F.lit("Was gilt üA. eins B. zwei C. drei"), F.array().cast("array<struct<id:string,text:string>>"), F.array(F.lit("A")), F.array(F.lit(0)))
+    assert "prompt_contains_options" in one(spark, flags)
