@@ -108,9 +108,9 @@ SELECT x AS doc_id, min(y) AS cluster FROM reach GROUP BY x"""
 
 
 def _ranked(spark: SparkSession, d: str) -> DataFrame:
-    docs = table(spark, d, "documents").join(table(spark, d, "labels"), "doc_id", "left").join(settled(near_dup_clusters(spark, d), "clusters"), "doc_id")
-    key = F.get(F.split("text", "\n"), F.lit(0))
-    return docs.select("doc_id", "cluster", "quality", "n_chars", key.alias("answer"), X.folded(key).alias("answer_key"), F.coalesce(F.col("quality") == 1, F.lit(False)).alias("passes"))
+    own = table(spark, d, "documents").select("doc_id", "n_chars", F.substring_index("text", "\n", 1).alias("answer"))  # joins take no texts along
+    docs = own.join(table(spark, d, "labels"), "doc_id", "left").join(settled(near_dup_clusters(spark, d), "clusters"), "doc_id")
+    return docs.select("doc_id", "cluster", "quality", "n_chars", "answer", X.folded(F.col("answer")).alias("answer_key"), F.coalesce(F.col("quality") == 1, F.lit(False)).alias("passes"))
 
 
 def cluster_survivor(spark: SparkSession, d: str) -> DataFrame:
@@ -143,8 +143,9 @@ def merge_bank(spark: SparkSession, d: str) -> DataFrame:
     rows = B.united(bench, docs).withColumn("h", X.content_hash(F.col("text")))
     kept = settled(B.keep_first(rows, "h", "bank_no", "seq"), "kept")
     feats = N.features(kept, "id", F.col("text"), F.split("text", "\n"))
-    joined = kept.join(N.groups(feats).withColumnRenamed("id", "_id"), F.col("id") == F.col("_id"))
-    best = N.survivors(joined.select("cluster", "id", "bank_no", "seq", F.length("text").alias("n")), "cluster", -F.col("n"), F.col("bank_no"), F.col("seq"))
+    own = kept.select("id", "bank_no", "seq", F.length("text").alias("n"))
+    joined = own.join(N.groups(feats).withColumnRenamed("id", "_id"), F.col("id") == F.col("_id"))
+    best = N.survivors(joined.select("cluster", "id", "bank_no", "seq", "n"), "cluster", -F.col("n"), F.col("bank_no"), F.col("seq"))
     return best.select("cluster", "id", "removed")
 
 

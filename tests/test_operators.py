@@ -455,3 +455,19 @@ def test_words_end_at_letters_beyond_ascii(spark):
     assert [one(spark, X.chunk_kind(F.lit(t))) for t in ("ütest un", "der testä", "contest", "test_1")] == ["definition", "definition", "context", "context"]
     flags = X.repair_flags(F.lit("Was gilt üA. eins B. zwei C. drei"), F.array().cast("array<struct<id:string,text:string>>"), F.array(F.lit("A")), F.array(F.lit(0)))
     assert "prompt_contains_options" in one(spark, flags)
+
+
+def test_frequent_prefixes_and_words_apart_make_no_candidates(spark, monkeypatch):
+    """Records that have frequent words in common but other frequent prefixes, or the prefixes but only a few words, are not tried; null texts keep a group of their own."""
+    monkeypatch.setattr(near_duplicates, "HOT", 3)
+    r = random.Random(5)
+    pool = [f"word{k}" for k in range(2000)]
+    rows = [(i, " ".join(r.sample(pool, 20)), [f"line {i % 5} one", f"line {i % 5} two", f"line {i % 5} three"]) for i in range(300)]
+    feats = settled(near_duplicates.features(spark.createDataFrame([*rows, (900, None, None), (901, None, None)], "id int, q string, o array<string>"), "id", F.col("q"), F.col("o")), "feats")
+    got = {x.id: x.cluster for x in near_duplicates.groups(feats).collect()}
+    assert set(got) == {*range(300), 900, 901} and got[900] == 900 and got[901] == 901
+    classes = feats.filter("id < 900").withColumnRenamed("id", "cls")
+    each = classes.select("cls", F.explode("prefixes").alias("p"))
+    counted = settled(each.join(each.groupBy("p").agg(F.count("*").alias("n")), "p"), "counted")
+    tried = near_duplicates.candidates(classes, counted, classes.select("cls", F.col("cls").alias("component"))).count()
+    assert tried < 300 * 59 / 2 / 10  # of all pairs with the same prefixes
