@@ -1,14 +1,19 @@
 """OCR damage repaired by the bank's own vocabulary: dropped fi/fl ligatures and glued articles.
 
-Words are rows; the vocabulary is joined by word, whatever its size, and texts are put together again.
+What damage makes of the words of the vocabulary is a table; the distinct words and neighbours of each text are joined to it, whatever its size, and only what it has goes back to the text.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import re
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StringType
 
 from qforge.functions import text as X
+from qforge.storage import settled
 
 #: Fixed values, in order of preference.
 LIGATURES = ("fi", "fl", "ffi", "ffl", "ff")
@@ -19,6 +24,93 @@ def normalised(text: Column) -> Column:
     return F.regexp_replace(X.without_stray_cjk(X.normal_form(text)), r"^\s*\(?\s*\d{1,3}[.,]\s+(?=[A-Z])", "")
 
 
+_WORD = re.compile("[A-Za-z'’]+")
+_START = re.compile("[.?!:][ \\t\\n\\x0b\\f\\r]+[\\x85\\u2028\\u2029]?\\Z")
+_GLUED = re.compile("(?:An(?=[a-z]{3})|A)([a-z]{3,})")
+
+
+def _tokens(text: str) -> list[tuple[str, str, bool, str | None]]:
+    """(gap before it, word, whether it may be damaged, the rest of a word that starts a sentence and with "A" or "An") for each word, and what follows the last one."""
+    out, at = [], 0
+    for m in _WORD.finditer(text):
+        gap, word = text[at : m.start()], m[0]
+        glued = _GLUED.fullmatch(word) if _START.search(gap) or (at == 0 and gap == "") else None
+        out.append((gap, word, word.isalpha() and not (len(word) > 1 and word == word.upper()), glued and glued[1]))
+        at = m.end()
+    return [*out, (text[at:], "", False, None)]
+
+
+def _pair(x: tuple, y: tuple) -> str | None:
+    return f"{x[1]} {y[1]}".lower() if x[2] and y[2] and y[0] == " " else None
+
+
+@F.pandas_udf(ArrayType(StringType()))
+def asked(texts: pd.Series) -> pd.Series:
+    """What a text may hold that is damaged: words, neighbours with a space between, and words that start a sentence with a plus before."""
+
+    def keys(text: str | None) -> list[str]:
+        x = _tokens(text or "")
+        return list({w[1].lower() for w in x if w[2] and len(w[1]) > 1} | {p for p in map(_pair, x, x[1:]) if p} | {"+" + w[1].lower() for w in x if w[3]})
+
+    return texts.map(keys)
+
+
+@F.pandas_udf(StringType())
+def mended(texts: pd.Series, keys: pd.Series, news: pd.Series) -> pd.Series:
+    """Texts with what is known of their words (keys as in ``asked``) put in. Of pairs that overlap, the first, third ... of a chain are taken."""
+
+    def cased(word: str, new: str) -> str:
+        return new[:1].upper() + new[1:] if "A" <= word[0] <= "Z" else new
+
+    def mend(text: str | None, known: dict[str, str]) -> str | None:
+        if not known:
+            return text
+        x, out, taken = _tokens(text), [], False
+        for now, after in zip(x, [*x[1:], ("", "", False, None)], strict=True):
+            gap, word, plain, rest = now
+            if taken:  # by the word before
+                taken = False
+                continue
+            low = word.lower()
+            cut = rest is not None and "+" + low in known
+            pair = None if cut else known.get(_pair(now, after) or "")
+            if pair:
+                new, taken = cased(word, pair), True
+            elif cut:
+                new = f"{word[: len(word) - len(rest)]} {rest}"
+            else:
+                new = cased(word, known[low]) if plain and len(word) > 1 and low in known else word
+            out.append(gap + new)
+        return "".join(out)
+
+    return pd.Series([mend(t, dict(zip(k, n, strict=True)) if k is not None else {}) for t, k, n in zip(texts, keys, news, strict=True)], dtype=object)
+
+
+def damaged(vocabulary: DataFrame, least: int, least_rest: int) -> DataFrame:
+    """(key, new), keys as in ``asked``: what words of the vocabulary look like without a ligature, alone or in two, and glued to "A" or "An"."""
+    v = vocabulary.filter(f"n >= {least}").select("word", "n")
+
+    def spots(g: str) -> Column:
+        return F.filter(F.sequence(F.lit(1), F.length("word")), lambda i: F.substr("word", i, F.lit(len(g))) == g)
+
+    spot = F.posexplode(F.array(*map(spots, LIGATURES)))
+    split = v.filter("word like '%fi%' or word like '%fl%' or word like '%ff%'").select("word", spot.alias("rank", "at")).select("word", "rank", F.explode("at").alias("at"))
+    size = F.get(F.array(*[F.lit(len(g)) for g in LIGATURES]), F.col("rank"))
+    split = split.select("word", "rank", F.substr("word", F.lit(1), F.col("at") - 1).alias("low"), F.substr("word", F.col("at") + size).alias("next"))
+    sure = vocabulary.filter("trusted").select("word")
+    best = F.min(F.struct("rank", "word"))["word"].alias("new")
+    led = split.filter("low = '' and length(next) >= 2").groupBy(F.col("next").alias("key")).agg(best).join(sure.withColumnRenamed("word", "key"), "key", "left_anti")
+    two = split.filter("low != '' and next != ''").groupBy("low", "next").agg(best)
+    for side in ("low", "next"):
+        two = two.join(sure.select(F.col("word").alias(side), F.lit(True).alias(f"sure_{side}")), side, "left")
+    two = two.filter("sure_low is null or sure_next is null").select(F.concat_ws(" ", "low", "next").alias("key"), "new")
+    rest = v.filter((F.col("n") >= least_rest) & (F.length("word") >= 3)).select("word").join(split.filter("low = ''").select(F.col("next").alias("word")), "word", "left_anti")
+    # "An" is taken off where three letters are left
+    glued = F.array_compact(F.array(F.concat(F.lit("an"), "word"), F.when(~(F.startswith("word", F.lit("n")) & (F.length("word") >= 4)), F.concat(F.lit("a"), "word"))))
+    starts = rest.select(F.explode(glued).alias("low"), F.col("word").alias("new")).join(vocabulary.filter("lower_seen").select(F.col("word").alias("low")), "low", "left_anti")
+    return settled(led.union(two).union(starts.select(F.concat(F.lit("+"), "low").alias("key"), "new")), "damage")
+
+
 def repaired(rows: DataFrame, key: str, text: str, vocabulary: DataFrame, least: int = 2, least_rest: int = 5) -> DataFrame:
     """(key, text) with words repaired. vocabulary: word, n, trusted, lower_seen.
 
@@ -26,37 +118,8 @@ def repaired(rows: DataFrame, key: str, text: str, vocabulary: DataFrame, least:
     is not trusted and that a ligature in front makes a word seen so often; a capitalised word at the start of a sentence that is "A" or "An" glued to a word seen ``least_rest``
     times, if the whole is never seen in lower case. Words in capitals and words that touch an apostrophe stay.
     """
-    whole = r"[A-Za-z'’]+"
     base = rows.select(F.col(key).alias("k"), normalised(F.col(text)).alias("t"))
-    tokens = F.arrays_zip(F.split("t", whole, -1).alias("gap"), F.concat(F.regexp_extract_all("t", F.lit(whole), F.lit(0)), F.array(F.lit(""))).alias("word"))
-    each = base.select("k", F.posexplode(tokens).alias("i", "x")).select("k", "i", F.col("x.gap").alias("gap"), F.col("x.word").alias("word"))
-    own = Window.partitionBy("k").orderBy("i")
-    plain = F.col("word").rlike("^[A-Za-z]+$") & ~((F.length("word") > 1) & (F.col("word") == F.upper("word")))
-    each = each.withColumns({"plain": plain, "low": F.lower("word")})
-    each = each.withColumns({"next": F.lead("low").over(own), "next_gap": F.lead("gap").over(own), "next_plain": F.lead("plain").over(own)})
-    each = each.withColumn("rest", F.when(F.col("word").rlike("^(An|A)[a-z]{3,}$") & (F.col("gap").rlike(r"[.?!:]\s+$") | ((F.col("i") == 0) & (F.col("gap") == ""))), F.regexp_replace("word", "^(?:An(?=[a-z]{3})|A)", "")))
-    pair = F.col("plain") & F.col("next_plain") & (F.col("next_gap") == " ")
-    tries = F.concat(
-        F.when(pair, F.array(*[F.struct(F.lit(0).alias("kind"), F.lit(r).alias("rank"), F.concat("low", F.lit(g), "next").alias("try")) for r, g in enumerate(LIGATURES)])).otherwise(F.array().cast("array<struct<kind:int,rank:int,try:string>>")),
-        F.when(F.col("plain") & (F.length("low") >= 2), F.array(*[F.struct(F.lit(1).alias("kind"), F.lit(r).alias("rank"), F.concat(F.lit(g), F.col("low")).alias("try")) for r, g in enumerate(LIGATURES)])).otherwise(F.array().cast("array<struct<kind:int,rank:int,try:string>>")),
-        F.when(F.col("rest").isNotNull(), F.array(F.struct(F.lit(2).alias("kind"), F.lit(0).alias("rank"), F.col("rest").alias("try")), *[F.struct(F.lit(3).alias("kind"), F.lit(0).alias("rank"), F.concat(F.lit(g), F.col("rest")).alias("try")) for g in LIGATURES])).otherwise(F.array().cast("array<struct<kind:int,rank:int,try:string>>")),
-    )
-    v = vocabulary.select("word", "n", "trusted", "lower_seen")
-    asked = each.select("k", "i", F.explode(tries).alias("y")).select("k", "i", "y.*").join(v.select(F.col("word").alias("try"), "n"), "try").filter(F.col("n") >= least)
-    best = lambda kind: F.min(F.when(F.col("kind") == kind, F.struct("rank", "try")))["try"]
-    found = asked.groupBy("k", "i").agg(best(0).alias("joined"), best(1).alias("led"), F.max(F.when((F.col("kind") == 2) & (F.col("n") >= least_rest), 1)).alias("cut"), F.max(F.when(F.col("kind") == 3, 1)).alias("damaged"))
-    known = v.select(F.col("word").alias("low"), "trusted", "lower_seen")
-    each = each.join(found, ["k", "i"], "left").join(known, "low", "left")
-    each = each.withColumn("sure", F.coalesce("trusted", F.lit(False))).withColumn("next_sure", F.lead("sure").over(own))
-    cut = (F.col("cut") == 1) & F.col("damaged").isNull() & ~F.coalesce("lower_seen", F.lit(False))
-    may = F.col("joined").isNotNull() & ~(F.col("sure") & F.coalesce("next_sure", F.lit(False))) & ~F.coalesce(cut, F.lit(False))
-    each = each.withColumns({"cut_it": F.coalesce(cut, F.lit(False)), "may": F.coalesce(may, F.lit(False))})
-    # of pairs that overlap, the first, third ... of a chain are taken
-    each = each.withColumn("chain", F.sum(F.when(F.col("may"), 0).otherwise(1)).over(own.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
-    each = each.withColumn("nth", F.row_number().over(Window.partitionBy("k", "chain", "may").orderBy("i")))
-    each = each.withColumn("take", F.col("may") & (F.col("nth") % 2 == 1)).withColumn("gone", F.lag("take", 1, False).over(own))
-    cased = lambda new: F.when(F.col("word").rlike("^[A-Z]"), F.concat(F.upper(F.substring(new, 1, 1)), F.substr(new, F.lit(2)))).otherwise(new)
-    new = F.when(F.col("gone"), "").when(F.col("take"), cased(F.col("joined"))).when(F.col("cut_it"), F.concat(F.expr("left(word, length(word) - length(rest))"), F.lit(" "), F.col("rest"))).when(~F.col("sure") & F.col("led").isNotNull(), cased(F.col("led"))).otherwise(F.col("word"))
-    piece = F.concat(F.when(F.col("gone"), "").otherwise(F.col("gap")), new)
-    out = each.select("k", "i", piece.alias("p")).groupBy("k").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("i", "p"))), lambda x: x["p"]), "").alias("t"))
+    hits = base.select("k", F.explode(asked("t")).alias("key")).join(damaged(vocabulary, least, least_rest), "key")
+    found = hits.groupBy(F.col("k").alias("_k")).agg(F.array_sort(F.collect_set(F.struct("key", "new"))).alias("x"))
+    out = base.join(found, F.col("k").eqNullSafe(F.col("_k")), "left").select("k", mended("t", F.col("x.key"), F.col("x.new")).alias("t"))
     return out.select(F.col("k").alias(key), X.without_ligature_debris(F.col("t")).alias(text))

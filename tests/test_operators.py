@@ -471,3 +471,13 @@ def test_frequent_prefixes_and_words_apart_make_no_candidates(spark, monkeypatch
     counted = settled(each.join(each.groupBy("p").agg(F.count("*").alias("n")), "p"), "counted")
     tried = near_duplicates.candidates(classes, counted, classes.select("cls", F.col("cls").alias("component"))).count()
     assert tried < 300 * 59 / 2 / 10  # of all pairs with the same prefixes
+
+
+def test_text_repair_keeps_every_row_and_asks_for_few(spark):
+    """A null text stays a row, of overlapping pairs the first and third are taken, and words that no damage makes are not shuffled with their texts."""
+    v = vocabulary.vocabulary(spark.createDataFrame([(VOCABULARY + " offi offi cefice cefice",)], "t string"), F.col("t"), F.lit(False))
+    rows = [(1, None), (2, "of ce fice today"), (3, "Anotice of it. Alisting here. Alisting")]
+    got = {r.id: r.t for r in repair_text.repaired(spark.createDataFrame(rows, "id int, t string"), "id", "t", v).collect()}
+    assert got == {1: None, 2: "office fice today", 3: "Anotice of it. A listing here. A listing"}
+    table = repair_text.damaged(v, 2, 5)
+    assert {r.key: r.new for r in table.collect()}["of ce"] == "office" and table.count() < 2 * v.count()
