@@ -481,3 +481,14 @@ def test_text_repair_keeps_every_row_and_asks_for_few(spark):
     assert got == {1: None, 2: "office fice today", 3: "Anotice of it. A listing here. A listing"}
     table = repair_text.damaged(v, 2, 5)
     assert {r.key: r.new for r in table.collect()}["of ce"] == "office" and table.count() < 2 * v.count()
+
+
+def test_normal_lines_and_headings_by_one_pattern(spark):
+    """Lines that stay as they are, and lines that are changed; a line is normalised once in the plan, before it is told from noise."""
+    given = ["a plain line", " led", "two  spaces", "end ", "tab\there", "“quoted”\x0c", "a b", "", "é"]
+    assert [one(spark, X.normal_line(F.lit(t))) for t in given] == ["a plain line", "led", "two spaces", "end", "tab here", '"quoted"', "a b", "", "é"]
+    text = "CHAPTER 2: Two\nfi fi\n12\n[PDF_PAGE 3]\nsample questions\nchapter quiz\n**Answer key**\nSAMPLE EXAM I\nAnswers are here\nfi"
+    heads = parse.headed(spark.createDataFrame([(1, text)], "doc_id int, text string"))
+    assert [(r.line_no, r.heading) for r in heads.orderBy("line_no").collect()] == [(1, "none"), (5, "samples"), (6, "quiz"), (7, "key"), (8, "exam"), (9, None), (10, None)]
+    plan = heads._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("translate(") == 1
