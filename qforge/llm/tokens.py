@@ -22,6 +22,7 @@ import zlib
 from array import array
 from collections.abc import Iterator
 from functools import cached_property
+from itertools import filterfalse
 
 import numpy as np
 import pandas as pd
@@ -69,10 +70,12 @@ class Encoder:
     #: Letters and the ASCII marks behind them: the pre-token of the letters ends between the two.
     WORD_AND_MARKS = re.compile(r"( ?[^\W\d_]+)([!-/:-@\[-^`{-~].*)", re.S)
     LOOSE = re.compile(r"[.,](?<=[^\w\s].)")
+    #: Latin letters after at most one space: one pre-token, whatever stands around it.
+    WORD = re.compile(" ?[A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\u024f]+")
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, models, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
@@ -81,6 +84,11 @@ class Encoder:
         self.code = "H" if self.dtype.itemsize == 2 else "I"
         self.end = np.array([END_ID], dtype=self.dtype).tobytes()
         self.kept: dict[str, bytes] = {"": b""}
+        own = self.tokenizer.pre_tokenizer
+        self.merges = self.tokenizer.model
+        self.letters = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        #: Whether a word's ids are those of the model alone: nothing is normalised, put in front, or a token by itself before the model sees it.
+        self.direct = isinstance(self.merges, models.BPE) and isinstance(own, pre_tokenizers.ByteLevel) and not own.add_prefix_space and self.tokenizer.normalizer is None and all(t.special for t in self.tokenizer.get_added_tokens_decoder().values())
         self.feed = (self.tokenizer.encode("\n", add_special_tokens=False).ids or [-1])[0]
 
     def library(self, texts: list[str]) -> list[bytes]:
@@ -101,6 +109,12 @@ class Encoder:
         found.update(zip(rest, self.library(rest), strict=True))
         return [found[p] for p in pieces]
 
+    def words(self, words: list[str]) -> Iterator[bytes]:
+        """``library`` for words of Latin letters: the model's merges on each, without looking for pre-tokens first."""
+        merges, code = self.merges.tokenize, self.code
+        spelled = self.letters.pre_tokenize_str("\n".join(words))[0][0].split(self.letters.pre_tokenize_str("\n")[0][0]) if words else []
+        return (array(code, [t.id for t in merges(w)]).tobytes() for w in spelled)
+
     def unsafe(self, text: str) -> bool:
         if text[0] in " \n.," or "_" in text or "\0" in text or "  " in text or " \n" in text or " ." in text or " ," in text or "\n " in text or "\n\n" in text or "\n." in text or "\n," in text:
             return True
@@ -109,6 +123,10 @@ class Encoder:
     def learn(self, missed: list[str]) -> None:
         """Keep the ids of pieces not seen before."""
         kept, parts = self.kept, {}
+        if self.direct:
+            plain = list(filter(self.WORD.fullmatch, missed))
+            kept.update(zip(plain, self.words(plain), strict=True))
+            missed = list(filterfalse(kept.__contains__, missed))
         for p in missed:
             if m := self.WORD_AND_MARKS.fullmatch(p):
                 parts[p] = m.groups()
@@ -132,9 +150,10 @@ class Encoder:
             cut[i] = t.replace(" ", "\0 ").replace("\n", "\0\n\0").replace(",", "\0,").replace(".", "\0.").split("\0")
             seen.update(cut[i])
         kept = self.kept
-        self.learn([p for p in seen if p not in kept])
+        self.learn(list(filterfalse(kept.__contains__, seen)))
+        near = dict(zip(seen, map(kept.__getitem__, seen), strict=True))  # small enough for the processor's cache
         for i, pieces in cut.items():
-            out[i] = b"".join(map(kept.__getitem__, pieces)) + self.end
+            out[i] = b"".join(map(near.__getitem__, pieces)) + self.end
         for i, ids in zip(whole, self.library([texts[i] for i in whole]), strict=True):
             out[i] = ids + self.end
         return out

@@ -445,3 +445,10 @@ def test_secrets_in_hostile_texts(spark):
     assert (got[4].n_hex, got[6].n_assign) == (n, n // 2)
     assert got[4].spans == ",".join(f"hex:{17 * i}:{17 * i + 16}" for i in range(n))
     assert got[12].spans == "jwt:2:38"
+
+
+def test_words_encode_alone_as_in_the_library():
+    encoder = tokens.Encoder(tokens.default_tokenizer())
+    words = ["a", " a", " Straße", " Ünïcödé", "étaient", " thingtionly", "ÿ", " Ǆĳ", " WORD"]
+    assert encoder.direct and list(encoder.words(words)) == encoder.library(words) and list(encoder.words([])) == []
+    assert not any(map(encoder.WORD.fullmatch, ["", " ", "  a", "a b", "a²", "a×b", "a1", "Ж", "a\n"]))
