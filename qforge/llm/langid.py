@@ -18,6 +18,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from qforge.llm.common import kept_by
+
 DIMENSIONS = 1 << 14
 CENTROIDS = 4
 FIT_DOCS = 1200
@@ -119,6 +121,7 @@ def fit(training: DataFrame, fit_docs: int = FIT_DOCS, id_col: str = "doc_id", t
         wanted = wanted | ((F.col("lang") == lang) & (draw < max(1, int(1_000_000 * min(1.0, 1.25 * each / n + 8 / n)))))
 
     def sparse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        kept_by("langid")
         for b in batches:
             got = [(lang, d, counts(t)) for lang, d, t in zip(b["lang"], b["draw"], b["text"], strict=True)]
             got = [(lang, d, (at := np.flatnonzero(c)).astype("<u2").tobytes(), c[at].astype("<u4").tobytes()) for lang, d, c in got if c is not None]
@@ -174,6 +177,7 @@ def identified(docs: DataFrame, model: Model) -> DataFrame:
 
     @F.pandas_udf("boolean")
     def accepted(texts: pd.Series) -> pd.Series:
+        kept_by("langid")
         return pd.Series([not model.predict(t)[2] for t in texts], dtype=bool)
 
     return docs.filter(accepted("text"))

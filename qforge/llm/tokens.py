@@ -30,7 +30,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from qforge.llm.common import drop_path, release_shuffles, scratch, written
+from qforge.llm.common import drop_path, kept_by, release_shuffles, scratch, written
 
 END_ID = 0
 MODEL_BITS = 18
@@ -47,8 +47,6 @@ SHARDS = "shard int, start long, cut long, crc long"
 
 # -- tokenising -----------------------------------------------------------------------------------------------------
 
-_WORKER: dict = {}
-
 
 def default_tokenizer() -> str:
     import public_tokenizers
@@ -161,10 +159,10 @@ class Encoder:
 
 def _encoder(path: str | None) -> Encoder:
     """One for each Python worker, which Spark reuses over tasks."""
-    path = path or default_tokenizer()
-    if path not in _WORKER:
-        _WORKER[path] = Encoder(path)
-    return _WORKER[path]
+    path, known = path or default_tokenizer(), kept_by("tokens")
+    if path not in known:
+        known[path] = Encoder(path)
+    return known[path]
 
 
 def tokenize(docs: DataFrame, tokenizer: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -57,3 +57,14 @@ def test_the_verdict_of_two_texts_that_fingerprints_part(spark):
     t = "w109283 w51576 w108960 w145341 w564647 w689998 w973176 w961669 w377788"
     docs = spark.createDataFrame([(1, t, "en", "a", None, "x", "y", "k", "c"), (2, t.rpartition(" ")[0], "en", "a", None, "x", "y", "k", "c")], DOCS)
     assert [x.doc_id for x in corpus_pipeline.near_dedup(spark, docs, "").collect()] == [1]
+
+
+def test_a_worker_lets_go_of_what_another_operator_kept():
+    """A near-dedup worker would else hold the token file's pieces beside its own sets."""
+    from qforge.llm import common, langid, tokens
+
+    encoder = tokens._encoder(None)
+    assert tokens._encoder(None) is encoder and "tokens" in common._KEPT
+    common.kept_by("jaccard")
+    assert "tokens" not in common._KEPT and tokens._encoder(None) is not encoder
+    assert all(m.kept_by is common.kept_by for m in (jaccard, langid, tokens))
