@@ -78,7 +78,8 @@ def totals(pages: DataFrame) -> DataFrame:
 
 def word_boxes(tsv: DataFrame, key: str, text: str = "tsv") -> DataFrame:
     """(key, line_id, left, top, right, bottom, text) of OCR tables: word rows with a confidence, numeric geometry and a text that is not blank; the header goes."""
-    rows = tsv.select(key, F.posexplode(F.split(text, "\n")).alias("n", "row")).filter("n > 0").select(key, F.split("row", "\t").alias("c"))
+    # cells are split within the text: as a column over rows Spark would split a row anew for each cell that a filter names
+    rows = tsv.select(key, F.posexplode(F.transform(F.split(text, "\n"), lambda r: F.split(r, "\t"))).alias("n", "c")).filter("n > 0")
     at = lambda i: F.get("c", F.lit(i))
     number = lambda i: at(i).try_cast("double")
     rows = rows.filter((F.size("c") >= 12) & (number(0) == 5) & (number(10) >= 0) & (X.trimmed(at(11)) != ""))
@@ -95,11 +96,11 @@ def ocr_lines(boxes: DataFrame, key: str) -> DataFrame:
 
 def column_major(boxes: DataFrame, key: str) -> DataFrame:
     """(key, text): lines that start left of the middle, then those right of it, each from top to bottom, if both sides have three words; else all from top to bottom."""
-    lines = ocr_lines(boxes, key)
-    page = lines.groupBy(key).agg(((F.min("left") + F.max("right")) / 2).alias("mid"))
-    sided = lines.join(page, key).withColumn("side", F.when(F.col("left") < F.col("mid"), 0).otherwise(1))
-    both = sided.groupBy(key).agg(F.sum(F.when(F.col("side") == 0, F.col("words")).otherwise(0)).alias("l"), F.sum("words").alias("w"))
-    sided = sided.join(both, key).withColumn("side", F.when((F.col("l") >= 3) & (F.col("w") - F.col("l") >= 3), F.col("side")).otherwise(0))
+    page = Window.partitionBy(key)
+    lines = ocr_lines(boxes, key).withColumn("mid", (F.min("left").over(page) + F.max("right").over(page)) / 2)
+    sided = lines.withColumn("side", F.when(F.col("left") < F.col("mid"), 0).otherwise(1))
+    sided = sided.withColumns({"l": F.sum(F.when(F.col("side") == 0, F.col("words")).otherwise(0)).over(page), "w": F.sum("words").over(page)})
+    sided = sided.withColumn("side", F.when((F.col("l") >= 3) & (F.col("w") - F.col("l") >= 3), F.col("side")).otherwise(0))
     order = F.array_sort(F.collect_list(F.struct("side", "top", "left", "text")))
     return sided.groupBy(key).agg(F.array_join(F.transform(order, lambda x: x["text"]), "\n").alias("text"))
 
@@ -109,16 +110,20 @@ def column_split(boxes: DataFrame, key: str, least_lines: int = 6, share: float
 
     Bare numbers do not count; a first line that stands apart from the next by twice its height is a running header.
     """
-    lines = ocr_lines(boxes, key).filter(~F.col("text").rlike(r"^\d+[.]?$"))
-    by_top = Window.partitionBy(key).orderBy("top", "left")
-    lines = lines.withColumns({"r": F.row_number().over(by_top), "n": F.count("*").over(Window.partitionBy(key)), "next": F.lead("top").over(by_top)})
-    lines = lines.filter((F.col("n") >= least_lines) & ~((F.col("r") == 1) & (F.col("next") - F.col("bottom") > 2 * (F.col("bottom") - F.col("top")))))
-    lines = lines.join(lines.groupBy(key).agg(((F.min("left") + F.max("right")) / 2).alias("mid")), key)
-    a, b = F.col("right") < F.col("mid"), F.col("left") > F.col("mid")
-    got = lines.groupBy(key).agg(F.count_if(a).alias("a"), F.count_if(b).alias("b"), F.count("*").alias("n"), F.max(F.when(a, F.col("right"))).alias("x"), F.min(F.when(b, F.col("left"))).alias("y"), X.upper_median(F.collect_list(F.col("bottom") - F.col("top"))).alias("h"))
+    # what does not count stays as a row, so that every page has one without a join
+    lines = ocr_lines(boxes, key).withColumn("counts", ~F.col("text").rlike(r"^\d+[.]?$"))
+    alike = Window.partitionBy(key, "counts")
+    lines = lines.withColumns({"r": F.row_number().over(alike.orderBy("top", "left")), "next": F.lead("top").over(alike.orderBy("top", "left")), "of": F.count("*").over(alike)})
+    header = (F.col("r") == 1) & (F.col("next") - F.col("bottom") > 2 * (F.col("bottom") - F.col("top")))
+    lines = lines.withColumn("counts", F.coalesce(F.col("counts") & (F.col("of") >= least_lines) & ~header, F.lit(False)))
+    body = lambda x: F.when(F.col("counts"), x)
+    page = Window.partitionBy(key)
+    lines = lines.withColumn("mid", (F.min(body(F.col("left"))).over(page) + F.max(body(F.col("right"))).over(page)) / 2)
+    a, b = F.col("counts") & (F.col("right") < F.col("mid")), F.col("counts") & (F.col("left") > F.col("mid"))
+    got = lines.groupBy(key).agg(F.count_if(a).alias("a"), F.count_if(b).alias("b"), F.count_if("counts").alias("n"), F.max(F.when(a, F.col("right"))).alias("x"), F.min(F.when(b, F.col("left"))).alias("y"), X.upper_median(F.collect_list(body(F.col("bottom") - F.col("top")))).alias("h"))
     need = F.ceil(F.col("n") * share)
     fine = (F.col("a") >= need) & (F.col("b") >= need) & (F.col("a") + F.col("b") == F.col("n")) & (F.col("y") - F.col("x") >= F.col("h"))
-    return boxes.select(key).distinct().join(got.select(key, F.when(fine, X.rounded((F.col("x") + F.col("y")) / 2)).alias("split")), key, "left")
+    return got.select(key, F.when(fine, X.rounded((F.col("x") + F.col("y")) / 2)).alias("split"))
 
 
 def banded(boxes: DataFrame, key: str, least_rows: int = 4, least_two_sided: int = 3) -> DataFrame:

@@ -36,7 +36,7 @@ def page_texts(images: DataFrame, keys: list[str], read: Words, crop: Callable[[
     boxes = settled(fanned(left, keys, "image", lambda x: read(bytes(x)), BOX, in_flight), "boxes")
     page = F.to_json(F.struct(*keys))
     words = boxes.filter("error is null").withColumn("_page", page)
-    split = settled(layout.column_split(words, "_page"), "splits")
+    split = settled(layout.column_split(words.repartition("_page"), "_page"), "splits")  # one shuffle serves its lines, windows and pages
     whole = layout.banded(words.join(split.filter("split is null"), "_page", "left_semi"), "_page").select("_page", "text", F.lit("bands").alias("engine"), F.lit(None).cast("string").alias("error"))
 
     halves = left.withColumn("_page", page).join(split.filter("split is not null"), "_page").select("_page", F.explode(F.array(F.lit(0), F.lit(1))).alias("side"), F.struct("image", "split").alias("half"))

@@ -492,3 +492,11 @@ def test_normal_lines_and_headings_by_one_pattern(spark):
     assert [(r.line_no, r.heading) for r in heads.orderBy("line_no").collect()] == [(1, "none"), (5, "samples"), (6, "quiz"), (7, "key"), (8, "exam"), (9, None), (10, None)]
     plan = heads._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("translate(") == 1
+
+
+def test_page_layout_reads_its_words_once(spark):
+    """Lines, middles and sides of a page come of one pass over its words: no step is joined back to them."""
+    boxes = spark.createDataFrame([("p", "a", 0.0, 0.0, 300.0, 10.0, "x"), ("p", "b", 600.0, 0.0, 900.0, 10.0, "y"), ("q", "a", 0.0, 0.0, 300.0, 10.0, "7")], "k string, line_id string, left double, top double, right double, bottom double, text string")
+    for got in (layout.column_split(boxes, "k", least_lines=2), layout.column_major(boxes, "k")):
+        assert "Join" not in got._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted(layout.column_split(boxes, "k", least_lines=2).collect()) == [("p", 450), ("q", None)]
