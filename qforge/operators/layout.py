@@ -11,6 +11,9 @@ from pyspark.sql import functions as F
 
 from qforge.functions import text as X
 
+#: Pages that a Python worker puts in order at a time.
+ROWS = 500
+
 
 def _longest_run(mask: np.ndarray) -> tuple[int, int]:
     """(start, length) of the first longest run of true."""
@@ -64,8 +67,10 @@ def ordered_pages(pages: DataFrame, key: str = "page", text: str = "text") -> Da
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            got = [column_order(t) for t in b["text"]]
-            yield pd.DataFrame({"key": b["key"], "text": [t for t, _ in got], "two": [c for _, c in got]})
+            for s in range(0, len(b), ROWS):
+                part = b.iloc[s : s + ROWS]
+                got = [column_order(t) for t in part["text"]]
+                yield pd.DataFrame({"key": part["key"], "text": [t for t, _ in got], "two": [c for _, c in got]})
 
     kind = pages.schema[key].dataType.simpleString()
     return pages.select(F.col(key).alias("key"), F.col(text).alias("text")).mapInPandas(run, f"key {kind}, text string, two boolean").toDF(key, "text", "two_columns")

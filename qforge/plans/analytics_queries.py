@@ -10,6 +10,7 @@ from qforge.operators import analytics as A
 from qforge.operators import bank as B
 from qforge.operators import sampling as S
 from qforge.plans.tables import AUDITED, audited, table
+from qforge.storage import settled
 
 SQL: dict[str, str] = {}
 
@@ -161,7 +162,7 @@ SQL["keep_first"] = f"SELECT id, bank_no, h FROM {_BANKS} QUALIFY row_number() O
 
 
 def duplicate_of(spark: SparkSession, d: str) -> DataFrame:
-    docs = table(spark, d, "documents").select("doc_id", X.content_hash(F.col("text")).alias("h"))
+    docs = settled(table(spark, d, "documents").select("doc_id", X.content_hash(F.col("text")).alias("h")), "hashes")  # the join needs them twice
     return B.duplicate_of(docs, "h", "doc_id", "doc_id").select("doc_id", F.col("duplicate_of").cast("string").alias("duplicate_of"))
 
 

@@ -500,3 +500,19 @@ def test_page_layout_reads_its_words_once(spark):
     for got in (layout.column_split(boxes, "k", least_lines=2), layout.column_major(boxes, "k")):
         assert "Join" not in got._jdf.queryExecution().optimizedPlan().toString()
     assert sorted(layout.column_split(boxes, "k", least_lines=2).collect()) == [("p", 450), ("q", None)]
+
+
+def test_duplicate_of_hashes_texts_once(spark, tmp_path):
+    from qforge.plans import analytics_queries
+
+    spark.createDataFrame([(1, "A b."), (2, "a b"), (3, None)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = analytics_queries.duplicate_of(spark, str(tmp_path))
+    assert "sha2" not in got._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted(got.collect()) == [(1, None), (2, "1"), (3, None)]
+
+
+def test_pages_are_put_in_order_a_few_at_a_time(spark):
+    """A worker's frames stay small, however many rows Spark hands it."""
+    pages = spark.range(3 * layout.ROWS + 1).selectExpr("id page", "concat('line ', id) text").coalesce(1)
+    got = layout.ordered_pages(pages, "page", "text").collect()
+    assert [tuple(r) for r in sorted(got)] == [(i, f"line {i}", False) for i in range(3 * layout.ROWS + 1)]
