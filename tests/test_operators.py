@@ -516,3 +516,15 @@ def test_pages_are_put_in_order_a_few_at_a_time(spark):
     pages = spark.range(3 * layout.ROWS + 1).selectExpr("id page", "concat('line ', id) text").coalesce(1)
     got = layout.ordered_pages(pages, "page", "text").collect()
     assert [tuple(r) for r in sorted(got)] == [(i, f"line {i}", False) for i in range(3 * layout.ROWS + 1)]
+
+
+def test_practice_parsers_hold_one_document(spark):
+    """Parsers of practice tests neither shuffle nor sort lines, however long a document is and however often its numbers repeat."""
+    docs = spark.createDataFrame([(1, "\n".join(f"{i % 999 + 1}. What is {i}?\nA. {i}\nB. no" for i in range(5000))), (2, None), (3, "no number"), (None, "1. What?\nA. a")], "doc_id int, text string")
+    got = parse.practice_questions(docs)
+    assert {(r.doc_id, r.number): r.prompt for r in got.collect()} == {(1, i % 999 + 1): f"What is {i}?" for i in range(5000)} | {(None, 1): "What?"}
+    answers = parse.practice_answers(docs)
+    assert answers.filter("doc_id = 1").count() == 999
+    for df in (got, answers):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert not any(x in plan for x in ("Exchange", "Sort", "Window")), plan
