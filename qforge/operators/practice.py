@@ -9,6 +9,9 @@ from qforge.functions import text as X
 from qforge.operators import parse as P
 from qforge.operators.bank import keep_first
 
+#: Bytes of test texts whose questions one task takes: records are some thirty times as large, and all the more than what a shuffle makes of such texts.
+TASK_BYTES = 4 << 20
+
 
 def joined(questions: DataFrame, answers: DataFrame, *keys: str) -> DataFrame:
     """Questions with label and explanation of the answer with their number; without one both are null."""
@@ -42,10 +45,15 @@ def finalized(rows: DataFrame) -> DataFrame:
     return rows.withColumns({"status": F.when(sound, "ready").otherwise("needs_user_review"), "confidence": F.when(sound, 1.0).otherwise(0.5), "actions": actions}).drop("prompt")
 
 
+def tasks(docs: DataFrame, text: str = "text") -> int:
+    """How many tasks records of texts are dealt to."""
+    size = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
+    return max(docs.sparkSession.sparkContext.defaultParallelism, -(-size // TASK_BYTES))
+
+
 def records(questions: DataFrame, answers: DataFrame) -> DataFrame:
-    """(test, portion, text) of question files and of answer-key files to records; of records with one hash the first by test, portion and number stays."""
-    key = F.struct("test", "portion").alias("k")
-    q = P.practice_questions(questions.select(key, "text"), "k")
-    a = P.practice_answers(answers.select(key, "text"), "k")
+    """(test, portion, text) of question files and of answer-key files to records; of records with one hash the first by test, portion and number stays. Questions are read once more for their size."""
+    key, n = F.struct("test", "portion").alias("k"), tasks(questions)
+    q, a = (f(files.select(key, "text"), "k").repartition(n, "k", "number") for f, files in ((P.practice_questions, questions), (P.practice_answers, answers)))
     rows = finalized(joined(q, a, "k").select("k.*", "number", "prompt", "options", "label", "explanation"))
     return keep_first(rows, "content_hash", "test", "portion", "number")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from qforge.functions import text as X
 from qforge.operators import analytics as A
 from qforge.operators import bank as B
-from qforge.operators import layout, lines, near_duplicates, parse, repair_engine, repair_text, sampling, scope, verdicts, vocabulary
+from qforge.operators import layout, lines, near_duplicates, parse, practice, repair_engine, repair_text, sampling, scope, verdicts, vocabulary
 from qforge.storage import settled
 
 
@@ -528,3 +528,15 @@ def test_practice_parsers_hold_one_document(spark):
     for df in (got, answers):
         plan = df._jdf.queryExecution().executedPlan().toString()
         assert not any(x in plan for x in ("Exchange", "Sort", "Window")), plan
+
+
+def test_practice_records_are_dealt_by_size(spark, monkeypatch):
+    """Questions meet answers in as many tasks as the texts need, which a shuffle's bytes would not say."""
+    monkeypatch.setattr(practice, "TASK_BYTES", 1 << 10)
+    rows = [(i, "National", "\n".join(f"{j}. What is {i} {j}?\nA. a\nB. b\nC. c\nD. d" for j in range(1, 41)), "\n".join(f"{j}. B) so" for j in range(1, 31))) for i in range(20)]
+    tests = spark.createDataFrame(rows, "test int, portion string, q string, a string")
+    questions = tests.select("test", "portion", F.col("q").alias("text"))
+    assert practice.tasks(questions) == -(-sum(len(q) for _, _, q, _ in rows) // 1024) > 20
+    got = practice.records(questions, tests.select("test", "portion", F.col("a").alias("text")))
+    assert got.count() == 800 and got.filter("label = 'B'").count() == 600
+    assert f", {practice.tasks(questions)}), REPARTITION_BY_NUM" in got._jdf.queryExecution().executedPlan().toString()
