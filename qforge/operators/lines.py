@@ -52,8 +52,19 @@ def near(all_lines: DataFrame, spots: DataFrame, key: str, before: int, after: i
 
 
 def keyed(questions: DataFrame, answers: DataFrame, contexts: Column, key: list[str], number: str = "number") -> DataFrame:
-    """Left join to the answer key on the first of ``contexts`` (an array, best first) that has the question's number. ``key`` names a question; answers: context, number, label, one row each."""
-    each = questions.select(*key, number, F.posexplode(F.array_distinct(F.array_compact(contexts))).alias("_rank", "_ctx"))
-    hit = each.join(answers.select(F.col("context").alias("_ctx"), number, "label"), ["_ctx", number]).filter("label is not null")
-    best = hit.groupBy(*key).agg(F.min(F.struct("_rank", "label", F.col("_ctx").alias("context"))).alias("_best"))
-    return questions.join(best, key, "left").select(*questions.columns, F.col("_best.label").alias("label"), F.col("_best.context").alias("matched_context"))
+    """Left join to the answer key on the first of ``contexts`` (an array, best first) that has the question's number. ``key`` names a question; answers: context, number, label, one row each.
+
+    Contexts are tried one after another, each only by the questions that have found nothing so far; a question is shuffled once for each context that it tries. Questions are read once more, for how many that may be.
+    """
+    columns, ctxs = questions.columns, F.coalesce(F.array_distinct(F.array_compact(contexts)), F.array().cast("array<string>"))
+    most = questions.agg(F.max(F.size(ctxs))).first()[0] or 0
+    found = answers.filter("label is not null").groupBy(F.col("context").alias("_at"), F.col(number).alias("_no")).agg(F.min("label").alias("_label"))
+    none = F.lit(None).cast("string")
+    out, left = questions.filter(F.size(ctxs) == 0).select(*columns, none.alias("label"), none.alias("matched_context")), questions.filter(F.size(ctxs) > 0)
+    for i in range(most):
+        met = left.withColumn("_ctx", F.get(ctxs, F.lit(i))).join(found, (F.col("_ctx") == F.col("_at")) & (F.col(number) == F.col("_no")), "left")
+        # one value of both sides of the join, else Spark would shuffle what goes on by itself
+        over = F.coalesce("_label", F.when(F.size(ctxs) <= i + 1, ""))
+        out = out.union(met.filter(over.isNotNull()).select(*columns, F.col("_label").alias("label"), F.when(F.col("_label").isNotNull(), F.col("_ctx")).alias("matched_context")))
+        left = met.filter(over.isNull()).select(*columns)
+    return out

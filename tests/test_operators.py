@@ -1,6 +1,7 @@
 """Operators on small literal inputs."""
 
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -540,3 +541,24 @@ def test_practice_records_are_dealt_by_size(spark, monkeypatch):
     got = practice.records(questions, tests.select("test", "portion", F.col("a").alias("text")))
     assert got.count() == 800 and got.filter("label = 'B'").count() == 600
     assert f", {practice.tasks(questions)}), REPARTITION_BY_NUM" in got._jdf.queryExecution().executedPlan().toString()
+
+
+def test_keyed_tries_contexts_one_after_another(spark):
+    """Contexts of any number, null, blank or repeated; questions without any; rows that repeat; answers without a label. A question that has found its answer is not shuffled again."""
+    q = spark.createDataFrame([(1, 1, ["a", "b"]), (2, 1, [None, "x", "x", "b"]), (3, 2, ["a", "b", "c", "d"]), (4, 1, []), (5, 1, None), (6, None, ["a"]), (7, 1, ["z"]), (1, 1, ["a", "b"]), (None, 1, ["b"])], "id int, number int, c array<string>")
+    a = spark.createDataFrame([("a", 1, "A"), ("b", 1, "B"), ("a", 2, None), ("d", 2, "D")], "context string, number int, label string")
+    got = lines.keyed(q, a, F.col("c"), ["id"])
+    want = [(1, "A", "a")] * 2 + [(2, "B", "b"), (3, "D", "d"), (4, None, None), (5, None, None), (6, None, None), (7, None, None), (None, "B", "b")]
+    assert sorted(((r.id, r.label, r.matched_context) for r in got.collect()), key=repr) == sorted(want, key=repr)
+    assert got.columns == ["id", "number", "c", "label", "matched_context"]
+    path = settled(spark.range(20000).select("id", F.lit(1).alias("number")), "questions")
+    key = settled(spark.range(0, 20000, 2).select(F.col("id").cast("string").alias("context"), F.lit(1).alias("number"), F.lit("L").alias("label")), "answers")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        df = lines.keyed(path, key, F.array(*[(F.col("id") + i).cast("string") for i in range(3)]), ["id"])
+        assert df.count() == 20000 and df.filter("label = 'L'").count() == 20000 - 1
+        df.collect()
+        plan = df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+        assert len(re.findall(r"[-] Exchange hashpartitioning\(_ctx", plan)) == 3, plan
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
