@@ -41,6 +41,7 @@ def garbled(rows: DataFrame, key: str, text: Column, reference: DataFrame, refer
     """(key, unknown), over texts in compatibility form: records with ``least`` or more occurrences of words that start in lower case, that no other reference record has, and that are not known."""
     frequent = document_frequency(reference, reference_words).filter("records > 1").select("word")
     each = rows.select(key, F.explode(X.letter_words(X.normal_form(text))).alias("w")).filter(F.substring("w", 1, 1).rlike("[a-z]")).select(key, F.lower("w").alias("word"))
-    odd = each.join(frequent, "word", "left_anti")
+    # what is joined is words, which make hash tables; the places where they stand pass by those unsorted
+    odd = each.join(frequent.hint("shuffle_hash"), "word", "left_anti")
     fine = known(odd.select("word").distinct(), word_list)
-    return odd.join(fine, "word", "left_anti").groupBy(key).agg(F.count("*").alias("unknown")).filter(F.col("unknown") >= least)
+    return odd.join(fine.hint("shuffle_hash"), "word", "left_anti").groupBy(key).agg(F.count("*").alias("unknown")).filter(F.col("unknown") >= least)

@@ -562,3 +562,14 @@ def test_keyed_tries_contexts_one_after_another(spark):
         assert len(re.findall(r"[-] Exchange hashpartitioning\(_ctx", plan)) == 3, plan
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_places_of_words_are_not_sorted(spark):
+    """Garbled records are found without a sort of all words of all texts, and words that every record has cost no more."""
+    texts = [(i, "the same words everywhere " * 50 + (f"qxz{chr(97 + i)} wvk{chr(97 + i)}" if i % 2 else "")) for i in range(20)]
+    docs = spark.createDataFrame(texts, "id int, t string")
+    got = vocabulary.garbled(docs, "id", F.col("t"), docs, X.letter_words(F.col("t")), spark.createDataFrame([("house",)], "word string"))
+    assert {r.id: r.unknown for r in got.collect()} == {i: 2 for i in range(1, 20, 2)}
+    plan = got._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert len(re.findall(r"ShuffledHashJoin \[word#\d+\], \[word#\d+\], LeftAnti, BuildRight", plan)) >= 2
+    assert not re.search(r"SortMergeJoin.* LeftAnti", plan)
