@@ -324,9 +324,9 @@ def components(edges: DataFrame, name: str = "components") -> tuple[DataFrame, s
         new = large.join(small, "u").select(F.explode(F.array(F.struct(F.col("v").alias("src"), F.col("m").alias("dst")), F.struct(F.col("u").alias("src"), F.col("m").alias("dst")))).alias("e")).select("e.*").filter("src <> dst").distinct()
         new, new_path = written(new, name)
         # done when every node has one link and no target has a link of its own
-        srcs = new.groupBy("src").agg(F.count("*").alias("n"))
-        left = srcs.filter("n > 1").select("src").union(new.select("dst").distinct().join(srcs, F.col("dst") == F.col("src"), "left_semi"))
-        done = left.limit(1).count() == 0
+        ends = new.select(F.explode(F.array(F.struct(F.col("src").alias("node"), F.lit(1).alias("links")), F.struct(F.col("dst").alias("node"), F.lit(0).alias("links")))).alias("e")).select("e.*")
+        most = ends.groupBy("node").agg(F.sum("links").alias("links"), F.min("links").alias("least")).agg(F.max(F.when((F.col("least") == 0) & (F.col("links") > 0), 2).otherwise(F.col("links"))))
+        done = (most.first()[0] or 0) < 2
         drop_path(spark, path)
         now, path = new, new_path
         if done:

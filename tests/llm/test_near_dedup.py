@@ -68,3 +68,25 @@ def test_a_worker_lets_go_of_what_another_operator_kept():
     common.kept_by("jaccard")
     assert "tokens" not in common._KEPT and tokens._encoder(None) is not encoder
     assert all(m.kept_by is common.kept_by for m in (jaccard, langid, tokens))
+
+
+def test_later_links_join_labels(spark):
+    """Labels of earlier rounds stand in for their links, also where a new link joins two components at nodes that are not their smallest."""
+    label = spark.createDataFrame([(2, 1), (3, 1), (6, 5), (7, 5)], "node long, component long")
+    links = spark.createDataFrame([(7, 3), (9, 8)], "src long, dst long")
+    assert {r.node: r.component for r in jaccard.joined(label, links).collect()} == {2: 1, 3: 1, 5: 1, 6: 1, 7: 1, 9: 8}
+    assert jaccard.joined(label, links.limit(0)) is label
+
+
+def test_rounds_without_links_run_few_jobs(spark):
+    """Each exchange and broadcast of a round leaves threads in the driver for a minute; a round that finds nothing ends at once."""
+    rows = [(i, " ".join(f"w{i}x{j}" for j in range(40)), "en", "a", None, "x", "y", "k", "c") for i in range(40)]
+    rows += [(100, rows[0][1] + " end", "en", "a", None, "x", "y", "k", "c")]
+    docs = spark.createDataFrame(rows, DOCS)
+    spark.sparkContext.setJobGroup("few", "few")
+    try:
+        got = sorted(x.doc_id for x in corpus_pipeline.near_dedup(spark, docs, "").collect())
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert got == list(range(40))
+    assert len(spark.sparkContext.statusTracker().getJobIdsForGroup("few")) <= 70
