@@ -17,8 +17,8 @@ from qforge.storage import settled
 
 
 def _texts() -> Column:
-    """All texts of a record, with where they belong."""
-    options = F.transform("options", lambda o: F.struct(o["id"].alias("field"), o["text"].alias("text")))
+    """All texts of a record, with where they belong; options by their place, as two may have one id."""
+    options = F.transform("options", lambda o, i: F.struct(i.cast("string").alias("field"), o["text"].alias("text")))
     return F.concat(F.array(F.struct(F.lit("question").alias("field"), F.col("question").alias("text")), F.struct(F.lit("explanation").alias("field"), F.coalesce("explanation", F.lit("")).alias("text"))), options)
 
 
@@ -30,14 +30,15 @@ def normalised(bank: DataFrame) -> DataFrame:
     """Records with their texts repaired by the bank's own vocabulary; ``changed`` says whether a text is another now, and then the log does too."""
     each = settled(bank.select("id", "trusted", F.explode(_texts()).alias("t")).select("id", "trusted", "t.*"), "texts")
     words = settled(vocabulary.vocabulary(each, F.col("text"), F.col("trusted")), "vocabulary")
-    mended = repair_text.repaired(each.withColumn("k", F.struct("id", "field")), "k", "text", words).select("k.id", "k.field", "text")
+    mended = repair_text.changes(each.withColumn("k", F.struct("id", "field")), "k", "text", words).select("k.id", "k.field", "text")
     by_field = mended.groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("field", "text"))).alias("_new"))
-    joined = bank.join(by_field, "id")
-    at = lambda f: F.try_element_at("_new", f)
-    options = F.transform("options", lambda o: F.struct(o["id"].alias("id"), at(o["id"]).alias("text")))
-    said = F.when(F.coalesce("explanation", F.lit("")) != "", at(F.lit("explanation"))).otherwise(F.col("explanation"))
-    changed = (at(F.lit("question")) != F.col("question")) | ~said.eqNullSafe(F.col("explanation")) | (options != F.col("options"))
-    out = joined.withColumns({"_q": at(F.lit("question")), "_o": options, "_e": said, "changed": changed})
+    joined = bank.join(by_field, "id", "left")
+    at = lambda f, old: F.coalesce(F.try_element_at("_new", f), old)
+    question = at(F.lit("question"), F.col("question"))
+    options = F.transform("options", lambda o, i: F.struct(o["id"].alias("id"), at(i.cast("string"), o["text"]).alias("text")))
+    said = F.when(F.coalesce("explanation", F.lit("")) != "", at(F.lit("explanation"), F.col("explanation"))).otherwise(F.col("explanation"))
+    changed = (question != F.col("question")) | ~said.eqNullSafe(F.col("explanation")) | (options != F.col("options"))
+    out = joined.withColumns({"_q": question, "_o": options, "_e": said, "changed": changed})
     return out.withColumn("actions", _acted("normalize_ocr_text", "applied", F.col("changed"))).withColumns({"question": F.col("_q"), "options": F.col("_o"), "explanation": F.col("_e")}).drop("_q", "_o", "_e", "_new")
 
 
@@ -80,7 +81,7 @@ def merged(banks: DataFrame, word_list: DataFrame, audits: DataFrame | None = No
     a record has failed if the verdict on its normalised text says so, whatever the banks say.
     """
     unique = settled(keep_first(banks, "content_hash", "bank_no", "seq"), "unique")
-    repaired = normalised(unique)
+    repaired = settled(normalised(unique), "repaired")
     clean = settled(clustered(audited(repaired, audits) if audits is not None else repaired), "clean")
     reference = best_copies(clean.withColumn("damage", F.lit(0)), audited=False).withColumn("words", F.concat(_words(), X.letter_words(F.coalesce("explanation", F.lit("")))))
     odd = vocabulary.garbled(clean.withColumn("_t", F.concat_ws("\n", "question", F.array_join(F.transform("options", lambda o: o["text"]), "\n"))), "id", F.col("_t"), reference, F.col("words"), word_list)

@@ -119,7 +119,21 @@ def repaired(rows: DataFrame, key: str, text: str, vocabulary: DataFrame, least:
     times, if the whole is never seen in lower case. Words in capitals and words that touch an apostrophe stay.
     """
     base = rows.select(F.col(key).alias("k"), normalised(F.col(text)).alias("t"))
-    hits = base.select("k", F.explode(asked("t")).alias("key")).join(damaged(vocabulary, least, least_rest), "key")
-    found = hits.groupBy(F.col("k").alias("_k")).agg(F.array_sort(F.collect_set(F.struct("key", "new"))).alias("x"))
-    out = base.join(found, F.col("k").eqNullSafe(F.col("_k")), "left").select("k", mended("t", F.col("x.key"), F.col("x.new")).alias("t"))
+    out = base.join(_found(base, vocabulary, least, least_rest), F.col("k").eqNullSafe(F.col("_k")), "left").select("k", mended("t", F.col("x.key"), F.col("x.new")).alias("t"))
     return out.select(F.col("k").alias(key), X.without_ligature_debris(F.col("t")).alias(text))
+
+
+def changes(rows: DataFrame, key: str, text: str, vocabulary: DataFrame, least: int = 2, least_rest: int = 5) -> DataFrame:
+    """(key, text), as ``repaired`` gives them, of every text that repair makes another one. Few are, so neither the others nor their records pass by a join."""
+    base = rows.select(F.col(key).alias("k"), F.col(text).alias("was"), normalised(F.col(text)).alias("t"))
+    base = settled(base.select("k", "t", X.without_ligature_debris(F.col("t")).eqNullSafe(F.col("was")).alias("same")), "normal")
+    found = settled(_found(base, vocabulary, least, least_rest), "found")
+    hit = base.join(found, F.col("k").eqNullSafe(F.col("_k"))).select("k", mended("t", F.col("x.key"), F.col("x.new")).alias("t"))
+    rest = base.filter(~F.col("same")).join(found, F.col("k").eqNullSafe(F.col("_k")), "left_anti").select("k", "t")
+    return hit.union(rest).select(F.col("k").alias(key), X.without_ligature_debris(F.col("t")).alias(text))
+
+
+def _found(base: DataFrame, vocabulary: DataFrame, least: int, least_rest: int) -> DataFrame:
+    """(_k, x): for texts (k, t) that hold something damaged, what it is and what becomes of it."""
+    hits = base.select("k", F.explode(asked("t")).alias("key")).join(damaged(vocabulary, least, least_rest), "key")
+    return hits.groupBy(F.col("k").alias("_k")).agg(F.array_sort(F.collect_set(F.struct("key", "new"))).alias("x"))

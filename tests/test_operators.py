@@ -436,6 +436,36 @@ def test_merge(spark):
     assert got["r6"].status == "needs_repair" and [a["type"] for a in got["r6"].actions] == ["garbled_text_check"]
 
 
+def test_changes_are_the_texts_that_repair_makes_others(spark):
+    v = vocabulary.vocabulary(spark.createDataFrame([(VOCABULARY,)], "t string"), F.col("t"), F.lit(True))
+    rows = list(enumerate(["a loan de ned by law", "（11. A 17-year-old purchased a house.", "Agent duties include the following", "two  spaces", "", None, "is in uenced"]))
+    rows = spark.createDataFrame(rows, "id int, t string")
+    whole = {r.id: r.t for r in repair_text.repaired(rows, "id", "t", v).collect()}
+    got = {r.id: r.t for r in repair_text.changes(rows, "id", "t", v).collect()}
+    assert got == {i: whole[i] for i in (0, 1, 3, 6)} and [whole[i] for i in (2, 4, 5)] == ["Agent duties include the following", "", None]
+
+
+def test_a_merge_repairs_texts_once(spark, monkeypatch):
+    """What the features and the records of a merge are made of is written first; else both repair all texts again. Two options of one id keep a text each."""
+    from qforge.operators import merge
+
+    plans = []
+
+    def settled(df, name):
+        plans.append((name, df._jdf.queryExecution().optimizedPlan().toString()))
+        return storage.settled(df, name)
+
+    from qforge import storage
+
+    for m in (merge, near_duplicates):
+        monkeypatch.setattr(m, "settled", settled)
+    row = ("r1", 1, 0, "Which office has to sign it?", [("A", "a loan de ned by law"), ("A", "two")], "a loan defined by law, defined at last", "ready", [], [], ["A"], [0], "h", False, False)
+    schema = "id string, seq int, bank_no int, question string, options array<struct<id:string,text:string>>, explanation string, status string, flags array<string>, actions array<struct<type:string,status:string>>, labels array<string>, correct array<int>, content_hash string, trusted boolean, failed boolean"
+    out, counts = merge.merged(spark.createDataFrame([row], schema), spark.createDataFrame([("loan",)], "word string"))
+    assert [(o.id, o.text) for o in out.first().options] == [("A", "a loan defined by law"), ("A", "two")] and counts.first().normalized == 1
+    assert [name for name, plan in plans if "mended" in plan] == ["repaired"]
+
+
 def test_copies_over_templates_make_linear_candidates(spark):
     """Thousands of records of three templates with the same options, a few words of each its own: stars link them, and few pairs are left to try."""
     r = random.Random(3)
