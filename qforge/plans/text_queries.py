@@ -12,7 +12,7 @@ from qforge.operators import near_duplicates as N
 from qforge.operators import scope as C
 from qforge.operators import vocabulary as V
 from qforge.plans.tables import table
-from qforge.storage import settled
+from qforge.storage import few, settled
 
 SQL: dict[str, str] = {}
 
@@ -137,14 +137,17 @@ SQL["cluster_conflict"] = f"""{_KEYED} SELECT DISTINCT cluster FROM c WHERE NOT
 
 
 def merge_bank(spark: SparkSession, d: str) -> DataFrame:
-    """Exact duplicates go first, by precedence of bank; then near-duplicates; one row per surviving record."""
+    """Exact duplicates go first, by precedence of bank; then near-duplicates; one row per surviving record. Texts stay where they are read: only their hashes and lengths are grouped."""
     docs = table(spark, d, "documents").select(F.concat(F.lit("d"), "doc_id").alias("id"), F.col("doc_id").alias("seq"), "text")
     bench = table(spark, d, "benchmark").select(F.concat(F.lit("b"), "item_id").alias("id"), F.col("item_id").alias("seq"), "text")
-    rows = B.united(bench, docs).withColumn("h", X.content_hash(F.col("text")))
-    kept = settled(B.keep_first(rows, "h", "bank_no", "seq"), "kept")
-    feats = N.features(kept, "id", F.col("text"), F.split("text", "\n"))
-    own = kept.select("id", "bank_no", "seq", F.length("text").alias("n"))
-    joined = own.join(N.groups(feats).withColumnRenamed("id", "_id"), F.col("id") == F.col("_id"))
+    rows = B.united(bench, docs).withColumn("text_hash", F.xxhash64("text"))
+    narrow = settled(rows.select("id", "bank_no", "seq", "text_hash", F.length("text").alias("n"), X.content_hash(F.col("text")).alias("h")), "hashed")
+    kept = settled(B.keep_first(narrow, "h", "bank_no", "seq").drop("h"), "kept")
+    texts = rows.join(few(kept.select("id", "text_hash")), ["id", "text_hash"], "left_semi").select("id", "text")
+    if not narrow.groupBy("id", "text_hash").agg(F.count("*").alias("n")).filter("n > 1").isEmpty():
+        texts = texts.dropDuplicates(["id", "text"])
+    feats = N.features(texts, "id", F.col("text"), F.split("text", "\n"))
+    joined = kept.join(N.groups(feats).withColumnRenamed("id", "_id"), F.col("id") == F.col("_id"))
     best = N.survivors(joined.select("cluster", "id", "bank_no", "seq", "n"), "cluster", -F.col("n"), F.col("bank_no"), F.col("seq"))
     return best.select("cluster", "id", "removed")
 
