@@ -615,3 +615,17 @@ def test_near_duplicates_leave_little_behind(spark, tmp_path, monkeypatch):
     got = near_duplicates.groups(near_duplicates.features(spark.createDataFrame(rows, "id int, q string, o array<string>"), "id", F.col("q"), F.col("o")))
     assert {r.id: r.cluster for r in got.collect()} == {i: i for i in [*range(50), 200]} | {100 + i: i for i in range(5)}
     assert [p.name.split("-")[0] for p in tmp_path.iterdir()] == ["groups"]
+
+
+def test_repairs_take_a_text_apart_once(spark):
+    """What a repair has made of a text is not made anew for each mention; texts with odd white space are seen as before."""
+    t = spark.createDataFrame([("What is it? A. one B. two  C.\tthree D. four",), ("Nothing inline here.",), (None,)], "t string")
+    got = t.select(parse.resegmented(F.col("t")).alias("r"))
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("regexp_extract_all") <= 2
+    assert [r.r and (r.r.prompt, [(o.id, o.text) for o in r.r.options]) for r in got.collect()] == [("What is it?", [("A", "one"), ("B", "two"), ("C", "three"), ("D", "four")]), None, None]
+    cut = t.select(parse.merged_question(F.col("t"), F.lit(1)).alias("m"))
+    assert cut._jdf.queryExecution().optimizedPlan().toString().count("regexp_instr") == 1 and not any(r.m for r in cut.collect())
+    two = spark.createDataFrame([("Which one is it now? 7. What else?", 3)], "t string, n int")
+    assert two.select(parse.merged_question(F.col("t"), F.col("n")).alias("m")).first().m == ("Which one is it now?", 7, "What else?", True)
+    assert [one(spark, parse.trimmed_option(F.lit(x))) for x in ("the first  9.\tNext one", " the  first ", "the first. B. second", "word " * 100)] == ["the first", "the first", "the first.", ("word " * 84).strip()]
+    assert [one(spark, X.cleaned(F.lit(x))) for x in ("a  b", "a fi fi b", "a | b_c", "[PDF_PAGE 3] x", "of it", " x")] == ["a b", "a b", "a b c", "x", "of it", "x"]
