@@ -6,17 +6,22 @@ What damage makes of the words of the vocabulary is a table; the distinct words
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 
+import numpy as np
 import pandas as pd
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType
 
 from qforge.functions import text as X
-from qforge.storage import settled
+from qforge.storage import ROW_BYTES, few, settled
 
 #: Fixed values, in order of preference.
 LIGATURES = ("fi", "fl", "ffi", "ffl", "ff")
+#: Places of the bitmap of what is damaged, as a power of two, and those of one of its pieces, as Spark's functions cut it.
+PLACES, PIECE = 26, 1 << 15
 
 
 def normalised(text: Column) -> Column:
@@ -44,20 +49,39 @@ def _pair(x: tuple, y: tuple) -> str | None:
     return f"{x[1]} {y[1]}".lower() if x[2] and y[2] and y[0] == " " else None
 
 
-@F.pandas_udf(ArrayType(StringType()))
-def asked(texts: pd.Series) -> pd.Series:
-    """What a text may hold that is damaged: words, neighbours with a space between, and words that start a sentence with a plus before."""
+def asking(damage: DataFrame) -> Callable[[Column], Column]:
+    """What a text may hold that is damaged, as a function of texts: words, neighbours with a space between, and words that start a sentence with a plus before.
 
-    def keys(text: str | None) -> list[str]:
-        x = _tokens(text or "")
-        return list({w[1].lower() for w in x if w[2] and len(w[1]) > 1} | {p for p in map(_pair, x, x[1:]) if p} | {"+" + w[1].lower() for w in x if w[3]})
+    Of these only what has a place in a bitmap of the damage's hashes (8 MB, whatever the damage) is given, so that not all words of all texts are shuffled where the damage is too large to be broadcast. It
+    drops nothing that is damaged; the join says what is.
+    """
+    place = F.pmod(F.xxhash64("key"), F.lit(1 << PLACES))
+    pieces = damage.select(F.floor(place / PIECE).alias("piece"), (place % PIECE).alias("bit")).groupBy("piece").agg(F.bitmap_construct_agg("bit").alias("bits")).collect()
+    whole = np.zeros((1 << PLACES) // 8, dtype=np.uint8)
+    for r in pieces:
+        whole[r["piece"] * (PIECE // 8) : (r["piece"] + 1) * (PIECE // 8)] = np.frombuffer(r["bits"], dtype=np.uint8)
+    held = damage.sparkSession.sparkContext.broadcast(whole.tobytes())
+
+    @F.pandas_udf(ArrayType(StringType()))
+    def asked(texts: pd.Series) -> pd.Series:
+        bits = held.value
+
+        def there(key: str) -> bool:
+            at = xxhash.xxh64_intdigest(key.encode(), 42) & ((1 << PLACES) - 1)
+            return bool(bits[at >> 3] >> (at & 7) & 1)
+
+        def keys(text: str | None) -> list[str]:
+            x = _tokens(text or "")
+            return [k for k in {w[1].lower() for w in x if w[2] and len(w[1]) > 1} | {p for p in map(_pair, x, x[1:]) if p} | {"+" + w[1].lower() for w in x if w[3]} if there(k)]
+
+        return texts.map(keys)
 
-    return texts.map(keys)
+    return asked
 
 
 @F.pandas_udf(StringType())
 def mended(texts: pd.Series, keys: pd.Series, news: pd.Series) -> pd.Series:
-    """Texts with what is known of their words (keys as in ``asked``) put in. Of pairs that overlap, the first, third ... of a chain are taken."""
+    """Texts with what is known of their words (keys as in ``asking``) put in. Of pairs that overlap, the first, third ... of a chain are taken."""
 
     def cased(word: str, new: str) -> str:
         return new[:1].upper() + new[1:] if "A" <= word[0] <= "Z" else new
@@ -87,7 +111,7 @@ def mended(texts: pd.Series, keys: pd.Series, news: pd.Series) -> pd.Series:
 
 
 def damaged(vocabulary: DataFrame, least: int, least_rest: int) -> DataFrame:
-    """(key, new), keys as in ``asked``: what words of the vocabulary look like without a ligature, alone or in two, and glued to "A" or "An"."""
+    """(key, new), keys as in ``asking``: what words of the vocabulary look like without a ligature, alone or in two, and glued to "A" or "An"."""
     v = vocabulary.filter(f"n >= {least}").select("word", "n")
 
     def spots(g: str) -> Column:
@@ -119,7 +143,8 @@ def repaired(rows: DataFrame, key: str, text: str, vocabulary: DataFrame, least:
     times, if the whole is never seen in lower case. Words in capitals and words that touch an apostrophe stay.
     """
     base = rows.select(F.col(key).alias("k"), normalised(F.col(text)).alias("t"))
-    out = base.join(_found(base, vocabulary, least, least_rest), F.col("k").eqNullSafe(F.col("_k")), "left").select("k", mended("t", F.col("x.key"), F.col("x.new")).alias("t"))
+    found = few(settled(_found(base, vocabulary, least, least_rest), "found"), 8 * ROW_BYTES)  # else texts are shuffled
+    out = base.join(found, F.col("k").eqNullSafe(F.col("_k")), "left").select("k", mended("t", F.col("x.key"), F.col("x.new")).alias("t"))
     return out.select(F.col("k").alias(key), X.without_ligature_debris(F.col("t")).alias(text))
 
 
@@ -135,5 +160,6 @@ def changes(rows: DataFrame, key: str, text: str, vocabulary: DataFrame, least:
 
 def _found(base: DataFrame, vocabulary: DataFrame, least: int, least_rest: int) -> DataFrame:
     """(_k, x): for texts (k, t) that hold something damaged, what it is and what becomes of it."""
-    hits = base.select("k", F.explode(asked("t")).alias("key")).join(damaged(vocabulary, least, least_rest), "key")
+    damage = damaged(vocabulary, least, least_rest)
+    hits = base.select("k", F.explode(asking(damage)(F.col("t"))).alias("key")).join(few(damage), "key")
     return hits.groupBy(F.col("k").alias("_k")).agg(F.array_sort(F.collect_set(F.struct("key", "new"))).alias("x"))

@@ -629,3 +629,14 @@ def test_repairs_take_a_text_apart_once(spark):
     assert two.select(parse.merged_question(F.col("t"), F.col("n")).alias("m")).first().m == ("Which one is it now?", 7, "What else?", True)
     assert [one(spark, parse.trimmed_option(F.lit(x))) for x in ("the first  9.\tNext one", " the  first ", "the first. B. second", "word " * 100)] == ["the first", "the first", "the first.", ("word " * 84).strip()]
     assert [one(spark, X.cleaned(F.lit(x))) for x in ("a  b", "a fi fi b", "a | b_c", "[PDF_PAGE 3] x", "of it", " x")] == ["a b", "a b", "a b c", "x", "of it", "x"]
+
+
+def test_text_repair_asks_only_for_what_may_be_damaged(spark):
+    """Words that no damage has are dropped before the join, so that a damage too large to be broadcast doesn't shuffle all words of all texts."""
+    v = vocabulary.vocabulary(spark.createDataFrame([(VOCABULARY + " offi offi cefice cefice",)], "t string"), F.col("t"), F.lit(False))
+    damage = repair_text.damaged(v, 2, 5)
+    texts = spark.createDataFrame([(1, "of ce today"), (2, " ".join(f"plain{chr(97 + i % 26)}{chr(97 + i // 26)} word" for i in range(300))), (3, None)], "id int, t string")
+    got = {r.id: r.keys for r in texts.select("id", repair_text.asking(damage)(F.col("t")).alias("keys")).collect()}
+    assert got[1] == ["of ce"] and len(got[2]) < 3 and got[3] == []
+    every = damage.filter("key not like '% %' and key not like '+%' and length(key) > 1 and key = lower(key)").select(F.col("key").alias("t"))
+    assert every.filter(F.array_contains(repair_text.asking(damage)(F.col("t")), F.col("t"))).count() == every.count() > 0
